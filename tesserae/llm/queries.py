@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
