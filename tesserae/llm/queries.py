@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import bpe, decontaminate, simhash
 
 QUERIES = {
+    "op9_bpe": bpe.op9_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
