@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash
+from . import bpe, chat, decontaminate, simhash, token_counts
 
 QUERIES = {
+    "op3_chat": chat.op3_chat,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op9_bpe": bpe.op9_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_simhash": simhash.op10_simhash,
