@@ -31,6 +31,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 #: Expectation-maximisation: rounds, first prior and accuracy on good and bad documents, and their bounds.
 ROUNDS, PRIOR, ACCURACY = 50, 0.8, (0.99, 0.3)
 PRIOR_BOUNDS, BOUNDS = (0.05, 0.99), ((0.97, 0.9999), (0.2, 0.99))
+#: Rules that vote.
+RULES = 7
 #: Posterior of good quality from which a document is kept.
 KEEP = 0.5
 
@@ -118,7 +120,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[
     are bad in one respect, which few rules see, so a rule may be wrong about
     most bad documents, but hardly about good ones (BOUNDS).
     """
-    prior, accuracy = PRIOR, [ACCURACY] * len(rules())
+    prior, accuracy = PRIOR, [ACCURACY] * RULES
     total = sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
         right = [[0.0, 0.0] for _ in accuracy]

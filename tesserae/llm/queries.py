@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, simhash, token_counts
+from . import bpe, chat, decontaminate, quality, secrets, simhash, token_counts
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op7_quality": quality.op7_quality,
     "op3_chat": chat.op3_chat,
     "op4_token_counts": token_counts.op4_token_counts,
