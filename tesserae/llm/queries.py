@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, secrets, simhash, token_counts
+from . import bpe, chat, decontaminate, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op1_secrets": secrets.op1_secrets,
     "op7_quality": quality.op7_quality,
     "op3_chat": chat.op3_chat,
