@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, langid, lm, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op8_lm": lm.op8_lm,
     "op2_langid": langid.op2_langid,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_secrets": secrets.op1_secrets,
