@@ -36,6 +36,7 @@ def test_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(B, "KEPT_PAIRS", 3)
     monkeypatch.setattr(B, "KEPT_TOKENS", 2)
     monkeypatch.setattr(B, "LONG_TEXT", 10)
+    monkeypatch.setattr(B, "HELD_BYTES", 200)
     text = "internationalization " * 3 + "x" * 2000 + "Überraschung" * 30
     assert B.Encoder(RANKS, PATTERN).encode(text) == KNOWN.encode_ordinary(text)
 
