@@ -6,9 +6,10 @@ every prefix of a pre-token has one last token, and a nondeterministic
 transducer that guesses token ends needs no more memory than the last token
 and a place in the vocabulary's trie. ``Transducer`` runs its determinisation:
 a state is the set of token starts that are still open (place in the trie, and
-tokens held back since the last output), transitions are made when first
-taken and kept, and tokens leave as soon as all open starts agree on them,
-which is at most one longest token later.
+token before the start), and transitions are made when first taken and kept.
+Each gives the last token of the bytes so far; tokens are settled, and leave,
+once all open starts agree on them. Open starts lie at most one longest token
+back, so no more than that is looked ahead.
 
 Decoding. ``Utf8Machine`` is a UTF-8 automaton whose transitions over whole
 tokens are kept, so a stream of ids gives text without holding more than the
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: States, pair verdicts and pre-tokens kept by a worker before it starts anew; results do not depend on them.
-KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 150_000, 500_000, 300_000
+KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 300_000, 400_000, 300_000
+#: Bytes of a pre-token after which its settled tokens leave.
+HELD_BYTES = 4096
 #: Characters of a text above which its pre-tokens are taken in blocks.
 LONG_TEXT = 1_000_000
 
@@ -57,59 +60,107 @@ class Transducer:
                     at = self.child[parent << 8 | byte] = nodes
                     nodes += 1
             self.ends[at] = rank
+        self.inner = {key >> 8 for key in self.child}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(self.length.values(), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.spine: dict[int, tuple[list[int], list[int]] | None] = {}
         self._restart()
 
     def _restart(self):
-        start = (-1, ((0, ()),))
+        start = (0,)  # an open start: place in the trie, and the token before it plus one
         self.states, self.numbers = [start], {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids by merging the neighbours of lowest rank until none can merge."""
+    def merged(self, data: bytes, stop: int = 1) -> list[int]:
+        """Ids by merging the neighbours of lowest rank until ``stop`` are left or none can merge."""
+        get, never = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+        ranks = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while len(parts) > stop:
+            rank = min(ranks)
+            if rank == never:
                 break
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], never)
         return [self.ranks[p] for p in parts]
 
+    def spines(self, token: int):
+        """The tokens that begin and those that end ``token`` while it is merged, shortest first; None if merges never give it."""
+        known = self.spine.get(token, 0)
+        if known == 0:
+            data = self.tokens[token]
+            if len(data) == 1:
+                known = ([token], [token])
+            else:
+                halves = self.merged(data, 2)
+                if len(halves) == 2 and self.merged(data) == [token]:
+                    known = (self.spines(halves[0])[0] + [token], self.spines(halves[1])[1] + [token])
+                else:
+                    known = None
+            self.spine[token] = known
+        return known
+
     def follows(self, last: int, token: int) -> bool:
-        """Whether ``token`` may stand after ``last`` (-1: the start)."""
+        """Whether ``token`` may stand after ``last`` (-1: the start).
+
+        While both are merged, the token that ends ``last`` so far meets the
+        one that begins ``token`` so far. They may stand side by side unless
+        these two would merge before one of them is merged into its own side.
+        """
         key = (last, token)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            before = b"" if last < 0 else self.tokens[last]
-            want = [token] if last < 0 else [last, token]
-            known = self.pairs[key] = self.merged(before + self.tokens[token]) == want
+            known = self.pairs[key] = self._apart(last, token)
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        sent, open_starts = self.states[state]
-        after, whole = [], None
-        for node, held in open_starts:
-            to = self.child.get(node << 8 | byte)
+    def _apart(self, last: int, token: int) -> bool:
+        right = self.spines(token)
+        if right is None or last < 0:
+            return right is not None
+        left, right = self.spines(last)[1], right[0]
+        get, tokens, never = self.ranks.get, self.tokens, 1 << 60
+        i = j = 0
+        while True:
+            across = get(tokens[left[i]] + tokens[right[j]], never)
+            to_left = left[i + 1] if i + 1 < len(left) else never
+            to_right = right[j + 1] if j + 1 < len(right) else never
+            if across < to_left and across <= to_right and across != never:
+                return False
+            if to_left == to_right == never:
+                return True
+            if to_left <= to_right:
+                i += 1
+            else:
+                j += 1
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after a byte, and the last token of all bytes so far."""
+        after, last = [], None
+        for start in self.states[state]:
+            to = self.child.get(start >> 32 << 8 | byte)
             if to is None:
                 continue
-            after.append((to, held))
+            before = (start & 0xFFFFFFFF) - 1
+            if to in self.inner:
+                after.append(to << 32 | before + 1)
             token = self.ends.get(to)
-            if whole is None and token is not None and self.follows(held[-1] if held else sent, token):
-                whole = (*held, token)
-        after.append((0, whole))
-        agreed = 0
-        shortest = min(len(held) for _, held in after)
-        while agreed < shortest and len({held[agreed] for _, held in after}) == 1:
-            agreed += 1
-        out = whole[:agreed]
-        new = (out[-1] if out else sent, tuple((node, held[agreed:]) for node, held in after))
+            if last is None and token is not None and self.follows(before, token):
+                last = token
+        after.append(last + 1)
+        new = tuple(after)
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
             self.states.append(new)
-        made = self.moves[state << 8 | byte] = (number, out)
+        made = self.moves[state << 8 | byte] = (number, last)
         return made
 
     def __call__(self, data: bytes) -> tuple[int, ...]:
@@ -118,20 +169,43 @@ class Transducer:
             return (whole,)
         if len(self.states) >= KEPT_STATES:
             self._restart()
-        state, ids, moves = 0, [], self.moves
+        state, sent, lasts, moves = 0, [], [], self.moves
         for byte in data:
             made = moves.get(state << 8 | byte)
-            state, out = made or self._move(state, byte)
-            if out:
-                ids += out
-            if len(self.states) >= 2 * KEPT_STATES:  # a very long pre-token: keep only where it is
-                here = self.states[state]
-                self._restart()
-                moves = self.moves
-                state = self.numbers.setdefault(here, 1)
-                self.states += [here] * (state == 1)
-        ids += self.states[state][1][-1][1]
-        return tuple(ids)
+            state, last = made or self._move(state, byte)
+            lasts.append(last)
+            if len(lasts) >= HELD_BYTES:
+                lasts = self._settle(lasts, sent)
+                if len(self.states) >= 2 * KEPT_STATES:  # a very long pre-token: keep only where it is
+                    here = self.states[state]
+                    self._restart()
+                    moves, state = self.moves, 1
+                    self.states.append(here)
+                    self.numbers[here] = 1
+        return (*sent, *self._back(lasts, len(lasts)))
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens of the first ``end`` bytes, from the last token of each prefix."""
+        ids, length = [], self.length
+        while end:
+            ids.append(lasts[end - 1])
+            end -= length[lasts[end - 1]]
+        return ids[::-1]
+
+    def _settle(self, lasts: list[int], sent: list[int]) -> list[int]:
+        """Send the tokens that no further byte can change; return the rest of ``lasts``.
+
+        A further token starts at most one longest token back, so what the
+        chains of tokens from all those starts have in common is settled.
+        """
+        ends = set(range(len(lasts) - self.longest, len(lasts) + 1))
+        while len(ends) > 1:
+            end = max(ends)
+            ends.discard(end)
+            ends.add(end - self.length[lasts[end - 1]])
+        (common_end,) = ends
+        sent += self._back(lasts, common_end)
+        return lasts[common_end:]
 
 
 #: First byte of a character to state; state to (lowest, highest next byte, state after it). 0 is between characters.
