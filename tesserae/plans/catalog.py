@@ -2,5 +2,440 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..functions import layout as L
+from ..functions import pixel as P
+from ..functions import registry as R
+from ..operators import archive, compose, layout, raster, tiles
+from ..sources import container
+from . import data as D
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _levels(spark, sf_dir):
+    return layout.level_table(D.assets(spark, sf_dir), D.groups(spark, sf_dir))
+
+
+def _index(spark, sf_dir):
+    return tiles.offset_index(D.blobs(spark, sf_dir), D.front(spark, sf_dir))
+
+
+# --- layouts ---
+
+
+@query(f"WITH {D.ASSETS_SQL} SELECT asset_id, grp AS \"group\", level, w, h, cols, rows_ AS \"rows\", tiles, CAST(base AS BIGINT) AS base FROM runs")
+def q_level_dims(spark, sf_dir):
+    return _levels(spark, sf_dir).select("asset_id", "group", "level", "w", "h", "cols", "rows", "tiles", "base")
+
+
+@query(f"WITH {D.ASSETS_SQL} SELECT asset_id, grp AS \"group\", CAST(min(base) AS BIGINT) AS run_start, CAST(max(base + tiles) AS BIGINT) AS run_end FROM runs GROUP BY ALL")
+def q_group_runs(spark, sf_dir):
+    return layout.group_runs(_levels(spark, sf_dir))
+
+
+@query(f"WITH {D.ASSETS_SQL} SELECT asset_id, grp AS \"group\", level, CAST(base AS BIGINT) AS run_start, CAST(base + tiles AS BIGINT) AS run_end FROM runs")
+def q_level_runs(spark, sf_dir):
+    return layout.level_runs(_levels(spark, sf_dir))
+
+
+@query(f"""WITH {D.ASSETS_SQL} SELECT asset_id, CAST(sum(tiles) AS BIGINT) AS total_tiles,
+ CAST(24 + 48 * 2 + 8 * (sum(tiles) + 1) AS BIGINT) AS front_matter_len FROM runs GROUP BY 1""")
+def q_front_matter_len(spark, sf_dir):
+    found = layout.totals(_levels(spark, sf_dir), D.groups(spark, sf_dir))
+    return found.select("asset_id", "total_tiles", "front_matter_len")
+
+
+_ENUMERATED = """ SELECT asset_id, grp AS "group", level, CAST(i // (cols * rows_) AS INT) AS face, i % (cols * rows_) // cols AS "row",
+ i % (cols * rows_) % cols AS "col", CAST(base + i AS BIGINT) AS ordinal,
+ CASE WHEN flags & 1 = 1 THEN w ELSE greatest(1, least(tile_size, w - (i % (cols * rows_) % cols) * tile_size)) END AS tile_w,
+ CASE WHEN flags & 1 = 1 THEN h ELSE greatest(1, least(tile_size, h - (i % (cols * rows_) // cols) * tile_size)) END AS tile_h
+ FROM (SELECT *, unnest(generate_series(0, tiles - 1)) AS i FROM runs)"""
+
+
+@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, count(*) AS n, sum(tile_w * tile_h)::BIGINT AS pixels, max(ordinal) AS last FROM t GROUP BY ALL")
+def q_enumerate(spark, sf_dir):
+    return layout.enumerate_tiles(_levels(spark, sf_dir)).groupBy("asset_id", "group", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("tile_w") * F.col("tile_h")).alias("pixels"), F.max("ordinal").alias("last"))
+
+
+@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, face, \"row\", \"col\", tile_w, tile_h FROM t WHERE ordinal % 97 = 0")
+def q_tile_dims(spark, sf_dir):
+    found = layout.enumerate_tiles(_levels(spark, sf_dir)).where("ordinal % 97 = 0")
+    return found.select("asset_id", "group", "level", "face", "row", "col", "tile_w", "tile_h")
+
+
+@query(f"""WITH {D.ASSETS_SQL}, p AS (SELECT doc_id AS asset_id, CAST(doc_id % 3 AS INT) AS "group", CAST(doc_id % 7 AS INT) AS level, CAST(doc_id % 8 AS INT) AS face,
+ doc_id % 11 AS "row", doc_id % 13 AS "col" FROM documents)
+ SELECT p.*, CAST(CASE WHEN face < face_count AND p."row" < rows_ AND p."col" < cols THEN base + face * cols * rows_ + p."row" * cols + p."col" END AS BIGINT) AS ordinal
+ FROM p LEFT JOIN runs r ON p.asset_id = r.asset_id AND p."group" = r.grp AND p.level = r.level""")
+def q_ordinal(spark, sf_dir):
+    i = F.col("doc_id")
+    places = D.table(spark, sf_dir, "documents").select(
+        i.alias("asset_id"), (i % 3).cast("int").alias("group"), (i % 7).cast("int").alias("level"), (i % 8).cast("int").alias("face"),
+        (i % 11).alias("row"), (i % 13).alias("col"))
+    return layout.with_ordinal(places, _levels(spark, sf_dir)).select(*places.columns, "ordinal")
+
+
+@query(f"""WITH {D.ASSETS_SQL}, o AS (SELECT doc_id AS asset_id, (doc_id * 37) % 400 AS ordinal FROM documents)
+ SELECT o.asset_id, ordinal, grp AS "group", level, CAST((ordinal - base) // (cols * rows_) AS INT) AS face, CAST((ordinal - base) % (cols * rows_) // cols AS BIGINT) AS "row",
+ CAST((ordinal - base) % (cols * rows_) % cols AS BIGINT) AS "col" FROM o LEFT JOIN runs r ON o.asset_id = r.asset_id AND ordinal >= base AND ordinal < base + tiles""")
+def q_ordinal_inverse(spark, sf_dir):
+    wanted = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), (F.col("doc_id") * 37 % 400).alias("ordinal"))
+    return layout.with_place(wanted, _levels(spark, sf_dir))
+
+
+@query("""SELECT doc_id, CAST((SELECT min(s) FROM range(33) t(s) WHERE (greatest(1 + n_chars, 1 + doc_id) + (1::BIGINT << s) - 1) >> s <= 1 + doc_id % 300) + 1 AS INT) AS levels
+ FROM documents""")
+def q_levels_for(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", L.levels_for(1 + F.col("n_chars"), 1 + F.col("doc_id"), 1 + F.col("doc_id") % 300).cast("int").alias("levels"))
+
+
+@query("""SELECT p_partkey, p_size, (SELECT d FROM (SELECT l, (1000 + p_partkey % 777 + (1 << (5 - l)) - 1) >> (5 - l) AS d FROM range(6) t(l)) ORDER BY abs(d - p_size * 20), l LIMIT 1) AS size FROM part""")
+def q_nearest_level(spark, sf_dir):
+    part = D.table(spark, sf_dir, "part")
+    size = L.nearest_level_size(1000 + F.col("p_partkey") % 777, F.lit(6), F.col("p_size") * 20)
+    return part.select("p_partkey", "p_size", size.alias("size"))
+
+
+@query(f"""WITH {D.ASSETS_SQL} SELECT asset_id, CASE WHEN asset_id % 10 = 1 THEN 'levels' WHEN asset_id % 10 = 2 THEN 'tile_size'
+ WHEN asset_id % 10 = 3 THEN 'face_count' WHEN face_count = 6 AND asset_id % 10 = 5 THEN 'cubemap not square' END AS broken FROM assets""")
+def q_validate(spark, sf_dir):
+    spoiled = F.col("asset_id") % 10
+    a = D.assets(spark, sf_dir).withColumns({
+        "levels": F.when(spoiled == 1, 0).otherwise(F.col("levels")), "tile_size": F.when(spoiled == 2, 0).otherwise(F.col("tile_size")),
+        "face_count": F.when(spoiled == 3, 5).otherwise(F.col("face_count")), "root_h": F.when(spoiled == 5, F.col("root_h") + 1).otherwise(F.col("root_h"))})
+    return layout.inconsistent(a).select("asset_id", "broken")
+
+
+# --- index ---
+
+
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges")
+def q_offset_index(spark, sf_dir):
+    return _index(spark, sf_dir).select("asset_id", "ordinal", "start_off", "end_off")
+
+
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges WHERE n_bytes > 0 AND ordinal % 3 = 0")
+def q_tile_range(spark, sf_dir):
+    return tiles.tile_ranges(_index(spark, sf_dir)).where("ordinal % 3 = 0").select("asset_id", "ordinal", "start_off", "end_off")
+
+
+@query(f"""WITH {D.INDEX_SQL} SELECT asset_id, grp AS "group", level, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS n_tiles FROM ranges GROUP BY ALL""")
+def q_level_range(spark, sf_dir):
+    return tiles.level_ranges(_index(spark, sf_dir))
+
+
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, level, count(*) FILTER (n_bytes > 0) AS present, count(*) AS total FROM ranges GROUP BY ALL")
+def q_presence(spark, sf_dir):
+    return tiles.with_presence(_index(spark, sf_dir)).groupBy("asset_id", "level").agg(F.count_if("present").alias("present"), F.count(F.lit(1)).alias("total"))
+
+
+@query(f"""WITH {D.INDEX_SQL} SELECT asset_id, len(o) AS n, o[1] AS first, o[len(o)] AS last, CAST(list_sum(o) AS BIGINT) AS total FROM (
+ SELECT asset_id, list_append(list(start_off ORDER BY ordinal), max(end_off)) AS o FROM ranges GROUP BY 1)""")
+def q_offsets(spark, sf_dir):
+    o = F.col("offsets")
+    return tiles.offsets(_index(spark, sf_dir)).select(
+        "asset_id", F.size(o).cast("bigint").alias("n"), F.element_at(o, 1).alias("first"), F.element_at(o, -1).alias("last"),
+        F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {D.INDEX_SQL}, w AS (SELECT * FROM ranges WHERE n_bytes > 0 AND ordinal % 3 <> 1),
+ m AS (SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY asset_id ORDER BY start_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 0 ELSE 1 END AS new FROM w),
+ r AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY start_off) AS run FROM m)
+ SELECT asset_id, min(start_off) AS span_start, max(end_off) AS span_end, count(*) AS n_tiles FROM r GROUP BY asset_id, run""")
+def q_spans(spark, sf_dir):
+    return tiles.spans(tiles.tile_ranges(_index(spark, sf_dir)).where("ordinal % 3 <> 1"), 1000)
+
+
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, bool_and(n_bytes = 0 OR ordinal % 10 <> 3 OR asset_id % 2 = 0) AS complete FROM ranges GROUP BY 1")
+def q_complete(spark, sf_dir):
+    fetched = D.blobs(spark, sf_dir).where("ordinal % 10 <> 3 OR asset_id % 2 = 0")
+    return tiles.complete(_index(spark, sf_dir), fetched)
+
+
+@query("""WITH t AS (SELECT doc_id // 10 AS ordinal, CASE WHEN text <> '' THEN text END AS blob, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id % 4 <> 0)
+ SELECT CAST(0 AS BIGINT) AS asset_id, i AS ordinal, md5(blob) AS blob_md5 FROM range((SELECT max(doc_id) // 20 + 1 FROM documents)) r(i) LEFT JOIN t ON t.ordinal = i AND n = 1""")
+def q_place(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    blobs = docs.where("doc_id % 4 <> 0").select(
+        F.lit(0).cast("bigint").alias("asset_id"), F.floor(F.col("doc_id") / 10).cast("bigint").alias("ordinal"), F.col("text").cast("binary").alias("blob"), F.col("doc_id").alias("seq"))
+    last = docs.agg(F.floor(F.max("doc_id") / 20).cast("bigint").alias("last"))
+    wanted = last.select(F.lit(0).cast("bigint").alias("asset_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("ordinal"))
+    return tiles.place(wanted, blobs, ["asset_id", "ordinal"]).select("asset_id", "ordinal", F.md5("blob").alias("blob_md5"))
+
+
+@query("SELECT doc_id // 100 AS asset_id, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE doc_id % 3 = 0")
+def q_push_order(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    return tiles.pushed(docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), F.col("doc_id").alias("seq")))
+
+
+# --- pixels ---
+
+
+@query("SELECT l_orderkey, l_linenumber, (v >> 8) AS r, v & 255 AS g, 0 AS b FROM (SELECT *, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 65536 AS INT) AS v FROM lineitem)")
+def q_split16_pack(spark, sf_dir):
+    v = (F.floor("l_extendedprice") % 65536).cast("int")
+    return D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for c, n in zip(P.split16_pack(v), "rgb")))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_partkey % 256) * 256 + l_suppkey % 256 AS INT) AS v FROM lineitem")
+def q_split16_unpack(spark, sf_dir):
+    r, g = ((F.col(c) % 256).cast("int") for c in ("l_partkey", "l_suppkey"))
+    return D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.split16_unpack(r, g).alias("v"))
+
+
+@query(f"WITH {D.RASTER_SQL} SELECT asset_id, y, x, CASE WHEN v <> 0 THEN round(v * 0.001::DOUBLE + 2.5::DOUBLE, 6) END AS metres, v & 255 AS gray FROM px")
+def q_radiometry(spark, sf_dir):
+    value = P.physical(F.col("v"), F.lit(0.001), F.lit(2.5), F.lit(0))
+    return D.raster(spark, sf_dir).select("asset_id", "y", "x", F.round(F.nanvl(value, F.lit(None).cast("double")), 6).alias("metres"), P.gray8(F.col("v")).alias("gray"))
+
+
+_FACES = """f AS (SELECT n, face, 2.0::DOUBLE * (p_partkey % n + 0.5::DOUBLE) / n - 1 AS a, 2.0::DOUBLE * (p_partkey * 7 % n + 0.5::DOUBLE) / n - 1 AS b, p_partkey FROM
+ (SELECT p_partkey, 8 + p_size AS n, CAST(p_partkey % 6 AS INT) AS face FROM part)),
+ d AS (SELECT *, CASE face WHEN 0 THEN -1.0 WHEN 1 THEN 1.0 WHEN 2 THEN -a WHEN 3 THEN a WHEN 4 THEN b ELSE -b END AS x,
+ CASE face WHEN 0 THEN -a WHEN 1 THEN a WHEN 2 THEN 1.0 WHEN 3 THEN -1.0 ELSE -a END AS y, CASE face WHEN 4 THEN -1.0 WHEN 5 THEN 1.0 ELSE -b END AS z FROM f)"""
+
+
+def _directions(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = 8 + F.col("p_size")
+    base = D.table(spark, sf_dir, "part").select("p_partkey", (k % 6).cast("int").alias("face"), P.texel(k % n, n).alias("a"), P.texel(k * 7 % n, n).alias("b"))
+    return base.withColumns(dict(zip("xyz", P.face_direction(F.col("face"), F.col("a"), F.col("b")))))
+
+
+@query(f"WITH {_FACES} SELECT p_partkey, face, round(a, 9) + 0 AS a, round(b, 9) + 0 AS b, round(x, 9) + 0 AS x, round(y, 9) + 0 AS y, round(z, 9) + 0 AS z FROM d")
+def q_face_dir(spark, sf_dir):
+    return _directions(spark, sf_dir).select("p_partkey", "face", *((F.round(c, 9) + 0.0).alias(c) for c in "abxyz"))
+
+
+@query(f"WITH {_FACES} SELECT p_partkey, face, round(a, 9) + 0 AS a, round(b, 9) + 0 AS b FROM d")
+def q_dir_to_face(spark, sf_dir):
+    back = P.direction_face(F.col("x") * 3, F.col("y") * 3, F.col("z") * 3)
+    return _directions(spark, sf_dir).select("p_partkey", *(c.alias(n) if n == "face" else (F.round(c, 9) + 0.0).alias(n) for c, n in zip(back, ("face", "a", "b"))))
+
+
+@query(f"""WITH {_FACES}, l AS (SELECT *, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS lon, acos(least(1, greatest(-1, z / sqrt(x * x + y * y + z * z)))) AS lat FROM d)
+ SELECT p_partkey, CAST(floor(CAST(4096 * lon / (2 * pi()) - 0.5 AS FLOAT)) AS INT) AS col, CAST(floor(CAST(2048 * lat / pi() - 0.5 AS FLOAT)) AS INT) AS "row" FROM l""")
+def q_source_coord(spark, sf_dir):
+    sx, sy = P.source_coordinates(F.col("face"), F.col("a"), F.col("b"), F.lit(4096), F.lit(2048))
+    return _directions(spark, sf_dir).select("p_partkey", F.floor(sx).cast("int").alias("col"), F.floor(sy).cast("int").alias("row"))
+
+
+def _halved(source: str) -> str:
+    return (f"SELECT asset_id, face, y // 2 AS y, x // 2 AS x, CAST(coalesce(sum(nullif(v, 0)) // count(nullif(v, 0)), 0) AS INT) AS v FROM {source} GROUP BY ALL")
+
+
+@query(f"WITH {D.RASTER_SQL} {_halved('px')}")
+def q_halve_mean(spark, sf_dir):
+    return raster.halve_mean(D.raster(spark, sf_dir))
+
+
+@query(f"WITH {D.RASTER_SQL} SELECT asset_id, face, y // 2 AS y, x // 2 AS x, v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
+def q_halve_nearest(spark, sf_dir):
+    return raster.halve_nearest(D.raster(spark, sf_dir))
+
+
+_LEVELS = "SELECT *, 3 AS level FROM px UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 1 FROM p1 UNION ALL SELECT *, 0 FROM p0"
+
+
+@query(f"WITH {D.RASTER_SQL}, p2 AS ({_halved('px')}), p1 AS ({_halved('p2')}), p0 AS ({_halved('p1')}) {_LEVELS}")
+def q_pyramid_mean(spark, sf_dir):
+    return raster.pyramid(D.raster(spark, sf_dir), 4)
+
+
+@query(f"""WITH {D.RASTER_SQL}, p AS (SELECT *, unnest([0, 1, 2, 3]) AS level FROM px)
+ SELECT asset_id, face, y >> (3 - level) AS y, x >> (3 - level) AS x, v, level FROM p WHERE y % (1 << (3 - level)) = 0 AND x % (1 << (3 - level)) = 0""")
+def q_pyramid_nearest(spark, sf_dir):
+    return raster.pyramid(D.raster(spark, sf_dir), 4, None)
+
+
+@query(f"""WITH {D.RASTER_SQL} SELECT asset_id, CAST(y // 10 AS BIGINT) AS "row", CAST(x // 10 AS BIGINT) AS "col", count(*) AS n, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total,
+ max(y % 10) AS ty, max(x % 10) AS tx FROM px GROUP BY ALL""")
+def q_crop_tiles(spark, sf_dir):
+    return raster.crop(D.raster(spark, sf_dir), 10).groupBy("asset_id", "row", "col").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"), F.max("ty").alias("ty"), F.max("tx").alias("tx"))
+
+
+_GRID = """g AS MATERIALIZED (SELECT face, y, x, CAST(32 * lon / (2 * pi()) - 0.5 AS FLOAT) AS sx, CAST(16 * acos(least(1, greatest(-1, dz / sqrt(dx * dx + dy * dy + dz * dz)))) / pi() - 0.5 AS FLOAT) AS sy FROM (
+ SELECT *, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END AS lon FROM (
+ SELECT *, CASE face WHEN 0 THEN -1.0 WHEN 1 THEN 1.0 WHEN 2 THEN -a WHEN 3 THEN a WHEN 4 THEN b ELSE -b END AS dx,
+ CASE face WHEN 0 THEN -a WHEN 1 THEN a WHEN 2 THEN 1.0 WHEN 3 THEN -1.0 ELSE -a END AS dy, CASE face WHEN 4 THEN -1.0 WHEN 5 THEN 1.0 ELSE -b END AS dz FROM (
+ SELECT CAST(f AS INT) AS face, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 2.0::DOUBLE * (x + 0.5::DOUBLE) / 11 - 1 AS a, 2.0::DOUBLE * (y + 0.5::DOUBLE) / 11 - 1 AS b FROM range(6) t(f), range(11) u(y), range(11) w(x)))))"""
+
+
+@query(f"""WITH {D.RASTER_SQL}, {_GRID}, k AS MATERIALIZED (SELECT face, y, x, least(15, greatest(0, CAST(round(sy) AS INT))) AS ys, (CAST(round(sx) AS INT) % 32 + 32) % 32 AS xs FROM g)
+ SELECT asset_id, k.face, k.y, k.x, v FROM k JOIN px ON px.y = ys AND px.x = xs""")
+def q_remap_nearest(spark, sf_dir):
+    return raster.remap_nearest(D.raster(spark, sf_dir), D.sizes(spark, sf_dir, 11))
+
+
+@query(f"""WITH {D.RASTER_SQL}, {_GRID}, k AS MATERIALIZED (SELECT face, y, x, sx - floor(sx) AS fx, sy - floor(sy) AS fy, unnest([0, 1, 2, 3]) AS t, CAST(floor(sx) AS INT) AS x0, CAST(floor(sy) AS INT) AS y0 FROM g),
+ c AS MATERIALIZED (SELECT *, ((x0 + t % 2) % 32 + 32) % 32 AS xs, least(15, greatest(0, y0 + t // 2)) AS ys FROM k),
+ h AS (SELECT asset_id, c.face, c.y, c.x, any_value(fx) AS fx, any_value(fy) AS fy, {", ".join(f"CAST(max(CASE WHEN t = {t} THEN v % {m} END) AS FLOAT) AS {n}{t}" for n, m in (("r", 256), ("g", 199), ("b", 101)) for t in range(4))}
+ FROM c JOIN px ON px.y = ys AND px.x = xs GROUP BY ALL)
+ SELECT asset_id, face, y, x, {", ".join(f"CAST(round(({n}0 * (1::FLOAT - fx) + {n}1 * fx) * (1::FLOAT - fy) + ({n}2 * (1::FLOAT - fx) + {n}3 * fx) * fy) AS INT) AS {n}" for n in "rgb")} FROM h""")
+def q_remap_bilinear(spark, sf_dir):
+    return raster.remap_bilinear(D.colour(spark, sf_dir), D.sizes(spark, sf_dir, 11))
+
+
+@query()
+def q_resize_lanczos(spark, sf_dir):
+    return raster.resize(D.colour(spark, sf_dir), D.W, D.H, 13, 7)
+
+
+# --- composition ---
+
+_EDIT = f"{D.ASSETS_SQL}, t AS ({_ENUMERATED})"
+
+
+def _tiles(spark, sf_dir):
+    return layout.enumerate_tiles(_levels(spark, sf_dir)).drop("tile_w", "tile_h").withColumn("blob", F.concat_ws("/", "group", "level", "face", "row", "col").cast("binary"))
+
+
+def _summary(frame):
+    return frame.groupBy("asset_id", "group", "level").agg(F.count(F.lit(1)).alias("n"), F.min("blob").cast("string").alias("first"), F.max("blob").cast("string").alias("last"))
+
+
+_SUM = """count(*) AS n, min(concat_ws('/', "group", level, face, "row", "col")) AS first, max(concat_ws('/', "group", level, face, "row", "col")) AS last"""
+
+
+@query(f"""WITH {_EDIT}, k AS (SELECT g.*, row_number() OVER (PARTITION BY asset_id ORDER BY grp) - 1 AS new FROM groups g WHERE semantic <> 2)
+ SELECT t.asset_id, CAST(new AS INT) AS "group", level, {_SUM} FROM t JOIN k ON t.asset_id = k.asset_id AND t."group" = k.grp GROUP BY t.asset_id, new, level""")
+def q_remove_semantic(spark, sf_dir):
+    return _summary(compose.remove_semantic(D.groups(spark, sf_dir), _tiles(spark, sf_dir), 2)[1])
+
+
+@query(f"""WITH {_EDIT}, a AS (SELECT * FROM assets WHERE levels > 2),
+ k AS (SELECT g.asset_id, grp, row_number() OVER (PARTITION BY g.asset_id ORDER BY grp) - 1 AS new, levels - 2 AS nl FROM groups g JOIN a USING (asset_id) WHERE levels - level_skip - level_count < levels - 2)
+ SELECT t.asset_id, CAST(new AS INT) AS "group", level, {_SUM} FROM t JOIN k ON t.asset_id = k.asset_id AND t."group" = k.grp WHERE level < nl GROUP BY t.asset_id, new, level""")
+def q_strip_finest(spark, sf_dir):
+    a = D.assets(spark, sf_dir).where("levels > 2")
+    g = D.groups(spark, sf_dir).join(a.select("asset_id"), "asset_id")
+    return _summary(compose.strip_finest(a, g, _tiles(spark, sf_dir), 2)[2])
+
+
+@query(f"""WITH {_EDIT}, s AS (SELECT asset_id, 1 + asset_id % 3 AS d FROM assets WHERE levels > 3),
+ m AS (SELECT asset_id, "group", level, face, "row", "col", concat_ws('/', "group", level, face, "row", "col") AS blob FROM t JOIN s USING (asset_id)
+ UNION ALL SELECT a.asset_id, 2, levels - 1 - d, f, 0, 0, 'sibling' || f FROM assets a JOIN s USING (asset_id), unnest(range(face_count)) u(f))
+ SELECT asset_id, CAST("group" AS INT) AS "group", CAST(level AS INT) AS level, count(*) AS n, min(blob) AS first, max(blob) AS last FROM m GROUP BY ALL""")
+def q_merge(spark, sf_dir):
+    a = D.assets(spark, sf_dir).where("levels > 3")
+    down = (1 + F.col("asset_id") % 3).cast("int")
+    pairs = a.select("*", F.lit(1).alias("s_levels"), F.lit(9).alias("s_tile_size"), F.lit(1).alias("s_group_count"), F.lit(True).alias("s_untiled"),
+                     F.col("face_count").alias("s_face_count"), L.dim_at(F.col("root_w"), down).alias("s_root_w"), L.dim_at(F.col("root_h"), down).alias("s_root_h"))
+    # where two levels have the sibling's size the finest one counts; only sizes of one level are asked for
+    pairs = pairs.where((F.col("s_root_w") > 1) | (F.col("s_root_h") > 1))
+    g = D.groups(spark, sf_dir).join(pairs.select("asset_id"), "asset_id")
+    own = pairs.select("asset_id", F.lit(0).alias("group"), F.lit(3).alias("semantic"), F.lit(3).alias("codec"), F.lit(3).alias("flags"),
+                       F.lit(1).alias("level_count"), F.lit(0).alias("level_skip"))
+    faces = pairs.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("level"), F.explode(F.sequence(F.lit(0), F.col("face_count") - 1)).alias("face"))
+    extra = faces.withColumns({"row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "blob": F.concat(F.lit("sibling"), F.col("face")).cast("binary")})
+    kept = _tiles(spark, sf_dir).drop("ordinal").join(pairs.select("asset_id"), "asset_id")
+    return _summary(compose.merge(pairs, g, own, kept, extra)[1])
+
+
+_MAGIC = {0: "FFD8FFE0", 1: "524946460000000057454250", 2: "00010203"}
+
+
+def _marked(spark, sf_dir):
+    """Blobs that begin like jpeg, webp or neither, one in five absent."""
+    i = F.col("doc_id")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, _MAGIC.values())), (1 + i % 3).cast("int")))
+    return D.table(spark, sf_dir, "documents").select(
+        F.floor(i / 100).cast("bigint").alias("asset_id"), (i % 2).cast("int").alias("group"), "doc_id", F.when(i % 5 != 4, head).alias("blob"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 END AS INT) AS codec FROM documents")
+def q_sniff(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", R.sniff_codec(F.col("blob")).alias("codec"))
+
+
+@query("""SELECT doc_id // 100 AS asset_id, CAST(doc_id % 2 AS INT) AS "group", count(*) FILTER (doc_id % 5 <> 4) AS present, count(*) AS total,
+ count(*) FILTER (doc_id % 5 <> 4 AND doc_id % 3 <> doc_id % 2) AS problems FROM documents GROUP BY ALL""")
+def q_inspect(spark, sf_dir):
+    own = _marked(spark, sf_dir)
+    groups = own.select("asset_id", "group").distinct().withColumn("codec", F.col("group"))
+    return tiles.inspect(own, groups)
+
+
+# --- archives ---
+
+
+def _archive(spark, sf_dir):
+    """A planar pyramid an asset, 700 by 300 pixels at tile size 256, level 10 finest; one tile in seven missing."""
+    docs = D.table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("asset_id")).distinct()
+    infos = docs.select("asset_id", F.lit("image").alias("name"), F.lit(256).alias("tile_size"), F.lit(0).alias("overlap"), F.lit(700).cast("bigint").alias("width"), F.lit(300).cast("bigint").alias("height"))
+    every = docs.withColumn("at", F.explode(F.array(*(
+        F.struct(F.lit(z).cast("bigint").alias("level"), F.lit(c).cast("bigint").alias("col"), F.lit(r).cast("bigint").alias("row"))
+        for z, cols, rows in ((10, 3, 2), (9, 2, 1), (8, 1, 1), (7, 1, 1)) for c in range(cols) for r in range(rows)))))
+    own = every.select("asset_id", F.lit("image").alias("name"), "at.*", F.unhex(F.lit(_MAGIC[1])).alias("blob"))
+    return infos, own.where((F.col("asset_id") + 3 * F.col("col") + 5 * F.col("row") + F.col("level")) % 7 != 0)
+
+
+_ZIP = """p AS (SELECT DISTINCT doc_id % 50 AS asset_id FROM documents),
+ s AS (SELECT * FROM (VALUES (10, 2, 3, 2), (9, 1, 2, 1), (8, 0, 1, 1)) v(z, level, cols, rows_)),
+ w AS (SELECT asset_id, level, c AS col, r AS row_, (asset_id + 3 * c + 5 * r + z) % 7 <> 0 AS present FROM p, s, range(3) x(c), range(2) y(r) WHERE c < cols AND r < rows_)"""
+
+
+@query(f"""WITH {_ZIP} SELECT asset_id, level, row_ AS "row", col, present FROM w""")
+def q_repack_assemble(spark, sf_dir):
+    infos, own = _archive(spark, sf_dir)
+    return archive.assemble(archive.plans(infos, own), own).select("asset_id", "level", "row", "col", F.col("blob").isNotNull().alias("present"))
+
+
+@query(f"""WITH {_ZIP}, f AS (SELECT asset_id, max(z) AS finest FROM p, (VALUES (10, 3, 2), (9, 2, 1), (8, 1, 1), (7, 1, 1)) v(z, cols, rows_), range(3) x(c), range(2) y(r)
+ WHERE c < cols AND r < rows_ AND (asset_id + 3 * c + 5 * r + z) % 7 <> 0 GROUP BY 1)
+ SELECT asset_id, 3 AS levels, finest + 1 - 3 AS dropped_coarse_levels, count(*) FILTER (present) AS tiles_copied, count(*) FILTER (NOT present) AS tiles_absent, 1 AS codec,
+ CAST(NULL AS VARCHAR) AS fault FROM w JOIN f USING (asset_id) GROUP BY ALL""")
+def q_repack_report(spark, sf_dir):
+    infos, own = _archive(spark, sf_dir)
+    plan = archive.plans(infos, own)
+    found = archive.report(plan, archive.assemble(plan, own))
+    return found.select("asset_id", "levels", F.col("dropped_coarse_levels"), "tiles_copied", "tiles_absent", "codec", "fault")
+
+
+# --- bytes ---
+
+
+@query()
+def q_roundtrip(spark, sf_dir):
+    """Containers made of documents' texts, written and read by the data source."""
+    container.register(spark)
+    docs = D.table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.col("text").cast("binary").alias("blob"))
+    own = docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), (F.col("doc_id") % 100).alias("ordinal"), "blob")
+    one = own.select("asset_id").distinct()
+    assets = one.select("asset_id", F.lit(1).alias("face_count"), F.lit(1).alias("levels"), F.lit(64).alias("tile_size"), F.lit(640).alias("root_w"), F.lit(640).alias("root_h"))
+    groups = one.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("semantic"), F.lit(R.RAW).alias("codec"), F.lit(0).alias("sample"), F.lit(0).alias("flags"), F.lit(1).alias("level_count"),
+                        F.lit(0).alias("level_skip"), F.lit(0.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit(0).alias("nodata"), F.lit(0).alias("min"), F.lit(0).alias("max"), R.unit_bytes(F.lit("m")).alias("unit"))
+    path = _scratch(spark)
+    container.pack(own, assets, groups).write.format("tiles").mode("append").save(path)
+    return spark.read.format("tiles").load(path).select(F.col("asset").cast("bigint").alias("asset_id"), "ordinal", "row", "col", "start_off", "end_off", F.md5("blob").alias("blob_md5"))
+
+
+def _scratch(spark) -> str:
+    """A new folder that all executors see; on a local master a temporary one where none is set."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
+    return os.path.join(base, f"tiles-{uuid.uuid4().hex}")
