@@ -165,3 +165,15 @@ def op3_chat(spark, sf_dir: str) -> DataFrame:
     )
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(format_turns(rows.unionByName(hostile)))
+
+
+#: The same rows in DuckDB SQL, for roles without control strings, backslashes or newlines.
+OP3_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(role) + length(text) + {len(START) + len(END) + 2} + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}

@@ -47,6 +47,5 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     assert docs.count() == 4
-    assert got == {1: ("same words here now", 19), None: ("a lone text without an id", 25), 4: (None, 0), 6: ("x [SECRET]", 11)} \
-        or got[6][0] == 'x [SECRET]"' and set(got) == {1, None, 4, 6}
+    assert got == {1: ("same words here now", 19), None: ("a lone text without an id", 25), 4: (None, 0), 6: ('x [SECRET]"', 11)}
     assert C.encode(spark, docs.select(*docs.columns), sf_dir).agg(F.sum("n_tokens")).first()[0] > 0
