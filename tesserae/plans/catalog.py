@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions import pixel as P
 from ..functions import registry as R
-from ..operators import archive, compose, layout, raster, tiles
+from ..operators import archive, compose, convert, layout, raster, tiles
 from ..sources import container
 from . import data as D
 
@@ -412,6 +412,58 @@ def q_repack_report(spark, sf_dir):
     return found.select("asset_id", "levels", F.col("dropped_coarse_levels"), "tiles_copied", "tiles_absent", "codec", "fault")
 
 
+# --- conversion ---
+
+_MEAN = f"{D.RASTER_SQL}, p1 AS ({_halved('px')}), p0 AS ({_halved('p1')}), lv AS (SELECT *, 2 AS level FROM px UNION ALL SELECT *, 1 FROM p1 UNION ALL SELECT *, 0 FROM p0)"
+_TILE = "asset_id, CAST(level AS INT) AS level, face, CAST(y // 8 AS BIGINT) AS \"row\", CAST(x // 8 AS BIGINT) AS col"
+_RAW = convert.CountOptions(tile_size=8, codec=R.RAW)
+
+
+def _packed(parts):
+    """Tiles of a conversion by the digest of their bytes."""
+    return parts[2].select("asset_id", "level", "face", "row", "col", F.md5("blob").alias("blob_md5"))
+
+
+@query(f"WITH {_MEAN} SELECT {_TILE}, md5(unhex(string_agg(printf('%02X%02X00', v >> 8, v & 255), '' ORDER BY y, x))) AS blob_md5 FROM lv GROUP BY ALL")
+def q_convert_split16(spark, sf_dir):
+    return _packed(convert.counts(D.raster(spark, sf_dir), D.W, D.H, _RAW))
+
+
+@query(f"WITH {_MEAN} SELECT {_TILE}, md5(unhex(string_agg(printf('%02X', v & 255), '' ORDER BY y, x))) AS blob_md5 FROM lv GROUP BY ALL")
+def q_convert_gray8(spark, sf_dir):
+    return _packed(convert.counts(D.raster(spark, sf_dir), D.W, D.H, _RAW, "gray8"))
+
+
+@query(f"""WITH {D.RASTER_SQL}, p AS (SELECT *, unnest([0, 1, 2]) AS level FROM px), lv AS (SELECT asset_id, face, y >> (2 - level) AS y, x >> (2 - level) AS x, v, level FROM p
+ WHERE y % (1 << (2 - level)) = 0 AND x % (1 << (2 - level)) = 0)
+ SELECT {_TILE}, md5(unhex(string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY y, x))) AS blob_md5 FROM lv GROUP BY ALL""")
+def q_convert_depth_tiled(spark, sf_dir):
+    return _packed(convert.depth_tiled(D.raster(spark, sf_dir), D.W, D.H, _RAW))
+
+
+@query(f"""WITH {D.RASTER_SQL} SELECT asset_id, 0 AS level, face, 0::BIGINT AS "row", 0::BIGINT AS col, md5(unhex(string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY y, x))) AS blob_md5
+ FROM px GROUP BY ALL""")
+def q_convert_depth_whole(spark, sf_dir):
+    return _packed(convert.depth_whole(D.raster(spark, sf_dir), D.W, D.H, _RAW))
+
+
+@query(f"""WITH {D.RASTER_SQL}, {_GRID}, k AS MATERIALIZED (SELECT face, y, x, least(15, greatest(0, CAST(round(sy) AS INT))) AS ys, (CAST(round(sx) AS INT) % 32 + 32) % 32 AS xs FROM g)
+ SELECT asset_id, 0 AS level, k.face, 0::BIGINT AS "row", 0::BIGINT AS col, md5(unhex(string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY k.y, k.x))) AS blob_md5
+ FROM k JOIN px ON px.y = ys AND px.x = xs GROUP BY ALL""")
+def q_convert_depth_faces(spark, sf_dir):
+    return _packed(convert.depth_faces(D.raster(spark, sf_dir), D.W, D.H, 11, _RAW))
+
+
+@query()
+def q_convert_planar(spark, sf_dir):
+    return _packed(convert.planar(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=8)))
+
+
+@query()
+def q_convert_panorama(spark, sf_dir):
+    return _packed(convert.panorama(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=4)))
+
+
 # --- bytes ---
 
 
