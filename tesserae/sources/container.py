@@ -361,7 +361,10 @@ class Written(WriterCommitMessage):
 
 
 class TileWriter(DataSourceWriter):
-    """Files of one row an asset: (asset, content), moved into place when all tasks have ended."""
+    """Files from the rows of ``pack``: an asset's parts follow each other and are appended as they come.
+
+    Files are moved into place when all tasks have ended.
+    """
 
     def __init__(self, options):
         self.path = options["path"].removeprefix("file://")
@@ -370,13 +373,20 @@ class TileWriter(DataSourceWriter):
         import uuid
 
         os.makedirs(self.path, exist_ok=True)
-        done = []
-        for row in rows:
-            final = os.path.join(self.path, f"{row['asset']}.tpc")
-            part = os.path.join(self.path, f"_{uuid.uuid4().hex}")
-            with open(part, "wb") as f:
+        done, now, f = [], None, None
+        try:
+            for row in rows:
+                if f is None or row["asset"] != now:
+                    if f:
+                        f.close()
+                    now = row["asset"]
+                    part = os.path.join(self.path, f"_{uuid.uuid4().hex}")
+                    f = open(part, "wb")
+                    done.append((part, os.path.join(self.path, f"{now}.tpc")))
                 f.write(row["content"])
-            done.append((part, final))
+        finally:
+            if f:
+                f.close()
         return Written(done)
 
     def commit(self, messages):
@@ -413,30 +423,39 @@ def register(spark: SparkSession) -> None:
 
 
 def pack(tiles: DataFrame, assets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(asset, content) of each asset from its tiles (asset_id, ordinal, blob).
+    """(asset, part, content) of each asset from its tiles (asset_id, ordinal, blob), in the order of the file.
 
-    A container's bytes are made by the task that holds its asset; the tiles
-    of an asset are one file's worth.
+    Part -1 is the front matter, which is made of the tiles' sizes; the other
+    parts are blobs by ordinal. No row holds more than one of these, so a
+    container may be larger than memory. Each asset's rows are in one partition.
     """
     names = ["semantic", "codec", "sample", "flags", "level_count", "level_skip", "scale", "offset", "nodata", "min", "max", "unit"]
     described = groups.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("group", *names))).alias("groups"))
-    blobs = tiles.where(F.octet_length("blob") > 0).groupBy("asset_id").agg(F.collect_list(F.struct("ordinal", "blob")).alias("blobs"))
-    whole = assets.join(described, "asset_id").join(blobs, "asset_id", "left").select(
-        F.col("asset_id").cast("string").alias("asset"), "face_count", "levels", "tile_size", "root_w", "root_h", "groups", "blobs")
+    present = tiles.where(F.octet_length("blob") > 0)
+    sizes = present.groupBy("asset_id").agg(F.collect_list(F.struct("ordinal", F.octet_length("blob").alias("n"))).alias("sizes"))
+    whole = assets.join(described, "asset_id").join(sizes, "asset_id", "left").select(
+        F.col("asset_id").cast("string").alias("asset"), "face_count", "levels", "tile_size", "root_w", "root_h", "groups", "sizes")
 
-    def run(batches):
+    def fronts(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in batch.to_pylist():
                 header = Header(*(row[n] for n in ("face_count", "levels", "tile_size", "root_w", "root_h")))
                 built = Builder(header, [Group(*(g[n] for n in names)) for g in row["groups"]])
-                for b in row["blobs"] or ():
-                    built.set_ordinal(b["ordinal"], b["blob"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["asset"]], pa.string()), pa.array([built.finish()], pa.binary())], names=["asset", "content"])
-
-    return whole.mapInArrow(run, "asset string, content binary")
+                lengths = [0] * built.layout.total
+                for x in row["sizes"] or ():
+                    if not 0 <= x["ordinal"] < len(lengths):
+                        raise FormatError("tile outside the layout")
+                    if lengths[x["ordinal"]]:
+                        raise FormatError("tile given twice")
+                    lengths[x["ordinal"]] = x["n"]
+                columns = [pa.array([row["asset"]], pa.string()), pa.array([-1], pa.int64()), pa.array([built.front(lengths)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["asset", "part", "content"])
+
+    bodies = present.select(F.col("asset_id").cast("string").alias("asset"), F.col("ordinal").cast("bigint").alias("part"), F.col("blob").alias("content"))
+    rows = whole.mapInArrow(fronts, "asset string, part bigint, content binary").unionByName(bodies)
+    return rows.repartition("asset").sortWithinPartitions("asset", "part")
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -20,7 +20,10 @@ def pixels(spark, w, h, value, names=("v",)):
 
 
 def files(parts):
-    return {r.asset: bytes(r.content) for r in container.pack(parts[2], parts[0], parts[1]).collect()}
+    out = {}
+    for r in container.pack(parts[2], parts[0], parts[1]).collect():
+        out[r.asset] = out.get(r.asset, b"") + bytes(r.content)
+    return out
 
 
 def decoded(data, g=0):
@@ -118,6 +121,13 @@ def pair(**changes):
     return base | changes
 
 
+def test_packing_refuses_wrong_tiles(spark):
+    assets, groups, tiles = convert.depth_whole(pixels(spark, 4, 2, ["x"]), 4, 2)
+    for wrong, said in ((tiles.withColumn("ordinal", F.col("ordinal") + 1), "outside"), (tiles.union(tiles), "twice")):
+        with pytest.raises(Exception, match=said):
+            container.pack(wrong, assets, groups).collect()
+
+
 def test_merge_anchor_and_refusals(spark):
     rows = [pair(), pair(s_root_w=100, s_root_h=100), pair(s_face_count=1), pair(s_untiled=False), pair(s_untiled=False, s_tile_size=128), pair(s_levels=3),
             pair(group_count=255), pair(root_w=1, root_h=1, s_root_w=1, s_root_h=1)]
