@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: States, pair verdicts and pre-tokens kept by a worker before it starts anew; results do not depend on them.
-KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 300_000, 400_000, 300_000
+KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 200_000, 250_000, 200_000
 #: Bytes of a pre-token after which its settled tokens leave.
 HELD_BYTES = 4096
 #: Characters of a text above which its pre-tokens are taken in blocks.

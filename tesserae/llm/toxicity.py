@@ -40,7 +40,7 @@ CLOSE = 2
 LEVEL, MIN_MATCH = 13, 3
 LEAD, TAIL = bytes(range(128, 160)), bytes(range(200, 208))
 #: Distances kept by a worker; results do not depend on it.
-KEPT = 400_000
+KEPT = 200_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
