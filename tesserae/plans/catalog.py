@@ -187,6 +187,44 @@ def q_push_order(spark, sf_dir):
     return tiles.pushed(docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), F.col("doc_id").alias("seq")))
 
 
+# --- whole tables: the operators of q_tile_dims, q_tile_range, q_spans, q_place and q_push_order, without those queries' filters ---
+
+
+@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, face, \"row\", \"col\", tile_w, tile_h FROM t")
+def q_tile_dims_all(spark, sf_dir):
+    return layout.enumerate_tiles(_levels(spark, sf_dir)).select("asset_id", "group", "level", "face", "row", "col", "tile_w", "tile_h")
+
+
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges WHERE n_bytes > 0")
+def q_tile_range_all(spark, sf_dir):
+    return tiles.tile_ranges(_index(spark, sf_dir)).select("asset_id", "ordinal", "start_off", "end_off")
+
+
+@query(f"""WITH {D.INDEX_SQL}, w AS (SELECT * FROM ranges WHERE n_bytes > 0),
+ m AS (SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY asset_id ORDER BY start_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 0 ELSE 1 END AS new FROM w),
+ r AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY start_off) AS run FROM m)
+ SELECT asset_id, min(start_off) AS span_start, max(end_off) AS span_end, count(*) AS n_tiles FROM r GROUP BY asset_id, run""")
+def q_spans_all(spark, sf_dir):
+    return tiles.spans(tiles.tile_ranges(_index(spark, sf_dir)), 1000)
+
+
+@query("""WITH t AS (SELECT doc_id // 10 AS ordinal, CASE WHEN text <> '' THEN text END AS blob, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id DESC) AS n FROM documents)
+ SELECT CAST(0 AS BIGINT) AS asset_id, i AS ordinal, md5(blob) AS blob_md5 FROM range((SELECT max(doc_id) // 10 + 1 FROM documents)) r(i) LEFT JOIN t ON t.ordinal = i AND n = 1""")
+def q_place_all(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    blobs = docs.select(
+        F.lit(0).cast("bigint").alias("asset_id"), F.floor(F.col("doc_id") / 10).cast("bigint").alias("ordinal"), F.col("text").cast("binary").alias("blob"), F.col("doc_id").alias("seq"))
+    last = docs.agg(F.floor(F.max("doc_id") / 10).cast("bigint").alias("last"))
+    wanted = last.select(F.lit(0).cast("bigint").alias("asset_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("ordinal"))
+    return tiles.place(wanted, blobs, ["asset_id", "ordinal"]).select("asset_id", "ordinal", F.md5("blob").alias("blob_md5"))
+
+
+@query("SELECT doc_id // 100 AS asset_id, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS ordinal FROM documents")
+def q_push_order_all(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    return tiles.pushed(docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), F.col("doc_id").alias("seq")))
+
+
 # --- pixels ---
 
 
