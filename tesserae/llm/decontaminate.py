@@ -6,9 +6,9 @@ the term stands. ``search`` sends the windows of the test items to all shards.
 In a shard each window starts from the postings of its rarest word (by corpus
 frequency, counted over all shards), shifted by the word's offset, and is cut
 down by the postings of the window's other words, rarest first, each shifted
-by its own offset; what is left are exact phrase matches. The same candidates
-give proximity matches, where most words stand within a few words of their
-place. Documents never leave their shard, so a frequent word, line or passage
+by its own offset; what is left are exact phrase matches. Proximity matches,
+where most words stand within a few words of their place, start from the
+postings of as many of the rarest words as cannot all be missing. Documents never leave their shard, so a frequent word, line or passage
 makes no key of a shuffle.
 
 Defined results: a null or empty text has no words and no hits; an item
@@ -19,6 +19,8 @@ gives no hits. Extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +184,46 @@ def _search_batches(queries):
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield which, places[np.repeat(first[lists[now]], n) + within].astype(np.int64)
 
+    def signatures(at):
+        """By place, bits of the words that stand within twice SLOP of it; 64 words share a bit, so a set bit proves nothing."""
+        own = np.where(at < 0, np.uint64(0), np.uint64(1) << (at & 63).astype(np.uint64))
+        seen = own.copy()
+        for d in range(1, 2 * SLOP + 1):
+            seen[d:] |= own[:-d]
+            seen[:-d] |= own[d:]
+        return seen
+
+    def close_matches(length, terms, offsets, items, first, size, places, at, seen, base):
+        """Arrays of (document, item): some start has enough of a window's words within SLOP of their places.
+
+        Such a start has at least one of the window's ``may_miss + 1`` rarest
+        words near its place, so the postings of those words, moved by up to
+        SLOP, reach every match.
+        """
+        may_miss = length - math.ceil(NEAR * length - 1e-9)
+        pad = WINDOW * (SLOP + 1)
+        out = []
+        for k in range(min(may_miss + 1, length)):
+            for which, place in candidates(first, size, places, terms[:, k]):
+                # words near their places for a moved start are within twice SLOP for this one
+                start = place - offsets[which, k] + pad
+                missed = np.zeros(len(start), np.int64)
+                for j in range(length):
+                    bit = (terms[which, j] & 63).astype(np.uint64)
+                    missed += (seen[start + offsets[which, j]] >> bit) & np.uint64(1) == 0
+                    keep = missed <= may_miss
+                    which, place, start, missed = which[keep], place[keep], start[keep], missed[keep]
+                for move in range(-SLOP, SLOP + 1):
+                    live, missed = np.arange(len(start)), np.zeros(len(start), np.int64)
+                    for j in range(length):
+                        want, spot = terms[which[live], j], start[live] + move + offsets[which[live], j]
+                        missed[live] += sum(at[spot + d] == want for d in range(-SLOP, SLOP + 1)) == 0
+                        live = live[missed[live] <= may_miss]
+                    if len(live):
+                        doc = np.searchsorted(base, place[live], "right") - 1
+                        out.append(np.unique(np.stack([doc, items[which[live]]]), axis=1))
+        return out
+
     def run(batches):
         q = queries.value
         n_terms = len(q["terms"])
@@ -204,22 +246,11 @@ def _search_batches(queries):
                 first[codes[ours]], size[codes[ours]] = begin[ours], sizes[ours]
                 cover = np.zeros(end + 2, np.int32)
                 exact, near = [], []
+                seen = signatures(at)
                 for length, (terms, offsets, items) in q["windows"].items():
+                    near += close_matches(length, terms, offsets, items, first, size, places, at, seen, base)
                     for which, place in candidates(first, size, places, terms[:, 0]):
                         start = place - offsets[which, 0]
-                        # proximity: the second rarest word near its place, then most words
-                        close = np.flatnonzero(start >= -SLOP)
-                        for k in range(1, min(length, 2)):
-                            want, spot = terms[which[close], k], start[close] + offsets[which[close], k] + pad
-                            close = close[sum(at[spot + d] == want for d in range(-SLOP, SLOP + 1)) > 0]
-                        found = np.ones(len(close), np.int64)
-                        for k in range(1, length):
-                            want, spot = terms[which[close], k], start[close] + offsets[which[close], k] + pad
-                            found += sum(at[spot + d] == want for d in range(-SLOP, SLOP + 1)) > 0
-                        close = close[found >= NEAR * length]
-                        if len(close):
-                            doc = np.searchsorted(base, place[close], "right") - 1
-                            near.append(np.unique(np.stack([doc, items[which[close]]]), axis=1))
                         live = np.flatnonzero(start >= 0)
                         for k in range(1, length):
                             w = which[live]

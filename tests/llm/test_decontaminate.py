@@ -84,3 +84,46 @@ def test_proximity_without_exact_match(spark):
     items = spark.createDataFrame(ITEMS[:1], "item_id int, text string")
     row = D.decontaminate(docs, items).first()
     assert (row.n_hit, row.n_items, row.n_near_items) == (0, 0, 1)
+
+
+def brute_near(docs, items):
+    """(doc_id, item) where some start has 8 of 10 of a window's words within two words of their places."""
+    out = set()
+    for doc_id, text in docs:
+        d = words(text)
+        for name, item in items:
+            w = words(item)
+            n = min(10, len(w))
+            for win in [w[i : i + n] for i in range(len(w) - n + 1)] if w else []:
+                need = -(-8 * n // 10)
+                for s in range(-n - 2, len(d) + 3):
+                    if sum(x in d[max(0, s + j - 2) : max(0, s + j + 3)] for j, x in enumerate(win)) >= need:
+                        out.add((doc_id, name))
+                        break
+    return out
+
+
+def test_proximity_with_words_replaced_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, items = [], []
+    for i in range(30):
+        own = [f"i{i}w{j}" if j % 3 == 0 else rng.choice("the of and to in is".split()) for j in range(rng.choice((1, 4, 5, 9, 10, 14)))]
+        items.append((str(i), " ".join(own)))
+        for changed in range(4):
+            copy = list(own)
+            for at in rng.sample(range(len(own)), min(changed, len(own))):
+                copy[at] = rng.choice(("zz", "the", f"i{i}w0"))
+            for _ in range(rng.choice((0, 0, 1, 2, 3))):
+                copy.insert(rng.randrange(len(copy) + 1), "uh")
+            around = [rng.choice("the of and to in is other".split()) for _ in range(rng.choice((0, 0, 12)))]
+            rows.append((len(rows), " ".join(around + copy + around)))
+    # the rarest word replaced, also where the corpus does not hold it at all
+    rows.append((1000, "one two three four five six CHANGED eight nine ten"))
+    items.append(("s", "one two three four five six seven eight nine ten"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, x) for r in D.matches(docs, bench).select("doc_id", "near").collect() for x in r.near}
+    assert got == brute_near(rows, items)
+    assert (1000, "s") in got
