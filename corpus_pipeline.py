@@ -39,7 +39,7 @@ def replace_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, *bpe.public_vocabulary(), full=False)
+    return bpe.encode(docs, *bpe.public_vocabulary())
 
 
 STAGES = [

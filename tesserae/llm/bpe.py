@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from itertools import chain, islice
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 200_000, 250_000, 200_000
 HELD_BYTES = 4096
 #: Characters of a text above which its pre-tokens are taken in blocks.
 LONG_TEXT = 1_000_000
+#: Ids of finished rows after which they leave as one batch.
+HELD_IDS = 1_000_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -317,31 +320,40 @@ def encoder(data: bytes, pattern: str) -> Encoder:
 
 def _encode_batches(ranks, pattern: str, full: bool):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         enc = encoder(ranks.value, pattern)
         machine = Utf8Machine(enc.transducer.tokens)
         decimal = {i: str(i) for i in enc.transducer.tokens}
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * full
+
+        def out(doc_ids, rows, kept):
+            n, a, b = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+            columns = [doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if full:
+                ends = np.cumsum([0, *n])
+                values = np.frombuffer(kept, np.int32) if kept else np.empty(0, np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            rows = []
-            for data in common.as_bytes(batch.column(1)):
-                ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+            rows, kept, first = [], array("i"), 0
+            for at, data in enumerate(common.as_bytes(batch.column(1))):
+                ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 for ids in enc.blocks(data.decode("utf-8", "replace")):
                     if ids:
                         ids_hash.update(b"," * bool(n) + ",".join(map(decimal.__getitem__, ids)).encode())
                         text_hash.update(machine.feed(ids).encode())
                         n += len(ids)
                         if full:
-                            kept += ids
+                            kept.extend(ids)
                 text_hash.update(machine.end().encode())
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), kept))
-            n, a, b, kept = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
+                if len(kept) >= HELD_IDS:
+                    yield out(batch.column(0).slice(first, len(rows)), rows, kept)
+                    rows, kept, first = [], array("i"), at + 1
+            yield out(batch.column(0).slice(first), rows, kept)
 
     return run
 
@@ -383,4 +395,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode(common.table(spark, sf_dir, "documents"), *public_vocabulary(), full=False)
+    return encode(common.table(spark, sf_dir, "documents"), *public_vocabulary())

@@ -66,3 +66,11 @@ def test_edge_cases(spark):
 @pytest.mark.parametrize("text", ["", "a", "ab" * 40])
 def test_merged(text):
     assert ENCODER.transducer.merged(text.encode()) == (KNOWN.encode_ordinary(text) if text else [])
+
+
+@pytest.mark.parametrize("held", [B.HELD_IDS, 50])
+def test_query_returns_the_ids_themselves(spark, sf_dir, monkeypatch, held):
+    monkeypatch.setattr(B, "HELD_IDS", held)
+    got = {r.doc_id: r.ids for r in B.op9_bpe(spark, sf_dir).select("doc_id", "ids").collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert got == {r.doc_id: KNOWN.encode_ordinary(r.text or "") for r in docs}

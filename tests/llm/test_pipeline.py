@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as C
 from pyspark.sql import functions as F
 
@@ -49,3 +51,9 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
     assert docs.count() == 4
     assert got == {1: ("same words here now", 19), None: ("a lone text without an id", 25), 4: (None, 0), 6: ('x [SECRET]"', 11)}
     assert C.encode(spark, docs.select(*docs.columns), sf_dir).agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_ids_reach_the_result(spark, sf_dir):
+    rows = C.run(spark, sf_dir).collect()
+    assert all(len(r.ids) == r.n_tokens for r in rows) and any(r.ids for r in rows)
+    assert all(hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows)
