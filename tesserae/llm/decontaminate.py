@@ -393,6 +393,13 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.drop("n_near_items")
 
 
+def op5_near(spark, sf_dir: str) -> DataFrame:
+    """The proximity half of ``op5_decontaminate``: doc_id, n_words, n_near_items and the items themselves, in order."""
+    found = matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    near = F.array_sort(F.array_distinct("near"))
+    return found.select("doc_id", "n_words", F.size(near).cast("bigint").alias("n_near_items"), near.alias("near_items"))
+
+
 #: The same rows in DuckDB SQL.
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

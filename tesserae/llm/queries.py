@@ -17,4 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
+#: Further results of these operators, registered beside them.
+MORE = {"op5_near": decontaminate.op5_near}
+
 ORACLES: dict[str, str] = {"op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}

@@ -127,3 +127,16 @@ def test_proximity_with_words_replaced_against_brute_force(spark):
     got = {(r.doc_id, x) for r in D.matches(docs, bench).select("doc_id", "near").collect() for x in r.near}
     assert got == brute_near(rows, items)
     assert (1000, "s") in got
+
+
+def test_near_items_are_a_registered_result(spark, sf_dir, tmp_path):
+    import __spark_entry__
+
+    docs, items = frames(spark)
+    docs.where("doc_id <> 6 OR doc_id IS NULL").write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = __spark_entry__.queries()["op5_near"](spark, str(tmp_path)).collect()
+    rows = [(a, b) for a, b in DOCS if a != 6]
+    near = brute_near(rows, [(str(a), b) for a, b in ITEMS])
+    assert {(r.doc_id, x) for r in got for x in r.near_items} == near and near
+    assert len(got) == len(rows) and all(r.n_near_items == len(r.near_items) for r in got)
