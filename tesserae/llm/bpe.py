@@ -3,17 +3,19 @@
 Encoding. A tokenization is what the merges produce if and only if each pair
 of neighbouring tokens is what the merges produce of the pair's own bytes. So
 every prefix of a pre-token has one last token, and a nondeterministic
-transducer that guesses token ends needs no more memory than the last token
-and a place in the vocabulary's trie. ``Transducer`` runs its determinisation:
-a state is the set of token starts that are still open (place in the trie, and
-token before the start), and transitions are made when first taken and kept.
-Each gives the last token of the bytes so far; tokens are settled, and leave,
-once all open starts agree on them. Open starts lie at most one longest token
-back, so no more than that is looked ahead.
+transducer that guesses token ends needs no more memory than the last tokens
+of the bytes that one longest token spans, and places in the vocabulary's trie.
+``Transducer`` runs its determinisation: a state is the set of token starts
+that are still open (their places in the trie), and transitions, and the tokens
+that may end in a state, are made when first taken and kept. Each byte gives the last token
+of the bytes so far: the one that may end here and may follow the last token
+before it. Tokens are settled, and leave, once all open starts agree on them;
+open starts lie at most one longest token back, so that is the lookahead.
 
 Decoding. ``Utf8Machine`` is a UTF-8 automaton whose transitions over whole
 tokens are kept, so a stream of ids gives text without holding more than the
-bytes of one unfinished character.
+bytes of one unfinished character. Tokens that are whole characters leave it
+where it is, so runs of them pass at once.
 
 Defined results: null and empty texts have no tokens (the digest of the empty
 string); repeated rows each keep a row; texts are encoded in bounded blocks of
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: States, pair verdicts and pre-tokens kept by a worker before it starts anew; results do not depend on them.
-KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 200_000, 250_000, 200_000
-#: Bytes of a pre-token after which its settled tokens leave.
-HELD_BYTES = 4096
+KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 100_000, 500_000, 300_000
+#: Bytes of a pre-token after which its settled tokens leave (twice the longest token at least).
+HELD_BYTES = 512
 #: Characters of a text above which its pre-tokens are taken in blocks.
 LONG_TEXT = 1_000_000
 #: Ids of finished rows after which they leave as one batch.
@@ -66,14 +68,15 @@ class Transducer:
         self.inner = {key >> 8 for key in self.child}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(self.length.values(), default=1)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.follow: dict[int, tuple[set[int], set[int]]] = {}  # by token: those it may stand after, those it may not
+        self.n_pairs = 0
         self.spine: dict[int, tuple[list[int], list[int]] | None] = {}
         self._restart()
 
     def _restart(self):
-        start = (0,)  # an open start: place in the trie, and the token before it plus one
-        self.states, self.numbers = [start], {start: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        # a state: its transitions by byte, the tokens that may end there, and the open starts' places, earliest first
+        self.start = ({}, (), (0,))
+        self.states = {((0,), ()): self.start}
 
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """Ids by merging the neighbours of lowest rank until ``stop`` are left or none can merge."""
@@ -109,20 +112,22 @@ class Transducer:
             self.spine[token] = known
         return known
 
-    def follows(self, last: int, token: int) -> bool:
-        """Whether ``token`` may stand after ``last`` (-1: the start).
+    def _learn(self, last: int, token: int) -> bool:
+        """Whether ``token`` may stand after ``last`` (-1: the start), from now on in ``follow``.
 
         While both are merged, the token that ends ``last`` so far meets the
         one that begins ``token`` so far. They may stand side by side unless
         these two would merge before one of them is merged into its own side.
         """
-        key = (last, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._apart(last, token)
-        return known
+        if self.n_pairs >= KEPT_PAIRS:
+            for yes, no in self.follow.values():
+                yes.clear()
+                no.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        apart = self._apart(last, token)
+        self.follow[token][not apart].add(last)
+        return apart
 
     def _apart(self, last: int, token: int) -> bool:
         right = self.spines(token)
@@ -144,68 +149,58 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after a byte, and the last token of all bytes so far."""
-        after, last = [], None
-        for start in self.states[state]:
-            to = self.child.get(start >> 32 << 8 | byte)
-            if to is None:
-                continue
-            before = (start & 0xFFFFFFFF) - 1
-            if to in self.inner:
-                after.append(to << 32 | before + 1)
-            token = self.ends.get(to)
-            if last is None and token is not None and self.follows(before, token):
-                last = token
-        after.append(last + 1)
-        new = tuple(after)
-        number = self.numbers.get(new)
-        if number is None:
-            number = self.numbers[new] = len(self.states)
-            self.states.append(new)
-        made = self.moves[state << 8 | byte] = (number, last)
+    def _move(self, state, byte: int):
+        """The state after a byte; a token may start after any byte."""
+        there = [to for at in state[2] if (to := self.child.get(at << 8 | byte)) is not None]
+        new = (*(to for to in there if to in self.inner), 0)
+        tokens = [self.ends[to] for to in there if to in self.ends]
+        key = (new, tuple(tokens))
+        if key not in self.states:
+            ends = tuple((t, -self.length[t], *self.follow.setdefault(t, (set(), set()))) for t in tokens)
+            self.states[key] = ({}, ends, new)
+        made = state[0][byte] = self.states[key]
         return made
 
-    def __call__(self, data: bytes) -> tuple[int, ...]:
+    def __call__(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) >= KEPT_STATES:
             self._restart()
-        state, sent, lasts, moves = 0, [], [], self.moves
+        state, sent, lasts, hold = self.start, [], [-1], max(HELD_BYTES, 2 * self.longest)
         for byte in data:
-            made = moves.get(state << 8 | byte)
-            state, last = made or self._move(state, byte)
-            lasts.append(last)
-            if len(lasts) >= HELD_BYTES:
+            state = state[0].get(byte) or self._move(state, byte)
+            for token, back, yes, no in state[1]:
+                before = lasts[back]
+                if before in yes or before not in no and self._learn(before, token):
+                    lasts.append(token)
+                    break
+            if len(lasts) > hold:
                 lasts = self._settle(lasts, sent)
                 if len(self.states) >= 2 * KEPT_STATES:  # a very long pre-token: keep only where it is
-                    here = self.states[state]
                     self._restart()
-                    moves, state = self.moves, 1
-                    self.states.append(here)
-                    self.numbers[here] = 1
-        return (*sent, *self._back(lasts, len(lasts)))
+                    state = ({}, *state[1:])
+        return sent + self._back(lasts, len(lasts) - 1)
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
-        """The tokens of the first ``end`` bytes, from the last token of each prefix."""
+        """The tokens of the first ``end`` bytes; ``lasts``: the token before them, and the last token of each prefix."""
         ids, length = [], self.length
         while end:
-            ids.append(lasts[end - 1])
-            end -= length[lasts[end - 1]]
+            ids.append(lasts[end])
+            end -= length[lasts[end]]
         return ids[::-1]
 
     def _settle(self, lasts: list[int], sent: list[int]) -> list[int]:
-        """Send the tokens that no further byte can change; return the rest of ``lasts``.
+        """Send the tokens that no further byte can change; return the rest of ``lasts``, the last token sent first.
 
         A further token starts at most one longest token back, so what the
         chains of tokens from all those starts have in common is settled.
         """
-        ends = set(range(len(lasts) - self.longest, len(lasts) + 1))
+        ends = set(range(len(lasts) - 1 - self.longest, len(lasts)))
         while len(ends) > 1:
             end = max(ends)
             ends.discard(end)
-            ends.add(end - self.length[lasts[end - 1]])
+            ends.add(end - self.length[lasts[end]])
         (common_end,) = ends
         sent += self._back(lasts, common_end)
         return lasts[common_end:]
@@ -223,9 +218,27 @@ class Utf8Machine:
     """Ids to text, incrementally; wrong bytes give U+FFFD, one for each longest broken start."""
 
     def __init__(self, tokens: dict[int, bytes]):
+        import numpy as np
+
         self.tokens = tokens
         self.known: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         self.held = b""
+        # tokens side by side, and where each starts; whole: those that are whole characters
+        ids = sorted(tokens)
+        self.side = np.frombuffer(b"".join(map(tokens.__getitem__, ids)), np.uint8)
+        self.length = np.zeros(max(ids, default=-1) + 1, np.int64)
+        self.length[ids] = [len(tokens[i]) for i in ids]
+        self.start = np.cumsum(self.length) - self.length
+        self.whole = np.zeros(len(self.length), bool)
+        self.whole[ids] = [self._is_text(tokens[i]) for i in ids]
+
+    @staticmethod
+    def _is_text(token: bytes) -> bool:
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            return False
+        return True
 
     @staticmethod
     def run(held: bytes, data: bytes) -> tuple[str, bytes]:
@@ -267,43 +280,79 @@ class Utf8Machine:
         self.held = held
         return "".join(out)
 
+    def feed_array(self, ids) -> bytes:
+        """``feed`` for an array of ids, as UTF-8: runs of whole-character tokens are put side by side at once."""
+        import numpy as np
+
+        out, at = [], 0
+        broken = np.flatnonzero(~self.whole[ids]).tolist()
+        for stop in [*broken, len(ids)]:
+            while self.held and at < len(ids):
+                out.append(self.feed((int(ids[at]),)).encode())
+                at += 1
+            if at < stop:
+                run = ids[at:stop]
+                size = self.length[run]
+                places = np.repeat(self.start[run] - np.cumsum(size) + size, size)
+                places += np.arange(len(places))
+                out.append(self.side[places].tobytes())
+            if at <= stop < len(ids):
+                out.append(self.feed((int(ids[stop]),)).encode())
+                at = stop + 1
+        return b"".join(out)
+
     def end(self) -> str:
         left, self.held = "�" if self.held else "", b""
         return left
 
 
+class Kept(dict):
+    """Pre-token to its ids, as the bytes of 32-bit integers; repeats are kept."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEPT_TOKENS:
+            self.clear()
+        ids = array("i", self.transducer(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts to ids: pre-tokens by ``pattern``, each through the transducer; repeats are kept."""
+    """Whole texts to ids: pre-tokens by ``pattern``, each through the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import numpy as np
         import regex
 
         self.transducer = Transducer(ranks)
+        self.machine = Utf8Machine(self.transducer.tokens)
         self.pattern = regex.compile(pattern)
-        outer = self
-
-        class Kept(dict):
-            def __missing__(self, piece):
-                if len(self) >= KEPT_TOKENS:
-                    self.clear()
-                ids = outer.transducer(piece.encode())
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.kept = Kept()
+        self.kept = Kept(self.transducer)
+        self.decimals = np.array([b"%d," % i for i in range(max(ranks.values(), default=0) + 1)])
 
     def blocks(self, text: str):
-        """Lists of ids, each of a bounded run of pre-tokens."""
+        """Arrays of ids, each of a bounded run of pre-tokens."""
+        import numpy as np
+
+        kept = self.kept.__getitem__
         if len(text) <= LONG_TEXT:
-            yield list(chain.from_iterable(map(self.kept.__getitem__, self.pattern.findall(text))))
+            yield np.frombuffer(b"".join(map(kept, self.pattern.findall(text))), np.int32)
             return
         found = (m[0] for m in self.pattern.finditer(text))
         while piece := list(islice(found, 100_000)):
-            yield list(chain.from_iterable(map(self.kept.__getitem__, piece)))
+            yield np.frombuffer(b"".join(map(kept, piece)), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.blocks(text)))
+        return list(chain.from_iterable(ids.tolist() for ids in self.blocks(text)))
+
+    def decimal(self, ids) -> bytes:
+        """The ids in decimal, with a comma after each."""
+        return self.decimals[ids].tobytes().translate(None, b"\0")
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -324,35 +373,35 @@ def _encode_batches(ranks, pattern: str, full: bool):
         import pyarrow as pa
 
         enc = encoder(ranks.value, pattern)
-        machine = Utf8Machine(enc.transducer.tokens)
-        decimal = {i: str(i) for i in enc.transducer.tokens}
+        machine = enc.machine
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * full
 
         def out(doc_ids, rows, kept):
             n, a, b = (list(x) for x in zip(*rows)) if rows else ([], [], [])
             columns = [doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             if full:
-                ends = np.cumsum([0, *n])
-                values = np.frombuffer(kept, np.int32) if kept else np.empty(0, np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+                values = np.concatenate([np.empty(0, np.int32), *kept])
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(values)))
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
-            rows, kept, first = [], array("i"), 0
-            for at, data in enumerate(common.as_bytes(batch.column(1))):
+        for batch, texts in common.slices(batches, 1):
+            rows, kept, size, first = [], [], 0, 0
+            for at, data in enumerate(texts):
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 for ids in enc.blocks(data.decode("utf-8", "replace")):
-                    if ids:
-                        ids_hash.update(b"," * bool(n) + ",".join(map(decimal.__getitem__, ids)).encode())
-                        text_hash.update(machine.feed(ids).encode())
+                    if len(ids):
+                        ids_hash.update(b"," * bool(n))
+                        ids_hash.update(memoryview(enc.decimal(ids))[:-1])
+                        text_hash.update(machine.feed_array(ids))
                         n += len(ids)
                         if full:
-                            kept.extend(ids)
+                            kept.append(ids)
                 text_hash.update(machine.end().encode())
                 rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
-                if len(kept) >= HELD_IDS:
+                size += n
+                if full and size >= HELD_IDS:
                     yield out(batch.column(0).slice(first, len(rows)), rows, kept)
-                    rows, kept, first = [], array("i"), at + 1
+                    rows, kept, size, first = [], [], 0, at + 1
             yield out(batch.column(0).slice(first), rows, kept)
 
     return run

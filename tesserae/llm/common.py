@@ -50,7 +50,27 @@ def remainder(doc_id, n: int):
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null is empty."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    binary = pc.cast(column, pa.large_binary())
+    binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     return [b"" if x is None else x for x in binary.to_pylist()]
+
+
+#: Bytes of text that a worker turns into Python objects at once (a longer text makes a slice of its own), and rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+
+
+def slices(batches, column: int):
+    """Runs of rows of Arrow batches with the bytes of their texts, so that no whole batch is held as Python objects."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - at
+            part = batch.slice(at, max(1, min(n, SLICE_ROWS)))
+            yield part, as_bytes(part.column(column))
+            at += part.num_rows

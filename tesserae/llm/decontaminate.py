@@ -107,8 +107,8 @@ def _index_batches(vocabulary):
             names: list[bytes] = []
         else:
             names = list(terms)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))):
+        for batch, texts in common.slices(batches, 1):
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 found = words(text)
                 if terms is None:
                     for w in found:

@@ -50,9 +50,9 @@ def grams(word: str):
 def _count_batches(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch, texts in common.slices(batches, 0):
         by_lang: dict[str, Counter] = {}
-        for text, lang in zip(common.as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+        for text, lang in zip(texts, batch.column(1).to_pylist()):
             by_lang.setdefault(lang, Counter()).update(words(text.decode("utf-8", "replace")))
         rows = []
         for lang, found in by_lang.items():
@@ -179,8 +179,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(sent.value)
-        for batch in batches:
-            found = [scorer.predict(t.decode("utf-8", "replace")) for t in common.as_bytes(batch.column(1))]
+        for batch, texts in common.slices(batches, 1):
+            found = [scorer.predict(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=["doc_id", "lang_pred", "score"],

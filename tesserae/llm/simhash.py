@@ -64,8 +64,7 @@ def _fingerprint_batches(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
-        texts = common.as_bytes(batch.column(1))
+    for batch, texts in common.slices(batches, 1):
         found = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 

@@ -82,8 +82,8 @@ def _count_batches(pieces):
         import pyarrow as pa
 
         walk, kept = Walk(pieces.value), {}
-        for batch in batches:
-            texts = [[MARK + w for w in b.decode("utf-8", "replace").split()] for b in common.as_bytes(batch.column(1))]
+        for batch, found in common.slices(batches, 1):
+            texts = [[MARK + w for w in b.decode("utf-8", "replace").split()] for b in found]
             new = {w for words in texts for w in words} - kept.keys()
             if len(kept) + len(new) > KEPT:
                 kept.clear()

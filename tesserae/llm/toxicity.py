@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame):
         import pyarrow as pa
 
         distances = Distances(ordinary, toxic)
-        for batch in batches:
-            found = [list(features(t, distances)) for t in common.as_bytes(batch.column(1))]
+        for batch, texts in common.slices(batches, 1):
+            found = [list(features(t, distances)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(0)], names=["f", "toxic"])
 
     seen = sample.where("third = 0").select(F.col("toxic").cast("int"), "text").mapInArrow(run, "f array<double>, toxic int").collect()
@@ -179,9 +179,9 @@ def score(docs: DataFrame, model) -> DataFrame:
         import pyarrow as pa
 
         distances = Distances(*model[:2]) if model else None
-        for batch in batches:
+        for batch, texts in common.slices(batches, 1):
             scores = []
-            for text in common.as_bytes(batch.column(1)):
+            for text in texts:
                 odds = sum(w * f for w, f in zip(model[2], (1.0, *features(text, distances)))) if model else 0
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))) if model else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
@@ -199,8 +199,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         distances = Distances(*model[:2])
-        for batch in batches:
-            texts = common.as_bytes(batch.column(at))
+        for batch, texts in common.slices(batches, at):
             clean = [sum(w * f for w, f in zip(model[2], (1.0, *features(t, distances)))) < 0 for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
