@@ -154,7 +154,9 @@ def _digest_batches(batches):
 
 def digests(turns: DataFrame) -> DataFrame:
     """What the blocks of ``format_turns`` say, read back by the parser and the mask, one row a conversation."""
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "block")
+    raw = F.expr(f"substring(block, instr(block, '\\n') + 1, char_length(block) - instr(block, '\\n') - {len(END) + 1})")
+    text = F.regexp_replace(raw, r"<\\(\\*)\|", "<$1|")  # as the parser unescapes; looked at only where turn and role tie
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text)
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return ordered.select("conv_id", "block", "mask_start", "mask_end").mapInArrow(_digest_batches, schema)
 

@@ -54,3 +54,11 @@ def test_edge_cases(spark):
     frame = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, block string")
     assert result(C.digests(C.format_turns(frame))) == brute(rows)
     assert C.digests(C.format_turns(frame.limit(0))).count() == 0
+
+
+def test_ties_go_by_role_then_text(spark):
+    """Texts of one turn number that are beginnings of each other, or hold control strings that are escaped."""
+    texts = ["a", "a 1", "a<", "a<|", "a<\\|", "a<|im_end|>", "", "a\n", "a\\", "é", "z"]
+    rows = [(7, 1, role, t) for t in reversed(texts) for role in ("user", "assistant", "u\nser", "us\\er")] + [(None, None, "assistant", t) for t in texts]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert result(C.digests(C.format_turns(frame.repartition(3)))) == brute(rows)
