@@ -42,6 +42,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written out with a number for each row, and the name of that column.
+
+    Ids of documents may be null or repeated, these numbers are not; they are
+    made once and read back, so they stay if a task runs again.
+    """
+    name = unused(df, "row")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def remainder(doc_id, n: int):
     """crc32 of the decimal doc_id, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -11,14 +11,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of all elements before each element of an array of longs, and the whole sum last.
+def running(values: Column, both) -> Column:
+    """``both`` (sum, maximum) of all elements before each element of an array of longs not below zero, and of all last.
 
     Done in runs of about the square root of the length, so that the arrays
     that grow by appending stay short.
     """
     start = F.array(F.lit(0).cast("bigint"))
-    append = lambda a, x: F.array_append(a, F.element_at(a, -1) + x)
+    append = lambda a, x: F.array_append(a, both(F.element_at(a, -1), x))
 
     def whole(v: Column) -> Column:
         run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
@@ -31,9 +31,13 @@ def running_sums(values: Column) -> Column:
         return let(
             heads,
             lambda h: F.concat(
-                F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + F.get(h, i)))),
+                F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: both(y, F.get(h, i))))),
                 F.array(F.element_at(h, -1)),
             ),
         )
 
     return let(values, whole)
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, x: a + x)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .native import let, running_sums
+from .native import let, running, running_sums
 
 #: Kinds in their order: pattern, the group whose length counts, and its least length.
 BASE = {
@@ -96,7 +96,7 @@ def train(docs: DataFrame) -> list[float]:
     spark, n = docs.sparkSession, len(ALPHABET)
     rows = docs.count()
     share = min(1.0, SAMPLE / rows) if rows else 1.0
-    chosen = docs.where(F.abs(F.xxhash64("doc_id", F.lit("sample")) % 1_000_000) < share * 1_000_000)
+    chosen = docs.where(F.abs(F.xxhash64("doc_id", "text", F.lit("sample")) % 1_000_000) < share * 1_000_000)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ordinary = chosen.select(F.explode(F.transform(_runs(text, 8), lambda x: x["held"])).alias("run")).distinct()
     styles = spark.range(1).select(F.explode(F.array(*map(F.lit, STYLES))).alias("run"))
@@ -120,8 +120,11 @@ def train(docs: DataFrame) -> list[float]:
     return [a - b for a, b in zip(conditional(counts[1]), conditional(counts[0]))]
 
 
-def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``found``: array<struct<start, kind, end>>, by start and kind (numbers of ORDER)."""
+def scan(docs: DataFrame, ratios: list[float] | None = None, name: str = "found") -> DataFrame:
+    """All columns of ``docs`` and one of this name: array<struct<start, kind, end>>, by start and kind (numbers of ORDER).
+
+    A column of ``docs`` that has the name gives way; ``common.unused`` finds one that none has.
+    """
     ratios = train(docs) if ratios is None else ratios
     table = F.expr("array(" + ",".join(f"{x:.6f}D" for x in ratios) + ")")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -137,7 +140,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     random = F.filter(_runs(text, LEAST), lambda x: score(x["held"]) >= THRESHOLD)
     apart = lambda base: lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["at"] < b["end"]))
     found = let(F.concat(*parts), lambda base: F.concat(base, _spans(F.filter(random, apart(base)), MODEL)))
-    return docs.withColumn("found", F.array_sort(found))
+    return docs.withColumn(name, F.array_sort(found))
 
 
 def _written(found: Column) -> Column:
@@ -147,21 +150,17 @@ def _written(found: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: list[float] | None = None) -> DataFrame:
     """``docs`` with each run of overlapping spans in ``text`` replaced by ``mark``; other columns stay."""
-    columns = docs.columns
-    scanned = scan(docs, ratios)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        between = F.substring("text", (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
-        return F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(between, F.lit(mark)))).alias("out"),
-        )
-
-    done = F.aggregate("found", state, step, lambda a: F.concat(
-        F.array_join(a["out"], ""), F.substring("text", (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    text = F.when(F.size("found") > 0, done).otherwise(F.col("text"))
-    return scanned.withColumn("text", text).select(*columns)
+    name = common.unused(docs, "found")
+    text = F.col("text").cast("string")
+
+    def replaced(ends: Column) -> Column:
+        """``ends``: how far the spans before each span reach, and all spans."""
+        between = lambda x, i: F.substring(text, (F.get(ends, i) + 1).cast("int"), (x["start"] - F.get(ends, i)).cast("int"))
+        parts = F.transform(name, lambda x, i: F.when(x["start"] < F.get(ends, i), "").otherwise(F.concat(between(x, i), F.lit(mark))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.lit(2**31 - 1)))
+
+    done = let(running(F.transform(name, lambda x: x["end"]), F.greatest), replaced)
+    return scan(docs, ratios, name).withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

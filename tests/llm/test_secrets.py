@@ -76,3 +76,25 @@ def test_running_sums(spark):
         frame = spark.createDataFrame([(values,)], "v array<long>")
         want = [sum(values[:i]) for i in range(len(values) + 1)]
         assert frame.select(native.running_sums(F.col("v"))).first()[0] == want
+
+
+def test_running_maxima(spark):
+    for values in ([], [5, 3], [7, 1, 9, 2] * 30):
+        frame = spark.createDataFrame([(values,)], "v array<long>")
+        want = [max([0, *values[:i]]) for i in range(len(values) + 1)]
+        assert frame.select(native.running(F.col("v"), F.greatest)).first()[0] == want
+
+
+def test_columns_of_the_input_stay(spark, small):
+    docs, _ = small
+    docs = docs.withColumn("Found_", F.lit(3))
+    out = S.redact(docs, "#", S.train(docs.limit(0)))
+    assert out.columns == docs.columns
+    assert {(r.found, r.Found_) for r in out.collect()} == {("z", 3)}
+    assert S.scan(docs, S.train(docs.limit(0)), "spans").columns == [*docs.columns, "spans"]
+
+
+def test_many_spans_of_one_text(spark):
+    text = ("password=abcdefgh1 " + HEX + " ") * 2000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert S.redact(docs, "#", S.train(docs.limit(0))).first().text == "# # " * 2000
