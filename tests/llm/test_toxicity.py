@@ -1,4 +1,6 @@
+import math
 import os
+import zlib
 
 import pytest
 
@@ -23,10 +25,44 @@ def test_held_out_accuracy(spark, larger):
 
 
 def test_distances_find_fitted_strings():
-    ordinary = " ".join(["", *(f"word{c}" for c in "abcdefgh"), ""]).encode() * 3
-    d = T.Distances(ordinary, b" pathetic  chlla")
-    assert d[b"pathetic"] >= T.CLOSE and d[b"chllanura"] >= T.CLOSE
-    assert all(d[w] < T.CLOSE for w in (b"worda", b"zebra", b"the", b"x" * 500))
+    usual = [(b"", " {} {} plain words go here so far ".format(a * 3, b * 4).encode()) for a in "abcdefgh" for b in "ijkl"]
+    marked = [b" chlla", b" pathetic "]
+    toxic = [(b" pathetic ", b" you pathetic thing "), (b" chlla", b" la chllanu vien ")]
+    d = T.Distances(*T._dictionaries([*usual, *toxic], marked))
+    assert d(b"aaa iiii so pathetic words go here plain".split()) >= T.CLOSE <= d([b"pathetic"])
+    assert d(b"bbb jjjj chllaque words go here plain".split()) >= T.CLOSE <= d([b"chllaque"])
+    assert all(d(w.split()) < T.CLOSE for w in (b"aaa iiii so plain words", b"you", b"thing", b"vien", b"", b"x" * 500))
+
+
+def test_score_is_that_of_plain_windows(spark, larger):
+    """Brute force over the whole table: each window compressed anew by both dictionaries."""
+    import re
+
+    import zstandard
+
+    path = larger.replace("sf0.1", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    ordinary, toxic, weights = T.fit(docs, labels)
+
+    def length(content, window):
+        how = zstandard.ZstdCompressionParameters.from_level(
+            13, min_match=3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(content + T.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return lambda w: len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(T.LEAD + w + T.TAIL))
+
+    one, two = length(ordinary, None), length(toxic, None)
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in T.op6_toxicity(spark, path).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[::5]:
+        found = re.findall("[a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        cut = [found[i : i + 8] for i in range(0, len(found), 8)]
+        distance = lambda w: one(f" {w} ".encode()) - two(f" {w} ".encode())
+        d = [distance(w) for ws in cut if distance(" ".join(ws)) >= 1 for w in ws]
+        close = sum(x >= 2 for x in d)
+        f = (1, math.log1p(close), 50 * close / (len(found) + 1), sum(sorted((max(0, x) for x in d), reverse=True)[:3]) / 10)
+        score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, f))))
+        assert got[r.doc_id] == (pytest.approx(score, abs=1e-9), int(score >= 0.5), zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
 def made(spark):
