@@ -93,3 +93,15 @@ def test_edge_cases(spark):
     marked = [(a, slow_fingerprint(b)) for a, b in rows]
     assert got == sorted(map(str, ((d, f, c) for (d, f), c in zip(marked, brute(marked)))))
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    same = "a b c d e f g h"
+    rows = [(7, "first text entirely of its own", 1), (7, "second and quite another thing here", 2), (None, "third one without any id at all", 3),
+            (None, "fourth one lacks an id as well now", 4), (9, same, 5), (3, same, 6), (3, same, 7), (None, same, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.row for r in kept.collect()))
+    assert got[:4] == [1, 2, 3, 4] and len(got) == 5 and got[4] in (6, 7)
+    assert S.keep_one(docs.limit(0)).count() == 0
