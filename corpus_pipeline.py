@@ -3,13 +3,19 @@
 Documents that score as toxic go; of each group of near duplicates one stays;
 documents that hold benchmark text go; secrets in the texts are replaced; the
 texts are encoded.
+
+Defined results: every stage judges rows, not doc_ids, so rows with null or
+repeated ids are each treated as they stand; rows that are equal in all columns
+are near duplicates like any other; null and empty texts are alike to all
+stages and no secret, and of their group one row stays, the one of the smallest
+doc_id; further columns of the documents stay up to the last stage, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesserae.llm import bpe, common, decontaminate, secrets, simhash, toxicity
 
@@ -19,18 +25,11 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each component; of rows that share it, the first by text."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    return rows.withColumn("nth_of_id", nth).where("nth_of_id = 1").select(*docs.columns)
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def replace_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
