@@ -57,3 +57,21 @@ def test_ids_reach_the_result(spark, sf_dir):
     rows = C.run(spark, sf_dir).collect()
     assert all(len(r.ids) == r.n_tokens for r in rows) and any(r.ids for r in rows)
     assert all(hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows)
+
+
+def test_rows_are_judged_by_themselves(spark, sf_dir):
+    """Null and repeated ids: no row goes because of another one that shares its id; clashing columns stay."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    own = [f"{w} " + " ".join(f"{w}{i}{w}" for i in range(30)) for w in ("ab", "cd", "ef", "gh", "ij", "kl", "mn")]
+    rows = [(None, own[0]), (None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (8, own[5]), (8, item), (None, item), (9, own[6]), (9, own[6]), (None, own[6])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 5, i, 42) for i, (d, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row int, nth_of_id int")
+    near = C.drop_near_duplicates(spark, docs, sf_dir)
+    kept = {r.row for r in near.collect()}
+    assert near.columns == docs.columns and {r.nth_of_id for r in near.collect()} == {42}
+    assert {0, 1, 2, 3, 4, 5} <= kept and len(kept & {6, 7}) == 1 and len(kept & {8, 9}) == 1 and 10 not in kept
+    clean = C.drop_contaminated(spark, docs, sf_dir)
+    assert {r.row for r in clean.collect()} == {0, 1, 2, 3, 4, 5, 8, 9, 10} and clean.columns == docs.columns
+    done = C.replace_secrets(spark, clean, sf_dir)
+    assert sorted(map(str, done.drop("n_chars").collect())) == sorted(map(str, clean.drop("n_chars").collect()))
+    assert C.encode(spark, done, sf_dir).count() == 9
