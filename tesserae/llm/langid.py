@@ -4,8 +4,9 @@ A known word counts its log frequency in each language. An unknown word is
 read character by character: at each place the longest known n-gram that ends
 there counts (LONGEST characters, else one fewer, down to one), and the word
 counts their mean. The frequencies are gathered from a bounded sample of
-documents (FIT_ROWS) that may be learned from; a text is predicted from all of
-its words.
+documents (FIT_ROWS, dealt evenly to the languages) that may be learned from,
+all words and all n-grams that stand there LEAST times; a text is predicted
+from all of its words.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 equal sums go to the first language in order of name; repeated rows each keep
@@ -18,14 +19,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents (about) that are learned from, and words and n-grams (most frequent first) that are kept.
-FIT_ROWS, KNOWN_WORDS, KNOWN_GRAMS = 8000, 50_000, 40_000
+#: Documents (about) that are learned from, and occurrences in them from which a word or n-gram is known.
+FIT_ROWS, LEAST = 8000, 2
 LONGEST = 4
 #: Words after which further ones no longer raise the score.
 SURE = 20
@@ -58,7 +60,7 @@ def _count_batches(batches):
         for lang, found in by_lang.items():
             parts: Counter = Counter()
             for word, n in found.items():
-                for g in grams(word[:200]):
+                for g in grams(word):
                     parts[g] += n
             rows += [(0, lang, w, n) for w, n in found.items()] + [(1, lang, g, n) for g, n in parts.items()]
         kind, lang, piece, n = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
@@ -69,55 +71,48 @@ def _count_batches(batches):
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams."""
+    """Log frequencies by language of known words and n-grams: rows of a table by piece."""
 
     def __init__(self, langs: list[str], word_counts: dict[str, dict[str, int]], gram_counts: dict[str, dict[str, int]]):
         self.langs = langs
-        self.words = self._logs(word_counts)
-        self.grams = self._logs(gram_counts)
+        self.words, self.word_logs = self._logs(word_counts)
+        self.grams, self.gram_logs = self._logs(gram_counts)
 
     def _logs(self, counts):
-        totals = {lang: sum(c.get(lang, 0) for c in counts.values()) for lang in self.langs}
-        size = len(counts) + 1
-        return {
-            piece: tuple(math.log((c.get(lang, 0) + 0.5) / (totals[lang] + 0.5 * size)) for lang in self.langs)
-            for piece, c in counts.items()
-        }
+        import numpy as np
+
+        table = np.array([[c.get(lang, 0) for lang in self.langs] for c in counts.values()], np.float64).reshape(len(counts), len(self.langs))
+        return dict(zip(counts, range(len(counts)))), np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(counts) + 1)))
 
     def unknown(self, word: str) -> tuple[float, ...]:
         """Mean of the longest known n-grams that end at each character."""
         marked, found = f"^{word}$", []
         for end in range(2, len(marked) + 1):
             for n in range(min(LONGEST, end), 0, -1):
-                logs = self.grams.get(marked[end - n : end])
-                if logs is not None:
-                    found.append(logs)
+                at = self.grams.get(marked[end - n : end])
+                if at is not None:
+                    found.append(at)
                     break
-        if not found:
-            return (0.0,) * len(self.langs)
-        return tuple(math.fsum(x) / len(found) for x in zip(*found))
+        return tuple(self.gram_logs[found].mean(axis=0)) if found else (0.0,) * len(self.langs)
 
 
 def fit(docs: DataFrame) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a lang and are not held out."""
     rows = docs.where((common.remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    there = rows.count()
-    share = min(1.0, FIT_ROWS / there) if there else 1.0
-    sample = rows.where(F.abs(F.xxhash64("doc_id", F.lit("langid")) % 1_000_000) < share * 1_000_000)
-    counted = sample.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(
-        _count_batches, "kind int, lang string, piece string, n bigint"
-    ).groupBy("kind", "piece", "lang").agg(F.sum("n").alias("n"))
-    counted = common.materialize(counted, "langid")
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    if not langs:
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not there:
         return Model([], {}, {})
+    shares = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(min(1.0, FIT_ROWS / len(there) / n))) for lang, n in there.items()))
+    sample = rows.where(F.abs(F.xxhash64("doc_id", "text", F.lit("langid")) % 1_000_000) < F.element_at(shares, F.col("lang")) * 1_000_000)
+    counted = sample.select("text", "lang").mapInArrow(_count_batches, "kind int, lang string, piece string, n bigint")
+    counted = common.materialize(counted.groupBy("kind", "piece", "lang").agg(F.sum("n").alias("n")), "langid")
     by_piece = counted.groupBy("kind", "piece").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    learned = []
-    for kind, most in ((0, KNOWN_WORDS), (1, KNOWN_GRAMS)):
-        top = by_piece.where((F.col("kind") == kind) & (F.col("total") > 1)).orderBy(F.desc("total"), "piece").limit(most)
-        learned.append({r["piece"]: {x["lang"]: x["n"] for x in r["by_lang"]} for r in top.select("piece", "by_lang").collect()})
-    return Model(langs, *learned)
+        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).where(F.col("total") >= LEAST)
+    learned: list[dict] = [{}, {}]
+    for r in by_piece.select("kind", "piece", "by_lang").toLocalIterator():  # pieces of a bounded sample
+        learned[r["kind"]][r["piece"]] = {x["lang"]: x["n"] for x in r["by_lang"]}
+    return Model(sorted(there), *(dict(sorted(found.items())) for found in learned))
 
 
 class Scorer:
@@ -131,7 +126,7 @@ class Scorer:
         self.most = known + max(1000, KEPT_BYTES // (8 * width))
         self.table = np.zeros((self.most, width))
         if known:
-            self.table[:known] = list(model.words.values())
+            self.table[:known] = model.word_logs
         self.first = known
         self.rows = Rows(self)
 

@@ -21,7 +21,7 @@ MODEL = L.Model(["a", "b"], {"the": {"a": 9, "b": 1}, "das": {"b": 8}},
 
 def slow(text):
     found = L.words(text)
-    total = [math.fsum(x) for x in zip(*(MODEL.words.get(w) or MODEL.unknown(w) for w in found))]
+    total = [math.fsum(x) for x in zip(*(MODEL.word_logs[MODEL.words[w]] if w in MODEL.words else MODEL.unknown(w) for w in found))]
     return total
 
 
@@ -37,7 +37,7 @@ def test_sums_against_plain_loop(monkeypatch, kept):
 
 def test_backoff_takes_the_longest_known():
     model = L.Model(["a"], {}, {"^": {"a": 1}, "a": {"a": 2}, "^a": {"a": 3}, "$": {"a": 4}})
-    g = model.grams
+    g = {k: model.gram_logs[i] for k, i in model.grams.items()}
     assert model.unknown("az") == pytest.approx(((g["^a"][0] + g["$"][0]) / 2,))
     assert L.Model(["a"], {}, {}).unknown("az") == (0.0,)
 
@@ -53,3 +53,61 @@ def test_edge_cases(spark):
     nothing = L.fit(docs.where("lang IS NULL"))
     assert {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"}
     assert L.predict(docs.limit(0), nothing).count() == 0
+
+
+def test_query_against_plain_counting(spark):
+    """Brute force over the whole table: counts, smoothing, backoff and sums in plain loops."""
+    import re
+    import zlib
+    from collections import Counter, defaultdict
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet").collect()
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    parts = lambda w: [f"^{w}$"[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) + 3 - n)]
+    counts = [defaultdict(Counter), defaultdict(Counter)]  # of words, of n-grams: all 200 documents are within the sample's bound
+    for r in docs:
+        if not held(r.doc_id) and r.lang is not None:
+            for w in words(r.text):
+                counts[0][w][r.lang] += 1
+                for g in parts(w):
+                    counts[1][g][r.lang] += 1
+    langs = sorted({r.lang for r in docs if not held(r.doc_id) and r.lang is not None})
+    logs = []
+    for found in counts:
+        known = {k: c for k, c in found.items() if sum(c.values()) > 1}
+        total = {x: sum(c[x] for c in known.values()) for x in langs}
+        logs.append({k: [math.log((c[x] + 0.5) / (total[x] + 0.5 * (len(known) + 1))) for x in langs] for k, c in known.items()})
+
+    def of(w):
+        if w in logs[0]:
+            return logs[0][w]
+        marked = f"^{w}$"
+        ends = [next((logs[1][marked[e - n : e]] for n in range(min(4, e), 0, -1) if marked[e - n : e] in logs[1]), None) for e in range(2, len(marked) + 1)]
+        ends = [x for x in ends if x]
+        return [math.fsum(x) / len(ends) for x in zip(*ends)] if ends else [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in L.op2_langid(spark, path).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        found = words(r.text)
+        if not any(c.isalpha() for w in found for c in w):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = [math.fsum(x) for x in zip(*map(of, found))]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        score = 1 / math.fsum(math.exp((t - total[best]) * min(1, 20 / len(found))) for t in total)
+        assert got[r.doc_id].lang_pred == langs[best] and got[r.doc_id].score == pytest.approx(score, rel=1e-6)
+        assert got[r.doc_id].held_out == held(r.doc_id)
+
+
+def test_ties_long_words_and_rare_languages(spark, monkeypatch):
+    tie = L.Model(["a", "b"], {"same": {"a": 3, "b": 3}}, {})
+    assert L.Scorer(tie).predict("same same") == ("a", 0.5)
+    monkeypatch.setattr(L, "FIT_ROWS", 60)
+    rows = [(i, "the cat and the dog go home", "en") for i in range(3000)] + [(5000 + i, "x" * 300 + "zqzq", "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs.where("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    assert model.langs == ["en", "zz"] and "zqzq" in model.grams
+    assert L.Scorer(model).predict("zqzqzq")[0] == "zz"
