@@ -55,9 +55,11 @@ def _renumbered(groups: DataFrame) -> DataFrame:
     return groups.withColumn("group", (F.row_number().over(order) - 1).cast("int"))
 
 
-def _followed(tiles: DataFrame, kept: DataFrame) -> DataFrame:
-    names = kept.select("asset_id", F.col("old").alias("group"), F.col("group").alias("new"))
-    return tiles.join(names, ["asset_id", "group"]).withColumn("group", F.col("new")).drop("new")
+def _followed(tiles: DataFrame, kept: DataFrame, below: str | None = None) -> DataFrame:
+    """Tiles of the kept groups under their new numbers; ``below``: the column of ``kept`` that levels must be under."""
+    names = kept.select("asset_id", F.col("old").alias("group"), F.col("group").alias("new"), *([F.col(below).alias("below")] if below else []))
+    found = tiles.join(names, ["asset_id", "group"])
+    return (found.where("level < below") if below else found).withColumn("group", F.col("new")).drop("new", "below")
 
 
 def _some_left(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -74,18 +76,18 @@ def remove_semantic(groups: DataFrame, tiles: DataFrame, semantic: int):
     return kept.drop("old"), _followed(tiles, kept)
 
 
-def strip_finest(assets: DataFrame, groups: DataFrame, tiles: DataFrame, n: int):
-    """Assets, groups and tiles without the ``n`` finest levels."""
-    if n == 0:
+def strip_finest(assets: DataFrame, groups: DataFrame, tiles: DataFrame, n):
+    """Assets, groups and tiles without the ``n`` finest levels: a number, or a column of ``assets``."""
+    if isinstance(n, int) and n == 0:
         return assets, groups, tiles
-    ok = assets.where(F.assert_true(F.col("levels") > n, F.lit("cannot strip all levels")).isNull())
+    n = F.lit(n) if isinstance(n, int) else n
+    ok = assets.where(F.assert_true(F.col("levels") > n, F.lit("cannot strip all levels")).isNull()).withColumn("cut", n)
     cut = ok.withColumns({
-        "root_w": L.dim_at(F.col("root_w"), F.lit(n)), "root_h": L.dim_at(F.col("root_h"), F.lit(n)), "levels": (F.col("levels") - n).cast("int")})
-    both = groups.join(cut.select("asset_id", F.col("levels").alias("new_levels")), "asset_id").withColumn("old", F.col("group"))
-    low, high = L.level_range(F.col("new_levels") + n, F.col("level_count"), F.col("level_skip"))
+        "root_w": L.dim_at(F.col("root_w"), F.col("cut")), "root_h": L.dim_at(F.col("root_h"), F.col("cut")), "levels": (F.col("levels") - F.col("cut")).cast("int")})
+    both = groups.join(cut.select("asset_id", "cut", F.col("levels").alias("new_levels")), "asset_id").withColumn("old", F.col("group"))
+    low, high = L.level_range(F.col("new_levels") + F.col("cut"), F.col("level_count"), F.col("level_skip"))
     both = both.withColumns({"low": low, "high": F.least(high, F.col("new_levels"))}).where("low < new_levels")
     kept = both.withColumns({
         "level_count": (F.col("high") - F.col("low")).cast("int"), "level_skip": (F.col("new_levels") - F.col("high")).cast("int")})
-    kept = _some_left(_renumbered(kept.drop("low", "high", "new_levels")), groups)
-    inside = tiles.join(cut.select("asset_id", F.col("levels").alias("new_levels")), "asset_id").where("level < new_levels").drop("new_levels")
-    return cut, kept.drop("old"), _followed(inside, kept)
+    kept = _some_left(_renumbered(kept.drop("low", "high", "cut")), groups)
+    return cut.drop("cut"), kept.drop("old", "new_levels"), _followed(tiles, kept, "new_levels")

@@ -67,15 +67,18 @@ def _payloads(pixels: DataFrame, assets: DataFrame, groups: DataFrame, tile_size
     """Tiles with blobs: ``value`` is a pixel's bytes as hex digits."""
     placed = raster.crop(pixels, tile_size) if tile_size else pixels.withColumns({
         "row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "ty": F.col("y"), "tx": F.col("x")})
-    joined = placed.groupBy("asset_id", "level", "face", "row", "col").agg(
-        F.array_sort(F.collect_list(F.struct("ty", "tx", value.alias("p")))).alias("ps"))
-    raw = joined.select("asset_id", F.lit(0).alias("group"), "level", "face", "row", "col", F.unhex(F.array_join(F.col("ps.p"), "")).alias("raw"))
+    # lines of a tile first, so that no row holds more than a line of pixels or a tile's bytes
+    at = ["asset_id", "level", "face", "row", "col"]
+    lines = placed.groupBy(*at, "ty").agg(F.array_sort(F.collect_list(F.struct("tx", value.alias("p")))).alias("ps"))
+    lines = lines.select(*at, "ty", F.unhex(F.array_join("ps.p", "")).alias("line"))
+    joined = lines.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("ty", "line"))).alias("lines"))
+    raw = joined.select("asset_id", F.lit(0).alias("group"), "level", "face", "row", "col", F.col("lines.line").alias("raw"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            packed = pa.array([codecs.encode(codec, b) for b in batch.column("raw").to_pylist()], pa.binary())
+            packed = pa.array([codecs.encode(codec, b"".join(lines)) for lines in batch.column("raw").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "blob"])
 
     blobs = raw.mapInArrow(run, "asset_id bigint, `group` int, level int, face int, row bigint, col bigint, blob binary")

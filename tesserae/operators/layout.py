@@ -52,13 +52,16 @@ def totals(levels: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def enumerate_tiles(levels: DataFrame) -> DataFrame:
-    """Every tile in canonical order: group, level, face, row, column."""
-    each = levels.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    area = F.col("cols") * F.col("rows")
-    inside = F.col("i") % area
+    """Every tile in canonical order: group, level, face, row, column; fails beyond MAX_TILES.
+
+    Lines of tiles first, then the tiles of each, so that no row holds all of a level.
+    """
+    fits = F.assert_true(F.col("base") + F.col("tiles") <= MAX_TILES, F.lit("too many tiles")).isNull()
+    line = levels.where(fits).withColumn("line", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("face_count") * F.col("rows") - 1)))
+    each = line.withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cols") - 1)))
     return each.select(
-        "asset_id", "group", "level", L._div(F.col("i"), area).cast("int").alias("face"), L._div(inside, F.col("cols")).alias("row"),
-        (inside % F.col("cols")).alias("col"), (F.col("base") + F.col("i")).alias("ordinal"),
+        "asset_id", "group", "level", L._div(F.col("line"), F.col("rows")).cast("int").alias("face"), (F.col("line") % F.col("rows")).alias("row"),
+        "col", (F.col("base") + F.col("line") * F.col("cols") + F.col("col")).alias("ordinal"),
         "w", "h", "tile_size", "untiled",
     ).withColumns({
         "tile_w": L.tile_dim(F.col("w"), F.col("tile_size"), F.col("col"), F.col("untiled")),

@@ -74,9 +74,9 @@ def q_enumerate(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("tile_w") * F.col("tile_h")).alias("pixels"), F.max("ordinal").alias("last"))
 
 
-@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, face, \"row\", \"col\", tile_w, tile_h FROM t WHERE ordinal % 97 = 0")
+@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, face, \"row\", \"col\", tile_w, tile_h FROM t")
 def q_tile_dims(spark, sf_dir):
-    found = layout.enumerate_tiles(_levels(spark, sf_dir)).where("ordinal % 97 = 0")
+    found = layout.enumerate_tiles(_levels(spark, sf_dir))
     return found.select("asset_id", "group", "level", "face", "row", "col", "tile_w", "tile_h")
 
 
@@ -132,9 +132,9 @@ def q_offset_index(spark, sf_dir):
     return _index(spark, sf_dir).select("asset_id", "ordinal", "start_off", "end_off")
 
 
-@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges WHERE n_bytes > 0 AND ordinal % 3 = 0")
+@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges WHERE n_bytes > 0")
 def q_tile_range(spark, sf_dir):
-    return tiles.tile_ranges(_index(spark, sf_dir)).where("ordinal % 3 = 0").select("asset_id", "ordinal", "start_off", "end_off")
+    return tiles.tile_ranges(_index(spark, sf_dir)).select("asset_id", "ordinal", "start_off", "end_off")
 
 
 @query(f"""WITH {D.INDEX_SQL} SELECT asset_id, grp AS "group", level, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS n_tiles FROM ranges GROUP BY ALL""")
@@ -156,12 +156,12 @@ def q_offsets(spark, sf_dir):
         F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query(f"""WITH {D.INDEX_SQL}, w AS (SELECT * FROM ranges WHERE n_bytes > 0 AND ordinal % 3 <> 1),
+@query(f"""WITH {D.INDEX_SQL}, w AS (SELECT * FROM ranges WHERE n_bytes > 0),
  m AS (SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY asset_id ORDER BY start_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 0 ELSE 1 END AS new FROM w),
  r AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY start_off) AS run FROM m)
  SELECT asset_id, min(start_off) AS span_start, max(end_off) AS span_end, count(*) AS n_tiles FROM r GROUP BY asset_id, run""")
 def q_spans(spark, sf_dir):
-    return tiles.spans(tiles.tile_ranges(_index(spark, sf_dir)).where("ordinal % 3 <> 1"), 1000)
+    return tiles.spans(tiles.tile_ranges(_index(spark, sf_dir)), 1000)
 
 
 @query(f"WITH {D.INDEX_SQL} SELECT asset_id, bool_and(n_bytes = 0 OR ordinal % 10 <> 3 OR asset_id % 2 = 0) AS complete FROM ranges GROUP BY 1")
@@ -170,47 +170,9 @@ def q_complete(spark, sf_dir):
     return tiles.complete(_index(spark, sf_dir), fetched)
 
 
-@query("""WITH t AS (SELECT doc_id // 10 AS ordinal, CASE WHEN text <> '' THEN text END AS blob, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id % 4 <> 0)
- SELECT CAST(0 AS BIGINT) AS asset_id, i AS ordinal, md5(blob) AS blob_md5 FROM range((SELECT max(doc_id) // 20 + 1 FROM documents)) r(i) LEFT JOIN t ON t.ordinal = i AND n = 1""")
-def q_place(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents")
-    blobs = docs.where("doc_id % 4 <> 0").select(
-        F.lit(0).cast("bigint").alias("asset_id"), F.floor(F.col("doc_id") / 10).cast("bigint").alias("ordinal"), F.col("text").cast("binary").alias("blob"), F.col("doc_id").alias("seq"))
-    last = docs.agg(F.floor(F.max("doc_id") / 20).cast("bigint").alias("last"))
-    wanted = last.select(F.lit(0).cast("bigint").alias("asset_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("ordinal"))
-    return tiles.place(wanted, blobs, ["asset_id", "ordinal"]).select("asset_id", "ordinal", F.md5("blob").alias("blob_md5"))
-
-
-@query("SELECT doc_id // 100 AS asset_id, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE doc_id % 3 = 0")
-def q_push_order(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    return tiles.pushed(docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), F.col("doc_id").alias("seq")))
-
-
-# --- whole tables: the operators of q_tile_dims, q_tile_range, q_spans, q_place and q_push_order, without those queries' filters ---
-
-
-@query(f"WITH {D.ASSETS_SQL}, t AS ({_ENUMERATED}) SELECT asset_id, \"group\", level, face, \"row\", \"col\", tile_w, tile_h FROM t")
-def q_tile_dims_all(spark, sf_dir):
-    return layout.enumerate_tiles(_levels(spark, sf_dir)).select("asset_id", "group", "level", "face", "row", "col", "tile_w", "tile_h")
-
-
-@query(f"WITH {D.INDEX_SQL} SELECT asset_id, ordinal, start_off, end_off FROM ranges WHERE n_bytes > 0")
-def q_tile_range_all(spark, sf_dir):
-    return tiles.tile_ranges(_index(spark, sf_dir)).select("asset_id", "ordinal", "start_off", "end_off")
-
-
-@query(f"""WITH {D.INDEX_SQL}, w AS (SELECT * FROM ranges WHERE n_bytes > 0),
- m AS (SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY asset_id ORDER BY start_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 0 ELSE 1 END AS new FROM w),
- r AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY start_off) AS run FROM m)
- SELECT asset_id, min(start_off) AS span_start, max(end_off) AS span_end, count(*) AS n_tiles FROM r GROUP BY asset_id, run""")
-def q_spans_all(spark, sf_dir):
-    return tiles.spans(tiles.tile_ranges(_index(spark, sf_dir)), 1000)
-
-
 @query("""WITH t AS (SELECT doc_id // 10 AS ordinal, CASE WHEN text <> '' THEN text END AS blob, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id DESC) AS n FROM documents)
  SELECT CAST(0 AS BIGINT) AS asset_id, i AS ordinal, md5(blob) AS blob_md5 FROM range((SELECT max(doc_id) // 10 + 1 FROM documents)) r(i) LEFT JOIN t ON t.ordinal = i AND n = 1""")
-def q_place_all(spark, sf_dir):
+def q_place(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents")
     blobs = docs.select(
         F.lit(0).cast("bigint").alias("asset_id"), F.floor(F.col("doc_id") / 10).cast("bigint").alias("ordinal"), F.col("text").cast("binary").alias("blob"), F.col("doc_id").alias("seq"))
@@ -220,7 +182,7 @@ def q_place_all(spark, sf_dir):
 
 
 @query("SELECT doc_id // 100 AS asset_id, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS ordinal FROM documents")
-def q_push_order_all(spark, sf_dir):
+def q_push_order(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents")
     return tiles.pushed(docs.select(F.floor(F.col("doc_id") / 100).cast("bigint").alias("asset_id"), F.col("doc_id").alias("seq")))
 
@@ -361,33 +323,31 @@ def q_remove_semantic(spark, sf_dir):
     return _summary(compose.remove_semantic(D.groups(spark, sf_dir), _tiles(spark, sf_dir), 2)[1])
 
 
-@query(f"""WITH {_EDIT}, a AS (SELECT * FROM assets WHERE levels > 2),
- k AS (SELECT g.asset_id, grp, row_number() OVER (PARTITION BY g.asset_id ORDER BY grp) - 1 AS new, levels - 2 AS nl FROM groups g JOIN a USING (asset_id) WHERE levels - level_skip - level_count < levels - 2)
+@query(f"""WITH {_EDIT}, k AS (SELECT asset_id, grp, row_number() OVER (PARTITION BY asset_id ORDER BY grp) - 1 AS new, nl FROM (
+  SELECT g.*, levels, levels - least(2, levels - 1) AS nl FROM groups g JOIN assets USING (asset_id)) WHERE levels - level_skip - level_count < nl)
  SELECT t.asset_id, CAST(new AS INT) AS "group", level, {_SUM} FROM t JOIN k ON t.asset_id = k.asset_id AND t."group" = k.grp WHERE level < nl GROUP BY t.asset_id, new, level""")
 def q_strip_finest(spark, sf_dir):
-    a = D.assets(spark, sf_dir).where("levels > 2")
-    g = D.groups(spark, sf_dir).join(a.select("asset_id"), "asset_id")
-    return _summary(compose.strip_finest(a, g, _tiles(spark, sf_dir), 2)[2])
+    """Two levels less, or all but the coarsest where there are fewer than three."""
+    n = F.least(F.lit(2), F.col("levels") - 1)
+    return _summary(compose.strip_finest(D.assets(spark, sf_dir), D.groups(spark, sf_dir), _tiles(spark, sf_dir), n)[2])
 
 
-@query(f"""WITH {_EDIT}, s AS (SELECT asset_id, 1 + asset_id % 3 AS d FROM assets WHERE levels > 3),
- m AS (SELECT asset_id, "group", level, face, "row", "col", concat_ws('/', "group", level, face, "row", "col") AS blob FROM t JOIN s USING (asset_id)
- UNION ALL SELECT a.asset_id, 2, levels - 1 - d, f, 0, 0, 'sibling' || f FROM assets a JOIN s USING (asset_id), unnest(range(face_count)) u(f))
+@query(f"""WITH {_EDIT}, s AS (SELECT asset_id, CAST(least(1 + asset_id % 3, levels - 1) AS INT) AS d FROM assets),
+ m AS (SELECT asset_id, "group", level, concat_ws('/', "group", level, face, "row", "col") AS blob FROM t
+ UNION ALL SELECT a.asset_id, 2, (SELECT max(level) FROM runs r WHERE r.asset_id = a.asset_id AND r.w = (a.root_w + (1 << d) - 1) >> d AND r.h = (a.root_h + (1 << d) - 1) >> d), 'sibling' || f
+  FROM assets a JOIN s USING (asset_id), unnest(range(face_count)) u(f))
  SELECT asset_id, CAST("group" AS INT) AS "group", CAST(level AS INT) AS level, count(*) AS n, min(blob) AS first, max(blob) AS last FROM m GROUP BY ALL""")
 def q_merge(spark, sf_dir):
-    a = D.assets(spark, sf_dir).where("levels > 3")
-    down = (1 + F.col("asset_id") % 3).cast("int")
+    """Each asset with an untiled sibling of the size of one of its levels; of levels alike the finest counts."""
+    a = D.assets(spark, sf_dir)
+    down = F.least(1 + F.col("asset_id") % 3, F.col("levels") - 1).cast("int")
     pairs = a.select("*", F.lit(1).alias("s_levels"), F.lit(9).alias("s_tile_size"), F.lit(1).alias("s_group_count"), F.lit(True).alias("s_untiled"),
                      F.col("face_count").alias("s_face_count"), L.dim_at(F.col("root_w"), down).alias("s_root_w"), L.dim_at(F.col("root_h"), down).alias("s_root_h"))
-    # where two levels have the sibling's size the finest one counts; only sizes of one level are asked for
-    pairs = pairs.where((F.col("s_root_w") > 1) | (F.col("s_root_h") > 1))
-    g = D.groups(spark, sf_dir).join(pairs.select("asset_id"), "asset_id")
-    own = pairs.select("asset_id", F.lit(0).alias("group"), F.lit(3).alias("semantic"), F.lit(3).alias("codec"), F.lit(3).alias("flags"),
-                       F.lit(1).alias("level_count"), F.lit(0).alias("level_skip"))
-    faces = pairs.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("level"), F.explode(F.sequence(F.lit(0), F.col("face_count") - 1)).alias("face"))
+    own = a.select("asset_id", F.lit(0).alias("group"), F.lit(3).alias("semantic"), F.lit(3).alias("codec"), F.lit(3).alias("flags"),
+                   F.lit(1).alias("level_count"), F.lit(0).alias("level_skip"))
+    faces = a.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("level"), F.explode(F.sequence(F.lit(0), F.col("face_count") - 1)).alias("face"))
     extra = faces.withColumns({"row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "blob": F.concat(F.lit("sibling"), F.col("face")).cast("binary")})
-    kept = _tiles(spark, sf_dir).drop("ordinal").join(pairs.select("asset_id"), "asset_id")
-    return _summary(compose.merge(pairs, g, own, kept, extra)[1])
+    return _summary(compose.merge(pairs, D.groups(spark, sf_dir), own, _tiles(spark, sf_dir).drop("ordinal"), extra)[1])
 
 
 _MAGIC = {0: "FFD8FFE0", 1: "524946460000000057454250", 2: "00010203"}
@@ -419,7 +379,7 @@ def q_inspect(spark, sf_dir):
 
 def _archive(spark, sf_dir):
     """A planar pyramid an asset, 700 by 300 pixels at tile size 256, level 10 finest; one tile in seven missing."""
-    docs = D.table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("asset_id")).distinct()
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"))
     infos = docs.select("asset_id", F.lit("image").alias("name"), F.lit(256).alias("tile_size"), F.lit(0).alias("overlap"), F.lit(700).cast("bigint").alias("width"), F.lit(300).cast("bigint").alias("height"))
     every = docs.withColumn("at", F.explode(F.array(*(
         F.struct(F.lit(z).cast("bigint").alias("level"), F.lit(c).cast("bigint").alias("col"), F.lit(r).cast("bigint").alias("row"))
@@ -428,7 +388,7 @@ def _archive(spark, sf_dir):
     return infos, own.where((F.col("asset_id") + 3 * F.col("col") + 5 * F.col("row") + F.col("level")) % 7 != 0)
 
 
-_ZIP = """p AS (SELECT DISTINCT doc_id % 50 AS asset_id FROM documents),
+_ZIP = """p AS (SELECT doc_id AS asset_id FROM documents),
  s AS (SELECT * FROM (VALUES (10, 2, 3, 2), (9, 1, 2, 1), (8, 0, 1, 1)) v(z, level, cols, rows_)),
  w AS (SELECT asset_id, level, c AS col, r AS row_, (asset_id + 3 * c + 5 * r + z) % 7 <> 0 AS present FROM p, s, range(3) x(c), range(2) y(r) WHERE c < cols AND r < rows_)"""
 

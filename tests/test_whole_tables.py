@@ -11,11 +11,11 @@ def test_no_tile_blob_or_turn_is_left_out(spark, sf_dir):
     run = lambda name: catalog.QUERIES[name](spark, sf_dir)
     docs = D.table(spark, sf_dir, "documents")
     blobs = D.blobs(spark, sf_dir)
-    assert run("q_tile_dims_all").count() == run("q_enumerate").agg(F.sum("n")).first()[0]
-    assert run("q_tile_range_all").count() == blobs.where("n_bytes > 0").count()
-    assert run("q_spans_all").agg(F.sum("n_tiles")).first()[0] == blobs.where("n_bytes > 0").count()
-    assert run("q_place_all").count() == docs.select(F.floor(F.col("doc_id") / 10)).distinct().count()
-    assert {r.seq for r in run("q_push_order_all").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert run("q_tile_dims").count() == run("q_enumerate").agg(F.sum("n")).first()[0]
+    assert run("q_tile_range").count() == blobs.where("n_bytes > 0").count()
+    assert run("q_spans").agg(F.sum("n_tiles")).first()[0] == blobs.where("n_bytes > 0").count()
+    assert run("q_place").count() == docs.select(F.floor(F.col("doc_id") / 10)).distinct().count()
+    assert {r.seq for r in run("q_push_order").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
 def test_places_without_blobs_and_blobs_without_places(spark):
