@@ -30,6 +30,11 @@ def gray8(count: Column) -> Column:
     return count.bitwiseAND(255)
 
 
+def gray_rgb(gray: Column) -> tuple[Column, Column, Column]:
+    """r, g, b of a gray value."""
+    return gray, gray, gray
+
+
 def texel(at: Column, n: Column) -> Column:
     """Centre of texel ``at`` of ``n``, from -1 to 1."""
     return 2.0 * (at.cast("double") + 0.5) / n.cast("double") - 1.0

@@ -11,6 +11,7 @@ CODECS = {0: "jpeg", 1: "webp", 2: "webp-split16", 3: "depthpack", 4: "jpegxl"}
 SAMPLES = {0: "rgb8", 1: "gray8", 2: "u16"}
 FACES = {0: "front", 1: "back", 2: "left", 3: "right", 4: "down", 5: "up"}
 UNTILED, NEAREST = 1, 2
+JPEG, WEBP, SPLIT16 = 0, 1, 2
 #: Codec numbers of our own payloads; the format has assigned none of them.
 RAW, DEFLATED = 200, 201
 

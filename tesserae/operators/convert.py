@@ -1,8 +1,8 @@
 """Rasters to containers: pyramids, cropping, payloads and packing as one plan.
 
 Each function gives (assets, groups, tiles); ``sources.container.pack`` makes
-files of them. Payload bytes are row-major: three bytes a colour pixel, and a
-count as packed bytes, one byte or two (low byte first).
+files of them. Pixels are row-major: three bytes a colour pixel, and a count as
+packed bytes, one byte or two (low byte first); the codec makes payloads of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from . import layout, raster
 class ImageOptions:
     tile_size: int = 512
     face_size: int | None = None
-    codec: int = R.DEFLATED
+    codec: int = R.WEBP
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,12 @@ class CountOptions:
     max: int = 65_000
     unit: str = "m"
     tile_size: int = 512
-    codec: int = R.DEFLATED
+    #: None: WebP (lossless, or near-lossless gray) for split16 and gray8, deflated bytes for depth.
+    codec: int | None = None
+    near_lossless: int = 100
+
+    def coded(self, default: int) -> int:
+        return default if self.codec is None else self.codec
 
     def columns(self) -> dict:
         return {"scale": F.lit(self.scale), "offset": F.lit(self.offset), "nodata": F.lit(self.nodata), "min": F.lit(self.min),
@@ -63,23 +68,24 @@ def _plain() -> dict:
     return {"scale": F.lit(0.0), "offset": F.lit(0.0), "nodata": zero, "min": zero, "max": zero, "unit": R.unit_bytes(F.lit(""))}
 
 
-def _payloads(pixels: DataFrame, assets: DataFrame, groups: DataFrame, tile_size: int | None, value, codec: int) -> DataFrame:
+def _payloads(pixels: DataFrame, assets: DataFrame, groups: DataFrame, tile_size: int | None, value, codec: int, near: int = 100) -> DataFrame:
     """Tiles with blobs: ``value`` is a pixel's bytes as hex digits."""
     placed = raster.crop(pixels, tile_size) if tile_size else pixels.withColumns({
         "row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "ty": F.col("y"), "tx": F.col("x")})
     # lines of a tile first, so that no row holds more than a line of pixels or a tile's bytes
     at = ["asset_id", "level", "face", "row", "col"]
     lines = placed.groupBy(*at, "ty").agg(F.array_sort(F.collect_list(F.struct("tx", value.alias("p")))).alias("ps"))
-    lines = lines.select(*at, "ty", F.unhex(F.array_join("ps.p", "")).alias("line"))
-    joined = lines.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("ty", "line"))).alias("lines"))
-    raw = joined.select("asset_id", F.lit(0).alias("group"), "level", "face", "row", "col", F.col("lines.line").alias("raw"))
+    lines = lines.select(*at, "ty", F.size("ps").alias("w"), F.unhex(F.array_join("ps.p", "")).alias("line"))
+    joined = lines.groupBy(*at).agg(F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("ty", "line"))).alias("lines"))
+    raw = joined.select("asset_id", F.lit(0).alias("group"), "level", "face", "row", "col", "w", F.col("lines.line").alias("raw"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            packed = pa.array([codecs.encode(codec, b"".join(lines)) for lines in batch.column("raw").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "blob"])
+            sides = zip(batch.column("w").to_pylist(), batch.column("raw").to_pylist())
+            packed = pa.array([codecs.encode(codec, b"".join(lines), w, len(lines), near) for w, lines in sides], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], packed], names=[*batch.schema.names[:-2], "blob"])
 
     blobs = raw.mapInArrow(run, "asset_id bigint, `group` int, level int, face int, row bigint, col bigint, blob binary")
     every = layout.enumerate_tiles(layout.level_table(assets, groups))
@@ -130,11 +136,13 @@ def panorama(pixels: DataFrame, w: int, h: int, options: ImageOptions = ImageOpt
 def counts(pixels: DataFrame, w: int, h: int, options: CountOptions, form: str = "split16", durable=None):
     """Count rasters with a mean pyramid; ``form``: split16 (three bytes a pixel) or gray8 (one byte, modulo 256)."""
     n = _levels(w, h, options.tile_size)
-    sample, value = {"split16": (2, F.concat(*(_hex(c, 2) for c in P.split16_pack(F.col("v"))))), "gray8": (1, _hex(P.gray8(F.col("v")), 2))}[form]
-    assets, groups = _described(
-        _sizes(pixels, w, h), 1, F.lit(options.tile_size), F.lit(n), options.semantic, options.codec, sample, 0, options.columns())
+    sample, codec, value = {
+        "split16": (2, R.SPLIT16, F.concat(*(_hex(c, 2) for c in P.split16_pack(F.col("v"))))), "gray8": (1, R.WEBP, _hex(P.gray8(F.col("v")), 2)),
+    }[form]
+    codec, near = options.coded(codec), options.near_lossless if form == "gray8" else 100
+    assets, groups = _described(_sizes(pixels, w, h), 1, F.lit(options.tile_size), F.lit(n), options.semantic, codec, sample, 0, options.columns())
     every = raster.pyramid(pixels, n, options.nodata, durable)
-    return assets, groups, _payloads(every, assets, groups, options.tile_size, value, options.codec)
+    return assets, groups, _payloads(every, assets, groups, options.tile_size, value, codec, near)
 
 
 def _low_first():
@@ -147,9 +155,9 @@ def depth_whole(pixels: DataFrame, w: int, h: int, options: CountOptions = Count
     if side > 65_535:
         raise ValueError("a side exceeds 65535 pixels")
     assets, groups = _described(
-        _sizes(pixels, w, h), 1, F.lit(side), F.lit(1), options.semantic, options.codec, 2, R.flags(True, True), options.columns())
+        _sizes(pixels, w, h), 1, F.lit(side), F.lit(1), options.semantic, options.coded(R.DEFLATED), 2, R.flags(True, True), options.columns())
     every = pixels.withColumn("level", F.lit(0))
-    return assets, groups, _payloads(every, assets, groups, None, _low_first(), options.codec)
+    return assets, groups, _payloads(every, assets, groups, None, _low_first(), options.coded(R.DEFLATED))
 
 
 def depth_faces(pixels: DataFrame, w: int, h: int, face: int, options: CountOptions = CountOptions()):
@@ -160,14 +168,14 @@ def depth_faces(pixels: DataFrame, w: int, h: int, face: int, options: CountOpti
         raise ValueError("a face exceeds 65535 pixels")
     sizes = _sizes(pixels, face, face)
     got = raster.remap_nearest(pixels, sizes.select("asset_id", F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(face).alias("n")))
-    assets, groups = _described(sizes, 6, F.lit(face), F.lit(1), options.semantic, options.codec, 2, R.flags(True, True), options.columns())
-    return assets, groups, _payloads(got.withColumn("level", F.lit(0)), assets, groups, None, _low_first(), options.codec)
+    assets, groups = _described(sizes, 6, F.lit(face), F.lit(1), options.semantic, options.coded(R.DEFLATED), 2, R.flags(True, True), options.columns())
+    return assets, groups, _payloads(got.withColumn("level", F.lit(0)), assets, groups, None, _low_first(), options.coded(R.DEFLATED))
 
 
 def depth_tiled(pixels: DataFrame, w: int, h: int, options: CountOptions = CountOptions(), durable=None):
     """Depth rasters with a nearest pyramid, tiled."""
     n = _levels(w, h, options.tile_size)
     assets, groups = _described(
-        _sizes(pixels, w, h), 1, F.lit(options.tile_size), F.lit(n), options.semantic, options.codec, 2, R.flags(False, True), options.columns())
+        _sizes(pixels, w, h), 1, F.lit(options.tile_size), F.lit(n), options.semantic, options.coded(R.DEFLATED), 2, R.flags(False, True), options.columns())
     every = raster.pyramid(pixels, n, None, durable)
-    return assets, groups, _payloads(every, assets, groups, options.tile_size, _low_first(), options.codec)
+    return assets, groups, _payloads(every, assets, groups, options.tile_size, _low_first(), options.coded(R.DEFLATED))

@@ -104,22 +104,38 @@ def remap_bilinear(raster: DataFrame, sizes: DataFrame, bands: tuple[str, ...] =
     return held.select(*PIXEL, *map(mixed, bands))
 
 
+#: Image rows (or columns) that are resampled as one group.
+STRIP = 64
+
+
 def lanczos_weights(size: int, to: int):
     """Rows of weights (to, size) of a three-lobed Lanczos resampling."""
     import numpy as np
 
+    weights = np.zeros((to, size))
+    places, parts = lanczos_taps(size, to)
+    np.add.at(weights, (np.arange(to)[:, None], places), parts)
+    return weights
+
+
+def lanczos_taps(size: int, to: int):
+    """For each of ``to`` pixels, the places (to, taps) that it is made of, and their weights; places outside weigh nothing."""
+    import numpy as np
+
     scale = max(1.0, size / to)
     centre = (np.arange(to) + 0.5) * size / to - 0.5
-    t = (np.arange(size)[None, :] - centre[:, None]) / scale
-    weights = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
-    return weights / weights.sum(axis=1, keepdims=True)
+    places = np.floor(centre - 3 * scale).astype(np.int64)[:, None] + np.arange(int(6 * scale) + 3)
+    t = (places - centre[:, None]) / scale
+    inside = (places >= 0) & (places < size) & (np.abs(t) < 3)
+    weights = np.where(inside, np.sinc(t) * np.sinc(t / 3), 0.0)
+    return np.clip(places, 0, size - 1), weights / weights.sum(axis=1, keepdims=True)
 
 
 def resize(raster: DataFrame, w: int, h: int, to_w: int, to_h: int, bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """A colour raster of w by h pixels resampled by Lanczos; the same size is returned as it is.
 
-    First rows, then columns: each row and each column is one group, whose
-    size is one side of an image.
+    First rows, then columns: a group is STRIP rows or columns, so none holds
+    more than STRIP times one side of an image.
     """
     if (w, h) == (to_w, to_h):
         return raster
@@ -132,15 +148,20 @@ def resize(raster: DataFrame, w: int, h: int, to_w: int, to_h: int, bands: tuple
             import numpy as np
             import pandas as pd
 
-            values = np.zeros((size, len(bands)))
-            values[pdf[axis].to_numpy()] = pdf[list(bands)].to_numpy(dtype=float)
-            got = lanczos_weights(size, to) @ values
+            lines, line = np.unique(pdf[other].to_numpy(), return_inverse=True)
+            values = np.zeros((len(lines), size, len(bands)))
+            values[line, pdf[axis].to_numpy()] = pdf[list(bands)].to_numpy(dtype=float)
+            places, weights = lanczos_taps(size, to)
+            got = np.zeros((len(lines), to, len(bands)))
+            for k in range(places.shape[1]):
+                got += values[:, places[:, k]] * weights[:, k, None]
             if last:
                 got = np.clip(np.floor(got + 0.5), 0, 255).astype(np.int32)
-            head = {"asset_id": pdf["asset_id"].iloc[0], "face": pdf["face"].iloc[0], other: pdf[other].iloc[0], axis: np.arange(to, dtype=np.int32)}
-            return pd.DataFrame(head | {c: got[:, i] for i, c in enumerate(bands)})
+            head = {"asset_id": pdf["asset_id"].iloc[0], "face": pdf["face"].iloc[0], other: np.repeat(lines, to), axis: np.tile(np.arange(to, dtype=np.int32), len(lines))}
+            return pd.DataFrame(head | {c: got[:, :, i].reshape(-1) for i, c in enumerate(bands)})
 
-        return frame.groupBy("asset_id", "face", other).applyInPandas(one, schema)
+        strips = frame.groupBy("asset_id", "face", F.floor(F.col(other) / STRIP).alias("strip"))
+        return strips.applyInPandas(one, schema)
 
     pixels = raster.select(F.col("asset_id").cast("bigint").alias("asset_id"), F.col("face").cast("int").alias("face"), "y", "x", *bands)
     wide = along(pixels, "x", "y", w, to_w, False)

@@ -75,6 +75,11 @@ def spans(ranges: DataFrame, gap: int = 0) -> DataFrame:
     ).drop("run")
 
 
+def band(tiles: DataFrame, groups: DataFrame, semantic: int) -> DataFrame:
+    """Tiles of the groups of a semantic, as the descriptors say; assets without such a group have none."""
+    return tiles.join(groups.where(F.col("semantic") == semantic).select("asset_id", "group"), ["asset_id", "group"], "left_semi")
+
+
 def complete(index: DataFrame, fetched: DataFrame) -> DataFrame:
     """By asset, whether every tile is absent or in ``fetched`` (asset_id, ordinal)."""
     got = fetched.select("asset_id", "ordinal").distinct().withColumn("got", F.lit(True))

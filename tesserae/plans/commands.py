@@ -1,6 +1,6 @@
-"""Whole jobs from files to files: repacking archives, inspecting containers, an image with its near infrared.
+"""Whole jobs from files to files: converting images, repacking archives, inspecting containers.
 
-``python -m tesserae.plans.commands repack|inspect SOURCE [TARGET]``
+``python -m tesserae.plans.commands repack|convert|depth SOURCE TARGET`` or ``... inspect SOURCE``
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..operators import archive, compose, convert, tiles
-from ..sources import container
+from ..sources import container, images, webp
 
 
 def repack(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -37,6 +37,57 @@ def repack(spark: SparkSession, source: str, target: str) -> DataFrame:
     return report.join(files.select("asset_id", "path"), "asset_id")
 
 
+def convert_images(spark: SparkSession, source: str, target: str, options: convert.ImageOptions = convert.ImageOptions(), panoramas: bool = True) -> list[tuple[int, int]]:
+    """Containers in ``target`` of the JPEG and PNG files of ``source``: cubemaps of panoramas, or one face; the sizes there were.
+
+    Images of one size are one plan, so that its levels are known.
+    """
+    container.register(spark)
+    found = images.read(spark, source)
+    sizes = sorted((r["w"], r["h"]) for r in found.select("w", "h").distinct().collect())  # one row a size
+    for w, h in sizes:
+        same = images.pixels(found.where((F.col("w") == w) & (F.col("h") == h)))
+        assets, groups, own = (convert.panorama if panoramas else convert.planar)(same, w, h, options)
+        container.pack(own, assets, groups).write.format("tiles").mode("append").save(target)
+    return sizes
+
+
+def depth_counts(spark: SparkSession, source: str) -> DataFrame:
+    """asset_id, face, y, x, v of lossless WebP files that pack millimetres in red (high byte) and green."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for asset, content in zip(*(c.to_pylist() for c in batch.columns)):
+                w, h, rgb = webp.decode_lossless(content)
+                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3).astype(np.int32)
+                step = max(1, images.HELD // w)
+                for top in range(0, h, step):
+                    part = image[top : top + step].reshape(-1, 3)
+                    y, x = np.divmod(np.arange(len(part)), w)
+                    columns = [np.full(len(part), asset), np.zeros(len(part), np.int32), (y + top).astype(np.int32), x.astype(np.int32), part[:, 0] << 8 | part[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["asset_id", "face", "y", "x", "v"])
+
+    files = spark.read.format("binaryFile").load(source).select(F.xxhash64("path").alias("asset_id"), "content")
+    return files.mapInArrow(run, "asset_id bigint, face int, y int, x int, v int")
+
+
+def convert_depth(spark: SparkSession, source: str, target: str, farthest: float = 30.0, face: int | None = None) -> list[tuple[int, int]]:
+    """Containers in ``target`` of depth panoramas (``depth_counts``), six faces each; ``farthest`` in metres."""
+    container.register(spark)
+    counts = depth_counts(spark, source)
+    sides = counts.groupBy("asset_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    sizes = sorted((r["w"], r["h"]) for r in sides.select("w", "h").distinct().collect())  # one row a size
+    options = convert.CountOptions(max=min(65_535, round(farthest * 1000)))
+    for w, h in sizes:
+        same = counts.join(sides.where((F.col("w") == w) & (F.col("h") == h)).select("asset_id"), "asset_id")
+        assets, groups, own = convert.depth_faces(same, w, h, face or w // 4, options)
+        container.pack(own, assets, groups).write.format("tiles").mode("append").save(target)
+    return sizes
+
+
 def described(spark: SparkSession, source: str) -> DataFrame:
     """Groups of the containers of a folder: asset_id, group, codec; only the first bytes of files are used."""
     def run(batches):
@@ -81,11 +132,13 @@ def image_with_band(colour: DataFrame, counts: DataFrame, w: int, h: int, tile_s
 
 
 def main(args: list[str]) -> int:
-    if len(args) not in (2, 3) or args[0] not in ("repack", "inspect") or (args[0] == "repack") != (len(args) == 3):
+    jobs = {"repack": repack, "convert": convert_images, "depth": convert_depth, "inspect": inspect}
+    if not args or args[0] not in jobs or len(args) != (2 if args[0] == "inspect" else 3):
         print(__doc__)
         return 2
     spark = SparkSession.builder.appName("tesserae").getOrCreate()
-    (repack if args[0] == "repack" else inspect)(spark, *args[1:]).show(1000, truncate=False)
+    done = jobs[args[0]](spark, *args[1:])
+    done.show(1000, truncate=False) if isinstance(done, DataFrame) else print(*done)
     return 0
 
 

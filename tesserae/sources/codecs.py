@@ -1,8 +1,10 @@
 """Payload codecs by number, and image decoding.
 
-Raw and deflated payloads are ours (numbers the format has not assigned); PNG
-is decoded here. JPEG, WebP and depth payloads need libraries: ``add`` takes
-an encoder and decoder where there is one, and nothing else stands in for them.
+Lossless and near-lossless WebP are coded here, and so are raw and deflated
+payloads of our own (numbers the format has not assigned). PNG is decoded here
+and by Spark's image source, JPEG by that source (``images``). Lossy WebP and
+depth payloads need libraries: ``add`` takes an encoder and decoder where there
+is one, and nothing else stands in for them.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import struct
 import zlib
 from collections.abc import Callable
 
-from ..functions.registry import DEFLATED, RAW
+from ..functions.registry import DEFLATED, RAW, SPLIT16, WEBP
+from . import webp
 
 _CODECS: dict[int, tuple[Callable, Callable]] = {
     RAW: (bytes, bytes),
@@ -23,11 +26,17 @@ def add(number: int, encode: Callable[[bytes], bytes], decode: Callable[[bytes],
     _CODECS[number] = (encode, decode)
 
 
-def encode(number: int, data: bytes) -> bytes:
+def encode(number: int, data: bytes, w: int = 0, h: int = 0, level: int = 100) -> bytes:
+    """A payload of row-major pixels; images need their sides, and gray ones take a near-lossless ``level``."""
+    if number in (WEBP, SPLIT16) and number not in _CODECS:
+        return webp.encode_gray(w, h, data, level) if len(data) == w * h else webp.encode_lossless(w, h, data)
     return _find(number)[0](data)
 
 
 def decode(number: int, data: bytes) -> bytes:
+    """Pixels of a payload; those of WebP are RGB, gray ones alike in all channels."""
+    if number in (WEBP, SPLIT16) and number not in _CODECS:
+        return webp.decode_lossless(data)[2]
     return _find(number)[1](data)
 
 
