@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -274,11 +273,15 @@ def q_crop_tiles(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"), F.max("ty").alias("ty"), F.max("tx").alias("tx"))
 
 
-_GRID = """g AS MATERIALIZED (SELECT face, y, x, CAST(32 * lon / (2 * pi()) - 0.5 AS FLOAT) AS sx, CAST(16 * acos(least(1, greatest(-1, dz / sqrt(dx * dx + dy * dy + dz * dz)))) / pi() - 0.5 AS FLOAT) AS sy FROM (
+def _grid(n: int) -> str:
+    return f"""g AS MATERIALIZED (SELECT face, y, x, CAST(32 * lon / (2 * pi()) - 0.5 AS FLOAT) AS sx, CAST(16 * acos(least(1, greatest(-1, dz / sqrt(dx * dx + dy * dy + dz * dz)))) / pi() - 0.5 AS FLOAT) AS sy FROM (
  SELECT *, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END AS lon FROM (
  SELECT *, CASE face WHEN 0 THEN -1.0 WHEN 1 THEN 1.0 WHEN 2 THEN -a WHEN 3 THEN a WHEN 4 THEN b ELSE -b END AS dx,
  CASE face WHEN 0 THEN -a WHEN 1 THEN a WHEN 2 THEN 1.0 WHEN 3 THEN -1.0 ELSE -a END AS dy, CASE face WHEN 4 THEN -1.0 WHEN 5 THEN 1.0 ELSE -b END AS dz FROM (
- SELECT CAST(f AS INT) AS face, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 2.0::DOUBLE * (x + 0.5::DOUBLE) / 11 - 1 AS a, 2.0::DOUBLE * (y + 0.5::DOUBLE) / 11 - 1 AS b FROM range(6) t(f), range(11) u(y), range(11) w(x)))))"""
+ SELECT CAST(f AS INT) AS face, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 2.0::DOUBLE * (x + 0.5::DOUBLE) / {n} - 1 AS a, 2.0::DOUBLE * (y + 0.5::DOUBLE) / {n} - 1 AS b FROM range(6) t(f), range({n}) u(y), range({n}) w(x)))))"""
+
+
+_GRID = _grid(11)
 
 
 @query(f"""WITH {D.RASTER_SQL}, {_GRID}, k AS MATERIALIZED (SELECT face, y, x, least(15, greatest(0, CAST(round(sy) AS INT))) AS ys, (CAST(round(sx) AS INT) % 32 + 32) % 32 AS xs FROM g)
@@ -287,20 +290,45 @@ def q_remap_nearest(spark, sf_dir):
     return raster.remap_nearest(D.raster(spark, sf_dir), D.sizes(spark, sf_dir, 11))
 
 
-@query(f"""WITH {D.RASTER_SQL}, {_GRID}, k AS MATERIALIZED (SELECT face, y, x, sx - floor(sx) AS fx, sy - floor(sy) AS fy, unnest([0, 1, 2, 3]) AS t, CAST(floor(sx) AS INT) AS x0, CAST(floor(sy) AS INT) AS y0 FROM g),
+_BANDS = (("r", 256), ("g", 199), ("b", 101))
+_COLOUR = f"{D.RASTER_SQL}, cx AS (SELECT asset_id, face, y, x, {', '.join(f'v % {m} AS {n}' for n, m in _BANDS)} FROM px)"
+#: Colour on the pixels of g, from px.
+_BILINEAR = f"""k AS MATERIALIZED (SELECT face, y, x, sx - floor(sx) AS fx, sy - floor(sy) AS fy, unnest([0, 1, 2, 3]) AS t, CAST(floor(sx) AS INT) AS x0, CAST(floor(sy) AS INT) AS y0 FROM g),
  c AS MATERIALIZED (SELECT *, ((x0 + t % 2) % 32 + 32) % 32 AS xs, least(15, greatest(0, y0 + t // 2)) AS ys FROM k),
- h AS (SELECT asset_id, c.face, c.y, c.x, any_value(fx) AS fx, any_value(fy) AS fy, {", ".join(f"CAST(max(CASE WHEN t = {t} THEN v % {m} END) AS FLOAT) AS {n}{t}" for n, m in (("r", 256), ("g", 199), ("b", 101)) for t in range(4))}
- FROM c JOIN px ON px.y = ys AND px.x = xs GROUP BY ALL)
- SELECT asset_id, face, y, x, {", ".join(f"CAST(round(({n}0 * (1::FLOAT - fx) + {n}1 * fx) * (1::FLOAT - fy) + ({n}2 * (1::FLOAT - fx) + {n}3 * fx) * fy) AS INT) AS {n}" for n in "rgb")} FROM h""")
+ h AS (SELECT asset_id, c.face, c.y, c.x, any_value(fx) AS fx, any_value(fy) AS fy, {", ".join(f"CAST(max(CASE WHEN t = {t} THEN v % {m} END) AS FLOAT) AS {n}{t}" for n, m in _BANDS for t in range(4))}
+ FROM c JOIN px ON px.y = ys AND px.x = xs GROUP BY ALL),
+ mapped AS (SELECT asset_id, face, y, x, {", ".join(f"CAST(round(({n}0 * (1::FLOAT - fx) + {n}1 * fx) * (1::FLOAT - fy) + ({n}2 * (1::FLOAT - fx) + {n}3 * fx) * fy) AS INT) AS {n}" for n in "rgb")} FROM h)"""
+
+
+@query(f"WITH {D.RASTER_SQL}, {_GRID}, {_BILINEAR} SELECT * FROM mapped")
 def q_remap_bilinear(spark, sf_dir):
     return raster.remap_bilinear(D.colour(spark, sf_dir), D.sizes(spark, sf_dir, 11))
 
 
-@query()
+def _resized(name: str, source: str, w: int, h: int, to_w: int, to_h: int) -> str:
+    """SQL of the relation ``name``: ``source`` resampled by Lanczos, columns after rows."""
+
+    def taps(axis: str, size: int, to: int) -> str:
+        return f"""{name}_{axis} AS MATERIALIZED (SELECT o, s, k / sum(k) OVER (PARTITION BY o) AS k FROM (
+  SELECT o, s, CASE WHEN t = 0 THEN 1::DOUBLE ELSE sin(pi() * t) / (pi() * t) * (sin(pi() * t / 3) / (pi() * t / 3)) END AS k FROM (
+   SELECT CAST(o AS INT) AS o, CAST(s AS INT) AS s, (s - ((o + 0.5::DOUBLE) * {size} / {to} - 0.5)) / {max(1.0, size / to)!r}::DOUBLE AS t FROM range({to}) a(o), range({size}) b(s)) WHERE abs(t) < 3))"""
+
+    return f"""{taps('x', w, to_w)}, {taps('y', h, to_h)},
+ {name}_w AS MATERIALIZED (SELECT asset_id, face, y, o AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgb')} FROM {source} JOIN {name}_x ON s = x GROUP BY ALL),
+ {name} AS MATERIALIZED (SELECT asset_id, face, o AS y, x, {', '.join(f'CAST(least(255, greatest(0, floor(sum({c} * k) + 0.5))) AS INT) AS {c}' for c in 'rgb')} FROM {name}_w JOIN {name}_y ON s = y GROUP BY ALL)"""
+
+
+@query(f"WITH {_COLOUR}, {_resized('small', 'cx', D.W, D.H, 13, 7)} SELECT * FROM small")
 def q_resize_lanczos(spark, sf_dir):
     return raster.resize(D.colour(spark, sf_dir), D.W, D.H, 13, 7)
 
 
+@query("SELECT doc_id, CAST(n_chars % 256 AS INT) AS r, CAST(n_chars % 256 AS INT) AS g, CAST(n_chars % 256 AS INT) AS b FROM documents")
+def q_gray_rgb(spark, sf_dir):
+    gray = (F.col("n_chars") % 256).cast("int")
+    return D.table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in zip("rgb", P.gray_rgb(gray))))
+
+
 # --- composition ---
 
 _EDIT = f"{D.ASSETS_SQL}, t AS ({_ENUMERATED})"
@@ -350,6 +378,11 @@ def q_merge(spark, sf_dir):
     return _summary(compose.merge(pairs, D.groups(spark, sf_dir), own, _tiles(spark, sf_dir).drop("ordinal"), extra)[1])
 
 
+@query(f"WITH {_EDIT} SELECT t.asset_id, \"group\", level, {_SUM} FROM t JOIN groups k ON t.asset_id = k.asset_id AND t.\"group\" = k.grp WHERE semantic = 3 GROUP BY ALL")
+def q_band(spark, sf_dir):
+    return _summary(tiles.band(_tiles(spark, sf_dir), D.groups(spark, sf_dir), 3))
+
+
 _MAGIC = {0: "FFD8FFE0", 1: "524946460000000057454250", 2: "00010203"}
 
 
@@ -410,6 +443,43 @@ def q_repack_report(spark, sf_dir):
     return found.select("asset_id", "levels", F.col("dropped_coarse_levels"), "tiles_copied", "tiles_absent", "codec", "fault")
 
 
+def _zips(spark, sf_dir):
+    """Archives as ZIP files, one for every ten documents: planar 700 by 300 pixels or six faces of 512, one tile in seven missing."""
+    ids = D.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).cast("bigint").alias("asset_id")).distinct()
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for asset in batch.column(0).to_pylist():
+                cube, held = asset % 2 == 1, io.BytesIO()
+                w, h, levels = (512, 512, ((9, 2, 2), (8, 1, 1), (7, 1, 1))) if cube else (700, 300, ((10, 3, 2), (9, 2, 1), (8, 1, 1), (7, 1, 1)))
+                with zipfile.ZipFile(held, "w") as z:
+                    for name in "fblrdu" if cube else ["image"]:
+                        z.writestr(f"top/{name}.dzi", f'<Image TileSize="256" Overlap="0"><Size Width="{w}" Height="{h}"/></Image>')
+                        for level, cols, rows in levels:
+                            for c in range(cols):
+                                for r in range(rows):
+                                    if (asset + 3 * c + 5 * r + level) % 7:
+                                        z.writestr(f"top/{name}_files/{level}/{c}_{r}.webp", bytes.fromhex(_MAGIC[1]) + f"{asset}-{name}-{level}-{c}-{r}".encode())
+                yield pa.RecordBatch.from_arrays([pa.array([asset], pa.int64()), pa.array([held.getvalue()], pa.binary())], names=["asset_id", "content"])
+
+    return ids.mapInArrow(run, "asset_id bigint, content binary")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id // 10 AS asset_id FROM documents),
+ s AS (SELECT * FROM (VALUES (0, 10, 2, 3, 2), (0, 9, 1, 2, 1), (0, 8, 0, 1, 1), (1, 9, 1, 2, 2), (1, 8, 0, 1, 1)) v(cube, z, level, cols, rows_)),
+ n AS (SELECT * FROM (VALUES (0, 0, 'image'), (1, 0, 'f'), (1, 1, 'b'), (1, 2, 'l'), (1, 3, 'r'), (1, 4, 'd'), (1, 5, 'u')) v(cube, face, name))
+ SELECT asset_id, level, face, r AS "row", c AS col, CASE WHEN (asset_id + 3 * c + 5 * r + z) % 7 <> 0 THEN md5(unhex('{_MAGIC[1]}') || encode(concat_ws('-', asset_id, name, z, c, r))) END AS blob_md5
+ FROM p JOIN s ON cube = asset_id % 2 JOIN n ON n.cube = asset_id % 2, range(3) x(c), range(2) y(r) WHERE c < cols AND r < rows_""")
+def q_repack_zip(spark, sf_dir):
+    infos, own = archive.read_archives(_zips(spark, sf_dir))
+    return archive.assemble(archive.plans(infos, own), own).select("asset_id", "level", "face", "row", "col", F.md5("blob").alias("blob_md5"))
+
+
 # --- conversion ---
 
 _MEAN = f"{D.RASTER_SQL}, p1 AS ({_halved('px')}), p0 AS ({_halved('p1')}), lv AS (SELECT *, 2 AS level FROM px UNION ALL SELECT *, 1 FROM p1 UNION ALL SELECT *, 0 FROM p0)"
@@ -452,20 +522,52 @@ def q_convert_depth_faces(spark, sf_dir):
     return _packed(convert.depth_faces(D.raster(spark, sf_dir), D.W, D.H, 11, _RAW))
 
 
-@query()
+def _packed_sql(levels: str, size: int) -> str:
+    return f"""SELECT asset_id, CAST(level AS INT) AS level, face, CAST(y // {size} AS BIGINT) AS "row", CAST(x // {size} AS BIGINT) AS col,
+ md5(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS blob_md5 FROM ({levels}) GROUP BY ALL"""
+
+
+_PLANAR = f"""WITH {_COLOUR}, {_resized('l1', 'cx', 32, 16, 16, 8)}, {_resized('l0', 'l1', 16, 8, 8, 4)}
+ {_packed_sql('SELECT *, 2 AS level FROM cx UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 0 FROM l0', 8)}"""
+
+
+@query(_PLANAR)
 def q_convert_planar(spark, sf_dir):
-    return _packed(convert.planar(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=8)))
+    return _packed(convert.planar(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=8, codec=R.RAW)))
 
 
-@query()
+@query(f"""WITH {D.RASTER_SQL}, {_grid(8)}, {_BILINEAR}, {_resized('l0', 'mapped', 8, 8, 4, 4)}
+ {_packed_sql('SELECT *, 1 AS level FROM mapped UNION ALL SELECT *, 0 FROM l0', 4)}""")
 def q_convert_panorama(spark, sf_dir):
-    return _packed(convert.panorama(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=4)))
+    return _packed(convert.panorama(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=4, codec=R.RAW)))
+
+
+@query(_PLANAR)
+def q_webp(spark, sf_dir):
+    """Tiles coded as lossless WebP, by the digest of their pixels once decoded."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        from ..sources import codecs
+
+        for batch in batches:
+            digests = [hashlib.md5(codecs.decode(R.WEBP, b)).hexdigest() for b in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digests, pa.string())], names=[*batch.schema.names[:5], "blob_md5"])
+
+    made = convert.planar(D.colour(spark, sf_dir), D.W, D.H, convert.ImageOptions(tile_size=8))[2]
+    return made.select("asset_id", "level", "face", "row", "col", "blob").mapInArrow(run, "asset_id bigint, level int, face int, row bigint, col bigint, blob_md5 string")
 
 
 # --- bytes ---
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id // 100 AS asset_id, doc_id % 100 AS ordinal, octet_length(encode(text)) AS n, md5(text) AS m FROM documents WHERE text <> ''),
+ t AS (SELECT a.asset_id, i AS ordinal, coalesce(n, 0) AS n, m FROM (SELECT DISTINCT asset_id FROM d) a CROSS JOIN range(100) r(i) LEFT JOIN d ON d.asset_id = a.asset_id AND d.ordinal = i),
+ o AS (SELECT *, CAST(24 + 48 + 8 * 101 + sum(n) OVER (PARTITION BY asset_id ORDER BY ordinal) AS BIGINT) AS end_off FROM t)
+ SELECT asset_id, ordinal, ordinal // 10 AS "row", ordinal % 10 AS col, CAST(end_off - n AS BIGINT) AS start_off, end_off, m AS blob_md5 FROM o""")
 def q_roundtrip(spark, sf_dir):
     """Containers made of documents' texts, written and read by the data source."""
     container.register(spark)
@@ -487,5 +589,4 @@ def _scratch(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
-    return os.path.join(base, f"tiles-{uuid.uuid4().hex}")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/tiles-{uuid.uuid4().hex}"

@@ -89,28 +89,27 @@ def convert_depth(spark: SparkSession, source: str, target: str, farthest: float
 
 
 def described(spark: SparkSession, source: str) -> DataFrame:
-    """Groups of the containers of a folder: asset_id, group, codec; only the first bytes of files are used."""
+    """Groups of the containers of a folder: asset_id, group, semantic, codec; tasks read the front matter of files only."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for path, head in zip(*(c.to_pylist() for c in batch.columns)):
-                front = container.FrontMatter.parse(head)
-                rows += [(path, i, g.semantic, g.codec) for i, g in enumerate(front.layout.groups)]
+            for path in batch.column(0).to_pylist():
+                with container._open(path) as f:
+                    front = container.FrontMatter.read(f)
+                rows += [(container._asset(path), i, g.semantic, g.codec) for i, g in enumerate(front.layout.groups)]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=["asset_id", "group", "semantic", "codec"])
 
-    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    files = spark.read.format("binaryFile").load(source).select(name.alias("asset_id"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path")
     return files.mapInArrow(run, "asset_id string, `group` int, semantic int, codec int")
 
 
 def inspect(spark: SparkSession, source: str) -> DataFrame:
-    """By container and group: tiles present, all tiles, and tiles whose bytes are not of the group's codec."""
-    container.register(spark)
-    own = spark.read.format("tiles").load(source).withColumnRenamed("asset", "asset_id")
+    """By container and group: tiles present, all tiles, and tiles whose first bytes are not of the group's codec."""
+    own = container.scan(spark, source, blob_bytes=12).withColumnRenamed("asset", "asset_id")
     return tiles.inspect(own, described(spark, source))
 
 

@@ -2,20 +2,24 @@
 
 ``spark.read.format("tiles").load(path)`` gives one row a tile. Planning reads
 each file's front matter only; a task seeks to the bytes of its own tiles, and
-to none where ``includeBlob`` is false. Filters on group, level, face, row and
-col are applied to the index before any blob is read. Writing groups rows by
-asset on the way in and stores one file an asset.
+to none where ``includeBlob`` is false (``blobBytes`` reads so many of each at
+most). Filters on group, level, face, row and col are applied to the index
+before any blob is read. Writing groups rows by asset on the way in and stores
+one file an asset. ``scan`` reads folders of so many files that their front
+matter is better read by tasks, too. Paths are those of pyarrow's file systems
+(a plain path, file:, s3:, gs:, hdfs:).
 """
 
 from __future__ import annotations
 
 import bisect
-import os
 import struct
+from array import array
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 # Fixed values of the format.
@@ -287,26 +291,90 @@ class Builder:
         return self.front([len(b) for b in blobs]) + b"".join(blobs)
 
 
+def _system(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> list[str]:
-    local = path.removeprefix("file://")
-    if os.path.isdir(local):
-        return sorted(os.path.join(d, n) for d, _, names in os.walk(local) for n in names if not n.startswith(("_", ".")))
-    return [local]
+    """Names of the files of a folder and its folders, or of a single file; hidden ones are left out."""
+    from pyarrow import fs
+
+    system, at = _system(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    base = at.rstrip("/")
+    found = (x.path for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.type == fs.FileType.File)
+    names = sorted(x[len(base) + 1 :] if x.startswith(base + "/") else x for x in found)
+    return [f"{path.rstrip('/')}/{n}" for n in names if not any(part.startswith(("_", ".")) for part in n.split("/"))]
+
+
+def _open(path: str):
+    system, at = _system(path)
+    return system.open_input_file(at)
+
+
+def _asset(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
 @dataclass
 class TileRun(InputPartition):
+    """Tiles ``first`` to ``last`` of a file, with their offsets, so that no task reads the index again."""
+
     path: str
     first: int
     last: int
+    layout: Layout
+    offsets: array
+
+
+def _runs(path: str, wanted: dict[int, set[int]], run_bytes: int):
+    """Runs of tiles of about ``run_bytes`` bytes or 100,000 tiles; levels that no filter lets pass are left out."""
+    with _open(path) as f:
+        front = FrontMatter.read(f)
+    faces = front.layout.header.face_count
+    for base, group, level, cols, rows in front.layout.runs:
+        if group not in wanted.get(0, {group}) or level not in wanted.get(1, {level}):
+            continue
+        first, end = base, base + faces * cols * rows
+        while first < end:
+            last = bisect.bisect_right(front.offsets, front.offsets[first] + run_bytes, first + 1, min(end, first + 100_000))
+            last = max(first + 1, last)
+            yield TileRun(path, first, last, front.layout, array("Q", front.offsets[first : last + 1]))
+            first = last
+
+
+def _rows(run: TileRun, wanted: dict[int, set[int]], most: int | None):
+    """Rows of a run's tiles, with ``most`` bytes of each blob (None: all)."""
+    asset = _asset(run.path)
+    with _open(run.path) as f:
+        for i in range(run.last - run.first):
+            place = run.layout.place(run.first + i)
+            if any(place[at] not in some for at, some in wanted.items()):
+                continue
+            start, end = run.offsets[i], run.offsets[i + 1]
+            blob = None
+            if end > start and most != 0:
+                n = end - start if most is None else min(most, end - start)
+                f.seek(start)
+                blob = f.read(n)
+                if len(blob) < n:
+                    raise FormatError("truncated", end)
+            yield (asset, *place, run.first + i, start, end, blob)
 
 
 class TileReader(DataSourceReader):
     COLUMNS = {("group",): 0, ("level",): 1, ("face",): 2, ("row",): 3, ("col",): 4}
 
     def __init__(self, options):
-        self.path, self.options = options["path"], options
-        self.blob = options.get("includeBlob", "true").lower() != "false"
+        self.path = options["path"]
+        most = options.get("blobBytes")
+        self.most = 0 if options.get("includeBlob", "true").lower() == "false" else None if most is None else int(most)
         self.run_bytes = int(options.get("runBytes", 64_000_000))
         self.wanted: dict[int, set[int]] = {}
 
@@ -321,38 +389,54 @@ class TileReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """Runs of tiles of about ``runBytes`` bytes or 100,000 tiles; runs that no filter lets pass are left out."""
-        out = []
-        for path in _files(self.path):
-            with open(path, "rb") as f:
-                front = FrontMatter.read(f)
-            faces = front.layout.header.face_count
-            for base, group, level, cols, rows in front.layout.runs:
-                if group not in self.wanted.get(0, {group}) or level not in self.wanted.get(1, {level}):
-                    continue
-                first, end = base, base + faces * cols * rows
-                while first < end:
-                    last = bisect.bisect_right(front.offsets, front.offsets[first] + self.run_bytes, first + 1, min(end, first + 100_000))
-                    out.append(TileRun(path, first, max(first + 1, last)))
-                    first = out[-1].last
-        return out
+        """Runs of all files, whose front matter is read by several threads."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(16) as pool:
+            found = pool.map(lambda path: list(_runs(path, self.wanted, self.run_bytes)), _files(self.path))
+            return [run for runs in found for run in runs]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            front = FrontMatter.read(f)
-            asset = os.path.basename(partition.path).rsplit(".", 1)[0]
-            for ordinal in range(partition.first, partition.last):
-                place = front.layout.place(ordinal)
-                if any(place[at] not in some for at, some in self.wanted.items()):
-                    continue
-                start, end = front.offsets[ordinal : ordinal + 2]
-                blob = None
-                if self.blob and end > start:
-                    f.seek(start)
-                    blob = f.read(end - start)
-                    if len(blob) < end - start:
-                        raise FormatError("truncated", end)
-                yield (asset, *place, ordinal, start, end, blob)
+        yield from _rows(partition, self.wanted, self.most)
+
+
+def scan(spark: SparkSession, path: str, blob_bytes: int | None = None, run_bytes: int = 64_000_000) -> DataFrame:
+    """The rows of ``format("tiles")`` of a folder of very many files: tasks read the front matter, and others the tiles.
+
+    Spark lists the files (``binaryFile``, names only); runs of tiles are dealt
+    evenly. ``blob_bytes`` are read of each blob at most.
+    """
+    import pickle
+
+    def plan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for run in _runs(name, {}, run_bytes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), pa.array([run.first]), pa.array([pickle.dumps(run)], pa.binary())], names=["path", "first", "run"])
+
+    def read(batches):
+        import pyarrow as pa
+
+        names = ["asset", "group", "level", "face", "row", "col", "ordinal", "start_off", "end_off", "blob"]
+        kinds = [pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 5, pa.binary()]
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                rows, size = [], 0
+                for row in _rows(pickle.loads(run), {}, blob_bytes):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if len(rows) == 10_000 or size > 16_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    runs = files.mapInArrow(plan, "path string, first bigint, run binary")
+    return runs.repartition("path", "first").select("run").mapInArrow(read, SCHEMA)
 
 
 @dataclass
@@ -363,16 +447,21 @@ class Written(WriterCommitMessage):
 class TileWriter(DataSourceWriter):
     """Files from the rows of ``pack``: an asset's parts follow each other and are appended as they come.
 
-    Files are moved into place when all tasks have ended.
+    Files are written to a folder of the job and moved into place when all
+    tasks have ended. What attempts that failed have left goes with that folder.
     """
 
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        import uuid
+
+        self.path = options["path"].rstrip("/")
+        self.stage = f"{self.path}/_{uuid.uuid4().hex}"
 
     def write(self, rows):
         import uuid
 
-        os.makedirs(self.path, exist_ok=True)
+        system, stage = _system(self.stage)
+        system.create_dir(stage, recursive=True)
         done, now, f = [], None, None
         try:
             for row in rows:
@@ -380,9 +469,9 @@ class TileWriter(DataSourceWriter):
                     if f:
                         f.close()
                     now = row["asset"]
-                    part = os.path.join(self.path, f"_{uuid.uuid4().hex}")
-                    f = open(part, "wb")
-                    done.append((part, os.path.join(self.path, f"{now}.tpc")))
+                    part = f"{stage}/{uuid.uuid4().hex}"
+                    f = system.open_output_stream(part)
+                    done.append((part, f"{now}.tpc"))
                 f.write(row["content"])
         finally:
             if f:
@@ -390,15 +479,21 @@ class TileWriter(DataSourceWriter):
         return Written(done)
 
     def commit(self, messages):
+        system, at = _system(self.path)
         for message in messages:
-            for part, final in message.files if message else ():
-                os.replace(part, final)
+            for part, name in message.files if message else ():
+                system.move(part, f"{at}/{name}")
+        self._clear()
 
     def abort(self, messages):
-        for message in messages:
-            for part, _ in message.files if message else ():
-                if os.path.exists(part):
-                    os.remove(part)
+        self._clear()
+
+    def _clear(self):
+        from pyarrow import fs
+
+        system, stage = _system(self.stage)
+        if system.get_file_info(stage).type == fs.FileType.Directory:
+            system.delete_dir(stage)
 
 
 class TileSource(DataSource):
@@ -422,39 +517,63 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TileSource)
 
 
+#: Entries of the index in one row of ``pack``.
+CHUNK = 8192
+
+
 def pack(tiles: DataFrame, assets: DataFrame, groups: DataFrame) -> DataFrame:
     """(asset, part, content) of each asset from its tiles (asset_id, ordinal, blob), in the order of the file.
 
-    Part -1 is the front matter, which is made of the tiles' sizes; the other
-    parts are blobs by ordinal. No row holds more than one of these, so a
-    container may be larger than memory. Each asset's rows are in one partition.
+    Parts below zero are the front matter: the header with its descriptors,
+    then CHUNK entries of the index each; the others are blobs by ordinal. No
+    row holds more than one of these, so neither a container nor its index need
+    fit in memory. Each asset's rows are in one partition.
     """
+    from ..operators import layout
+    from ..operators import tiles as index
+
     names = ["semantic", "codec", "sample", "flags", "level_count", "level_skip", "scale", "offset", "nodata", "min", "max", "unit"]
     described = groups.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("group", *names))).alias("groups"))
-    present = tiles.where(F.octet_length("blob") > 0)
-    sizes = present.groupBy("asset_id").agg(F.collect_list(F.struct("ordinal", F.octet_length("blob").alias("n"))).alias("sizes"))
-    whole = assets.join(described, "asset_id").join(sizes, "asset_id", "left").select(
-        F.col("asset_id").cast("string").alias("asset"), "face_count", "levels", "tile_size", "root_w", "root_h", "groups", "sizes")
+    whole = assets.join(described, "asset_id").select(
+        F.col("asset_id").cast("string").alias("asset"), "face_count", "levels", "tile_size", "root_w", "root_h", "groups")
 
-    def fronts(batches):
+    def heads(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in batch.to_pylist():
                 header = Header(*(row[n] for n in ("face_count", "levels", "tile_size", "root_w", "root_h")))
                 built = Builder(header, [Group(*(g[n] for n in names)) for g in row["groups"]])
-                lengths = [0] * built.layout.total
-                for x in row["sizes"] or ():
-                    if not 0 <= x["ordinal"] < len(lengths):
-                        raise FormatError("tile outside the layout")
-                    if lengths[x["ordinal"]]:
-                        raise FormatError("tile given twice")
-                    lengths[x["ordinal"]] = x["n"]
-                columns = [pa.array([row["asset"]], pa.string()), pa.array([-1], pa.int64()), pa.array([built.front(lengths)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["asset", "part", "content"])
-
-    bodies = present.select(F.col("asset_id").cast("string").alias("asset"), F.col("ordinal").cast("bigint").alias("part"), F.col("blob").alias("content"))
-    rows = whole.mapInArrow(fronts, "asset string, part bigint, content binary").unionByName(bodies)
+                content = built.header.to_bytes() + b"".join(g.to_bytes(header.levels) for g in built.groups)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["asset"]], pa.string()), pa.array([-(1 << 40)], pa.int64()), pa.array([content], pa.binary())], names=["asset", "part", "content"])
+
+    levels = layout.level_table(assets, groups)
+    every = layout.enumerate_tiles(levels).select("asset_id", "ordinal", F.lit(True).alias("known"))
+    present = tiles.where(F.octet_length("blob") > 0).select("asset_id", F.col("ordinal").cast("bigint").alias("ordinal"), "blob")
+    given = present.groupBy("asset_id", "ordinal").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("blob")).cast("bigint").alias("n_bytes"))
+    placed = every.join(given, ["asset_id", "ordinal"], "full")
+    placed = placed.where(F.assert_true(F.col("known"), F.lit("tile outside the layout")).isNull())
+    placed = placed.where(F.assert_true(F.coalesce("times", F.lit(1)) == 1, F.lit("tile given twice")).isNull())
+    offsets = index.offset_index(placed.select("asset_id", "ordinal", "n_bytes"), layout.totals(levels, groups).select("asset_id", "front_matter_len"))
+    last = Window.partitionBy("asset_id").orderBy(F.desc("chunk"))
+    chunks = offsets.groupBy("asset_id", F.floor(F.col("ordinal") / CHUNK).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "start_off"))).alias("x"), F.max("end_off").alias("end"))
+    chunks = chunks.withColumn("nth", F.row_number().over(last)).select(
+        F.col("asset_id").cast("string").alias("asset"), (F.col("chunk") - (1 << 39)).cast("bigint").alias("part"),
+        F.when(F.col("nth") == 1, F.concat(F.col("x.start_off"), F.array("end"))).otherwise(F.col("x.start_off")).alias("offsets"))
+
+    def entries(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            content = [np.asarray(x, "<u8").tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], names=["asset", "part", "content"])
+
+    schema = "asset string, part bigint, content binary"
+    bodies = present.select(F.col("asset_id").cast("string").alias("asset"), F.col("ordinal").alias("part"), F.col("blob").alias("content"))
+    rows = whole.mapInArrow(heads, schema).unionByName(chunks.mapInArrow(entries, schema)).unionByName(bodies)
     return rows.repartition("asset").sortWithinPartitions("asset", "part")
 
 

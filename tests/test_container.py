@@ -3,6 +3,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -167,6 +168,44 @@ def test_source_reads_with_filters(spark, tmp_path):
                                spark.createDataFrame([("one", 416), ("two", 416)], "asset_id string, front_matter_len long")).count()
 
 
+def test_scan_plans_in_tasks(spark, tmp_path):
+    C.register(spark)
+    data = golden().finish()
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "one.tpc").write_bytes(data)
+    (tmp_path / "deep" / "two.tpc").write_bytes(data)
+    want = sorted(map(str, spark.read.format("tiles").load(f"file:{tmp_path}").collect()))
+    assert sorted(map(str, C.scan(spark, str(tmp_path), run_bytes=10).collect())) == want and len(want) == 72
+    heads = spark.read.format("tiles").option("blobBytes", "1").load(f"file://{tmp_path}")
+    assert {len(r.blob) for r in heads.collect() if r.blob} == {1} == {len(r.blob) for r in C.scan(spark, str(tmp_path), 1).collect() if r.blob}
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    C.register(spark)
+    rows = spark.createDataFrame([(f"a{i}", 0, b"x") for i in range(4)], "asset string, part long, content binary")
+    bad = rows.withColumn("content", F.when(F.col("asset") == "a3", F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("tiles").mode("append").save(f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+    rows.write.format("tiles").mode("append").save(f"file://{tmp_path}/out")
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == [f"a{i}.tpc" for i in range(4)]
+
+
+def test_index_of_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 5)
+    header, group = C.Header(1, 2, 8, 60, 30), C.Group(codec=200, level_count=2)
+    built = C.Builder(header, [group])
+    for i in range(built.layout.total):
+        built.set_ordinal(i, b"" if i % 3 == 1 else bytes([i]) * (i + 1))
+    assets = spark.createDataFrame([(7, 1, 2, 8, 60, 30)], "asset_id long, face_count int, levels int, tile_size int, root_w long, root_h long")
+    names = ["semantic", "codec", "sample", "flags", "level_count", "level_skip", "scale", "offset", "nodata", "min", "max", "unit"]
+    groups = spark.createDataFrame([(7, 0, *(getattr(group, n) for n in names))], "asset_id long, group int, semantic int, codec int, sample int, flags int,"
+                                   " level_count int, level_skip int, scale double, offset double, nodata int, min int, max int, unit binary")
+    blobs = spark.createDataFrame([(7, i, b) for i, b in built.blobs.items()], "asset_id long, ordinal long, blob binary")
+    rows = C.pack(blobs, assets, groups).collect()
+    assert b"".join(bytes(r.content) for r in rows) == built.finish() and {r.asset for r in rows} == {"7"}
+
+
 def test_stream_of_files(spark, tmp_path):
     from tesserae.streaming import ingest
 
