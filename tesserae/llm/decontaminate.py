@@ -19,6 +19,7 @@ gives no hits. Extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -353,7 +354,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     any shuffle. A larger one is searched in several passes over one full
     index, and the passes are merged per document.
     """
-    index = found = None
+    index, parts = None, []
     for n, items in _passes(benchmark):
         if index is None:
             terms = sorted({w for _, text in items for w in words(text.encode())}) if n == 1 else None
@@ -361,7 +362,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         one = search(index, items)
         if n == 1:
             return one
-        found = one if found is None else found.unionByName(one)
+        parts.append(common.materialize(one, "pass"))  # so the plan has a scan for each pass, no more
+    found = functools.reduce(DataFrame.unionByName, parts)
     gather = lambda c: F.flatten(F.collect_list(c)).alias(c)
     return found.groupBy("shard", "ord").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),

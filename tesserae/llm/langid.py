@@ -31,8 +31,8 @@ FIT_ROWS, LEAST = 8000, 2
 LONGEST = 4
 #: Words after which further ones no longer raise the score.
 SURE = 20
-#: Bytes of sums for unknown words that a worker keeps; results do not depend on it.
-KEPT_BYTES = 24_000_000
+#: Bytes (about) that a worker spends on sums for unknown words; results do not depend on it.
+KEPT_BYTES = 32_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -123,7 +123,7 @@ class Scorer:
 
         self.model, width = model, max(1, len(model.langs))
         known = len(model.words)
-        self.most = known + max(1000, KEPT_BYTES // (8 * width))
+        self.most = known + max(10_000, KEPT_BYTES // (250 + 8 * width))  # a word and its entry take some 250 bytes
         self.table = np.zeros((self.most, width))
         if known:
             self.table[:known] = model.word_logs

@@ -28,8 +28,8 @@ from . import common
 MARK = "▁"
 #: Log probability of each byte of a character outside the vocabulary.
 BYTE_SCORE = -20.0
-#: Pre-tokens whose counts a worker keeps; results do not depend on it.
-KEPT = 500_000
+#: Pre-tokens whose counts a worker keeps, and characters of the longest such; results do not depend on them.
+KEPT, LONG = 400_000, 64
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -88,8 +88,9 @@ def _count_batches(pieces):
             if len(kept) + len(new) > KEPT:
                 kept.clear()
                 new = {w for words in texts for w in words}
-            kept |= walk.counts(sorted(new))
-            pairs = [list(map(kept.__getitem__, words)) for words in texts]
+            found = walk.counts(sorted(new))
+            kept |= {w: x for w, x in found.items() if len(w) <= LONG}
+            pairs = [[kept.get(w) or found[w] for w in words] for words in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(list(map(len, texts)), pa.int64()),
