@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -589,4 +591,7 @@ def _scratch(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/tiles-{uuid.uuid4().hex}"
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="tesserae-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/tiles-{uuid.uuid4().hex}"
