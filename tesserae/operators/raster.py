@@ -1,9 +1,9 @@
 """Raster operators on pixel relations.
 
 Count rasters have asset_id, face, y, x, v; colour rasters r, g, b instead of
-v. Halving and cropping are groupings of pixels; resampling looks pixels up by
-their flat index, one equi-join for all taps. Lanczos works on whole image rows
-and columns, so it runs per row and per column groups in numpy.
+v. Halving and cropping are groupings of pixels; nearest sampling looks pixels
+up by their flat index, one equi-join. Bilinear sampling and Lanczos run in
+numpy over groups of image rows or columns.
 """
 
 from __future__ import annotations
@@ -80,28 +80,49 @@ def remap_nearest(raster: DataFrame, sizes: DataFrame) -> DataFrame:
     return at.join(source, ["asset_id", "idx"]).select(*PIXEL, "v")
 
 
+#: Rows of a panorama that are sampled as one group.
+BAND = 64
+
+
 def remap_bilinear(raster: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Cube faces of a panorama by bilinear sampling in 32-bit floats; longitude wraps, latitude stops at the poles."""
-    one = F.lit(1).cast("float")
-    found = face_pixels(sizes)
+    """Cube faces of a panorama by bilinear sampling in 32-bit floats; longitude wraps, latitude stops at the poles.
+
+    A group is BAND rows of a panorama, with the row after them, and the face
+    pixels whose upper taps lie in these rows: each face pixel and nearly each
+    source pixel is shuffled once, and no group holds more than its rows.
+    """
     x0, y0 = F.floor("sx").cast("int"), F.floor("sy").cast("int")
-    found = found.withColumns({"x0": x0, "y0": y0, "fx": (F.col("sx") - F.floor("sx").cast("float")), "fy": (F.col("sy") - F.floor("sy").cast("float"))})
-    index = lambda dx, dy: _clamp(F.col("y0") + dy, F.col("h")) * F.col("w") + _wrap(F.col("x0") + dx, F.col("w"))
-    taps = F.array(*(F.struct(F.lit(2 * dy + dx).alias("tap"), index(dx, dy).alias("idx")) for dy in (0, 1) for dx in (0, 1)))
-    taps = found.withColumn("t", F.explode(taps)).select(*PIXEL, "fx", "fy", "t.tap", "t.idx")
-    source = raster.join(sizes.select("asset_id", "w"), "asset_id").select(
-        "asset_id", (F.col("y") * F.col("w") + F.col("x")).alias("idx"), *bands)
-    held = taps.join(source, ["asset_id", "idx"]).groupBy(*PIXEL).agg(
-        F.first("fx").alias("fx"), F.first("fy").alias("fy"),
-        *(F.max(F.when(F.col("tap") == t, F.col(c).cast("float"))).alias(f"{c}{t}") for c in bands for t in range(4)))
-    fx, fy = F.col("fx"), F.col("fy")
-
-    def mixed(c: str):
-        top = F.col(f"{c}0") * (one - fx) + F.col(f"{c}1") * fx
-        below = F.col(f"{c}2") * (one - fx) + F.col(f"{c}3") * fx
-        return F.least(F.lit(255), F.greatest(F.lit(0), F.round(top * (one - fy) + below * fy).cast("int"))).alias(c)
-
-    return held.select(*PIXEL, *map(mixed, bands))
+    upper = _clamp(y0, F.col("h"))
+    at = face_pixels(sizes).select(
+        F.col("asset_id").cast("bigint").alias("asset_id"), F.floor(upper / BAND).cast("int").alias("band"), F.col("face").cast("int").alias("face"),
+        F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), upper.cast("int").alias("upper"), _clamp(y0 + 1, F.col("h")).cast("int").alias("lower"),
+        _wrap(x0, F.col("w")).cast("int").alias("left"), _wrap(x0 + 1, F.col("w")).cast("int").alias("right"), F.col("w").cast("int").alias("w"),
+        (F.col("sx") - F.floor("sx").cast("float")).alias("fx"), (F.col("sy") - F.floor("sy").cast("float")).alias("fy"))
+    own = F.floor(F.col("y") / BAND).cast("int")
+    both = F.when((F.col("y") % BAND == 0) & (F.col("y") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    source = raster.select(F.col("asset_id").cast("bigint").alias("asset_id"), F.explode(both).alias("band"), "y", "x", *bands)
+    schema = "asset_id bigint, face int, y int, x int, " + ", ".join(f"{c} int" for c in bands)
+
+    def sample(key, wanted, pixels):
+        import numpy as np
+        import pandas as pd
+
+        if wanted.empty or pixels.empty:
+            return pd.DataFrame(columns=["asset_id", "face", "y", "x", *bands]).astype("int64")
+        first = key[1] * BAND
+        image = np.zeros((BAND + 1, int(wanted["w"].iloc[0]), len(bands)), np.float32)
+        image[pixels["y"].to_numpy() - first, pixels["x"].to_numpy()] = pixels[list(bands)].to_numpy(np.float32)
+        up, down, left, right = (wanted[c].to_numpy() for c in ("upper", "lower", "left", "right"))
+        fx, fy = (wanted[c].to_numpy(np.float32)[:, None] for c in ("fx", "fy"))
+        one = np.float32(1)
+        top = image[up - first, left] * (one - fx) + image[up - first, right] * fx
+        below = image[down - first, left] * (one - fx) + image[down - first, right] * fx
+        mixed = (top * (one - fy) + below * fy).astype(np.float64)
+        mixed = np.clip(np.floor(mixed + 0.5), 0, 255).astype(np.int32)
+        return pd.DataFrame({c: wanted[c] for c in ("asset_id", "face", "y", "x")} | {c: mixed[:, i] for i, c in enumerate(bands)})
+
+    keys = ["asset_id", "band"]
+    return at.groupBy(*keys).cogroup(source.groupBy(*keys)).applyInPandas(sample, schema).select(*PIXEL, *bands)
 
 
 #: Image rows (or columns) that are resampled as one group.
