@@ -64,34 +64,37 @@ def png_rgb(data: bytes):
     if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 6):
         raise ValueError("only 8-bit gray, RGB and RGBA, not interlaced")
     w, h, bands = head[0], head[1], {0: 1, 2: 3, 6: 4}[head[3]]
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * bands)
-    out = np.zeros((h + 1, w + 1, bands), np.int32)  # a border of zeros above and to the left
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * bands)
+    image, above = np.empty((h, w * bands), np.uint8), np.zeros(w * bands, np.uint8)
     for y in range(h):
-        line, rule = rows[y, 1:].reshape(w, bands).astype(np.int32), rows[y, 0]
-        above = out[y]
-        if rule == 0:
-            out[y + 1, 1:] = line
-        elif rule == 1:
-            out[y + 1, 1:] = np.cumsum(line, axis=0) & 255
-        elif rule == 2:
-            out[y + 1, 1:] = (line + above[1:]) & 255
-        elif rule in (3, 4):
-            now = out[y + 1]
-            for x in range(1, w + 1):
-                left, up, corner = now[x - 1], above[x], above[x - 1]
-                if rule == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    dl, du, dc = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
-                now[x] = (line[x - 1] + guess) & 255
-        else:
+        rule, line = int(lines[y, 0]), lines[y, 1:]
+        if rule > 4:
             raise ValueError("unknown row filter")
-    image = out[1:, 1:].astype(np.uint8)
+        if rule < 3:
+            image[y] = line if rule == 0 else line + above if rule == 2 else np.cumsum(line.reshape(w, bands), axis=0, dtype=np.uint8).reshape(-1)
+        else:
+            image[y] = np.frombuffer(_unfiltered(line.tobytes(), above.tobytes(), bands, rule == 4), np.uint8)
+        above = image[y]
+    image = image.reshape(h, w, bands)
     return w, h, (np.repeat(image, 3, axis=2) if bands == 1 else image[:, :, :3]).tobytes()
 
 
+def _unfiltered(line: bytes, above: bytes, bands: int, paeth: bool) -> bytearray:
+    """A row whose bytes are differences to a mean of, or to the nearest among, those to the left, above and between."""
+    out = bytearray(bands) + bytearray(len(line))  # zeros to the left of the image
+    corners = bytes(bands) + above
+    for i, byte in enumerate(line):
+        left, up = out[i], above[i]
+        if paeth:
+            corner = corners[i]
+            by_left, by_up, by_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner
+        else:
+            guess = left + up >> 1
+        out[i + bands] = byte + guess & 255
+    return out[bands:]
+
+
 def decode_rgb(data: bytes):
     """(width, height, RGB bytes) of an image, by its first bytes."""
     if data[:3] == b"\xff\xd8\xff":
