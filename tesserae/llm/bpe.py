@@ -37,7 +37,7 @@ from . import common
 #: States, pair verdicts and pre-tokens kept by a worker before it starts anew; results do not depend on them.
 KEPT_STATES, KEPT_PAIRS, KEPT_TOKENS = 100_000, 500_000, 300_000
 #: Bytes of a pre-token after which its settled tokens leave (twice the longest token at least).
-HELD_BYTES = 512
+HELD_BYTES = 64
 #: Characters of a text above which its pre-tokens are taken in blocks.
 LONG_TEXT = 1_000_000
 #: Ids of finished rows after which they leave as one batch.
