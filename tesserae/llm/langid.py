@@ -136,7 +136,7 @@ class Scorer:
         total = np.zeros(self.table.shape[1])
         for at in range(0, len(found), 10_000):  # fewer words than unknown rows fit
             part = found[at : at + 10_000]
-            if len(self.rows) + len(part) > self.most:
+            if len(self.rows) + len(part) > self.most or self.rows.size > KEPT_BYTES // 10:
                 self.rows = Rows(self)
             total += self.table[np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return total
@@ -157,12 +157,13 @@ class Rows(dict):
     """Word to its row of the scorer's table; an unknown word gets a new one."""
 
     def __init__(self, scorer: Scorer):
-        super().__init__((w, i) for i, w in enumerate(scorer.model.words))
-        self.scorer = scorer
+        super().__init__(scorer.model.words)
+        self.scorer, self.size = scorer, 0
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.scorer.table[at] = self.scorer.model.unknown(word)
+        self.size += max(0, len(word) - 20)
         return at
 
 
