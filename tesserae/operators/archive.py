@@ -114,12 +114,12 @@ def assemble(plan: DataFrame, tiles: DataFrame) -> DataFrame:
 
     good = plan.where("fault IS NULL")
     groups = good.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("flags"), F.col("levels").alias("level_count"), F.lit(0).alias("level_skip"))
-    wanted = enumerate_tiles(level_table(good, groups)).join(good.select("asset_id", "levels", "finest"), "asset_id")
+    wanted = enumerate_tiles(level_table(good, groups)).join(good.select("asset_id", "levels", "finest").hint("shuffle_hash"), "asset_id")
     wanted = wanted.withColumn("zoom", F.col("finest") - (F.col("levels") - 1 - F.col("level")))
     face = F.lit(None).cast("int")
     for letter, number in LETTERS.items():
         face = F.when(F.col("name") == letter, number).otherwise(face)
-    own = tiles.join(good.select("asset_id", "kind"), "asset_id").select(
+    own = tiles.join(good.select("asset_id", "kind").hint("shuffle_hash"), "asset_id").select(
         "asset_id", F.when(F.col("kind") == "cube", face).otherwise(0).alias("face"), F.col("level").alias("zoom"), "col", "row", "blob")
     found = wanted.join(own, ["asset_id", "face", "zoom", "col", "row"], "left")
     return found.withColumn("codec", R.sniff_codec(F.col("blob"))).drop("levels", "finest", "zoom", "tile_w", "tile_h")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import layout as L
 from ..functions import registry as R
+from .layout import beside
 
 
 def anchors(pairs: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def merge(pairs: DataFrame, groups: DataFrame, sibling_groups: DataFrame, tiles:
     moves = found.select("asset_id", F.col("group_count").alias("n"), "shift", (F.col("anchor") + 1 - F.col("s_levels")).alias("up"))
     moved_groups = sibling_groups.join(moves, "asset_id").withColumns({
         "group": (F.col("group") + F.col("n")).cast("int"), "level_skip": (F.col("level_skip") + F.col("shift")).cast("int")})
-    moved_tiles = sibling_tiles.join(moves, "asset_id").withColumns({
+    moved_tiles = sibling_tiles.join(beside(moves), "asset_id").withColumns({
         "group": (F.col("group") + F.col("n")).cast("int"), "level": (F.col("level") + F.col("up")).cast("int")})
     return (groups.unionByName(moved_groups.drop("n", "shift", "up")), tiles.unionByName(moved_tiles.drop("n", "shift", "up")))
 
@@ -58,7 +59,7 @@ def _renumbered(groups: DataFrame) -> DataFrame:
 def _followed(tiles: DataFrame, kept: DataFrame, below: str | None = None) -> DataFrame:
     """Tiles of the kept groups under their new numbers; ``below``: the column of ``kept`` that levels must be under."""
     names = kept.select("asset_id", F.col("old").alias("group"), F.col("group").alias("new"), *([F.col(below).alias("below")] if below else []))
-    found = tiles.join(names, ["asset_id", "group"])
+    found = tiles.join(beside(names), ["asset_id", "group"])
     return (found.where("level < below") if below else found).withColumn("group", F.col("new")).drop("new", "below")
 
 

@@ -18,6 +18,14 @@ from ..functions import registry as R
 MAX_TILES = 67_108_864
 
 
+def beside(few: DataFrame, most: int = 200_000) -> DataFrame:
+    """``few`` as the side of a join with tiles: broadcast if it has ``most`` rows at most, which is counted now, else shuffled and hashed.
+
+    Plans cannot tell how many tiles come of a level, and would take the tiles for the smaller side.
+    """
+    return F.broadcast(few) if few.limit(most + 1).count() <= most else few.hint("shuffle_hash")
+
+
 def level_table(assets: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each level of each group, with its grid, tile count and first ordinal."""
     both = groups.select("asset_id", "group", "flags", "level_count", "level_skip").join(

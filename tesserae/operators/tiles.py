@@ -35,7 +35,7 @@ def pushed(blobs: DataFrame) -> DataFrame:
 def offset_index(tiles: DataFrame, front: DataFrame) -> DataFrame:
     """``tiles`` (asset_id, ordinal, n_bytes) with start_off and end_off; ``front``: asset_id, front_matter_len."""
     upto = Window.partitionBy("asset_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = tiles.join(front.select("asset_id", "front_matter_len"), "asset_id")
+    found = tiles.join(front.select("asset_id", "front_matter_len").hint("shuffle_hash"), "asset_id")
     end = F.col("front_matter_len") + F.sum(F.coalesce("n_bytes", F.lit(0))).over(upto)
     return found.withColumn("end_off", end.cast("bigint")).withColumn(
         "start_off", (F.col("end_off") - F.coalesce("n_bytes", F.lit(0))).cast("bigint")
@@ -99,7 +99,7 @@ def inspect(tiles: DataFrame, groups: DataFrame) -> DataFrame:
     """By group: tiles present, all tiles, and present ones whose bytes are not of the group's codec (jpeg, webp only)."""
     from ..functions.registry import sniff_codec
 
-    both = tiles.join(groups.select("asset_id", "group", "codec"), ["asset_id", "group"])
+    both = tiles.join(groups.select("asset_id", "group", "codec").hint("shuffle_hash"), ["asset_id", "group"])
     present = F.octet_length("blob") > 0
     wrong = present & F.col("codec").isin(0, 1) & ~F.coalesce(sniff_codec(F.col("blob")) == F.col("codec"), F.lit(False))
     return both.groupBy("asset_id", "group").agg(

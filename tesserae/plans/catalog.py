@@ -337,14 +337,17 @@ _EDIT = f"{D.ASSETS_SQL}, t AS ({_ENUMERATED})"
 
 
 def _tiles(spark, sf_dir):
-    return layout.enumerate_tiles(_levels(spark, sf_dir)).drop("tile_w", "tile_h").withColumn("blob", F.concat_ws("/", "group", "level", "face", "row", "col").cast("binary"))
+    """All tiles; a blob holds the tile's ordinal before any edit."""
+    return layout.enumerate_tiles(_levels(spark, sf_dir)).drop("tile_w", "tile_h").withColumn("blob", F.col("ordinal").cast("string").cast("binary"))
 
 
 def _summary(frame):
-    return frame.groupBy("asset_id", "group", "level").agg(F.count(F.lit(1)).alias("n"), F.min("blob").cast("string").alias("first"), F.max("blob").cast("string").alias("last"))
+    """Numbers in the blobs of each level; numbers, as least and greatest of strings would sort all tiles."""
+    number = F.col("blob").cast("string").cast("bigint")
+    return frame.groupBy("asset_id", "group", "level").agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("first"), F.max(number).alias("last"))
 
 
-_SUM = """count(*) AS n, min(concat_ws('/', "group", level, face, "row", "col")) AS first, max(concat_ws('/', "group", level, face, "row", "col")) AS last"""
+_SUM = "count(*) AS n, min(ordinal) AS first, max(ordinal) AS last"
 
 
 @query(f"""WITH {_EDIT}, k AS (SELECT g.*, row_number() OVER (PARTITION BY asset_id ORDER BY grp) - 1 AS new FROM groups g WHERE semantic <> 2)
@@ -363,10 +366,10 @@ def q_strip_finest(spark, sf_dir):
 
 
 @query(f"""WITH {_EDIT}, s AS (SELECT asset_id, CAST(least(1 + asset_id % 3, levels - 1) AS INT) AS d FROM assets),
- m AS (SELECT asset_id, "group", level, concat_ws('/', "group", level, face, "row", "col") AS blob FROM t
- UNION ALL SELECT a.asset_id, 2, (SELECT max(level) FROM runs r WHERE r.asset_id = a.asset_id AND r.w = (a.root_w + (1 << d) - 1) >> d AND r.h = (a.root_h + (1 << d) - 1) >> d), 'sibling' || f
+ m AS (SELECT asset_id, "group", level, ordinal FROM t
+ UNION ALL SELECT a.asset_id, 2, (SELECT max(level) FROM runs r WHERE r.asset_id = a.asset_id AND r.w = (a.root_w + (1 << d) - 1) >> d AND r.h = (a.root_h + (1 << d) - 1) >> d), (1::BIGINT << 40) + f
   FROM assets a JOIN s USING (asset_id), unnest(range(face_count)) u(f))
- SELECT asset_id, CAST("group" AS INT) AS "group", CAST(level AS INT) AS level, count(*) AS n, min(blob) AS first, max(blob) AS last FROM m GROUP BY ALL""")
+ SELECT asset_id, CAST("group" AS INT) AS "group", CAST(level AS INT) AS level, {_SUM} FROM m GROUP BY ALL""")
 def q_merge(spark, sf_dir):
     """Each asset with an untiled sibling of the size of one of its levels; of levels alike the finest counts."""
     a = D.assets(spark, sf_dir)
@@ -376,7 +379,7 @@ def q_merge(spark, sf_dir):
     own = a.select("asset_id", F.lit(0).alias("group"), F.lit(3).alias("semantic"), F.lit(3).alias("codec"), F.lit(3).alias("flags"),
                    F.lit(1).alias("level_count"), F.lit(0).alias("level_skip"))
     faces = a.select("asset_id", F.lit(0).alias("group"), F.lit(0).alias("level"), F.explode(F.sequence(F.lit(0), F.col("face_count") - 1)).alias("face"))
-    extra = faces.withColumns({"row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "blob": F.concat(F.lit("sibling"), F.col("face")).cast("binary")})
+    extra = faces.withColumns({"row": F.lit(0).cast("bigint"), "col": F.lit(0).cast("bigint"), "blob": (F.lit(1 << 40) + F.col("face")).cast("string").cast("binary")})
     return _summary(compose.merge(pairs, D.groups(spark, sf_dir), own, _tiles(spark, sf_dir).drop("ordinal"), extra)[1])
 
 
