@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame, hashed: bool = False) -> list:
+    """All columns of ``df``, whatever their names; ``hashed``: only those that can be hashed (no maps)."""
+    return [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if not hashed or "map<" not in f.dataType.simpleString()]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it, in either case."""
     taken = {c.lower() for c in df.columns}

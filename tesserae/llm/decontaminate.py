@@ -395,7 +395,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, row = common.numbered(docs)
     found = matches(rows.select(F.col(row).alias("doc_id"), "text"), benchmark)
     bad = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("bad"))
-    return rows.join(bad, rows[row] == bad["bad"], "left_anti").select(*docs.columns)
+    return rows.join(bad, rows[row] == bad["bad"], "left_anti").select(*common.columns(docs))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

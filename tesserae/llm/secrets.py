@@ -160,7 +160,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: list[float] | None =
         return F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.lit(2**31 - 1)))
 
     done = let(running(F.transform(name, lambda x: x["end"]), F.greatest), replaced)
-    return scan(docs, ratios, name).withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    return scan(docs, ratios, name).withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).select(*common.columns(docs))
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

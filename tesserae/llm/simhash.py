@@ -246,12 +246,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` of each component, all columns: that of the smallest doc_id (null last), then the first by a hash of all columns."""
     rows, row = common.numbered(docs)
     found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("at"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*common.columns(docs, hashed=True)).alias("hash"), F.col(row).alias("at"))
     kept = (
         rows.select(F.col(row).alias("member"), order.alias("order")).join(found, "member")
         .groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.at").alias("kept"))
     )
-    return rows.join(kept, rows[row] == kept["kept"], "left_semi").select(*docs.columns)
+    return rows.join(kept, rows[row] == kept["kept"], "left_semi").select(*common.columns(docs))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

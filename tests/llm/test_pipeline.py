@@ -75,3 +75,12 @@ def test_rows_are_judged_by_themselves(spark, sf_dir):
     done = C.replace_secrets(spark, clean, sf_dir)
     assert sorted(map(str, done.drop("n_chars").collect())) == sorted(map(str, clean.drop("n_chars").collect()))
     assert C.encode(spark, done, sf_dir).count() == 9
+
+
+def test_columns_of_any_name_and_type_stay(spark, sf_dir):
+    docs = spark.sql("""SELECT id AS doc_id, concat('text number ', id, ' is its own') AS text, 'en' AS lang, 'a' AS source, 9L AS n_chars,
+        map('k', id) AS held, id AS `a.b`, id AS `Row`, id AS `back``tick`, array(id) AS found FROM range(3)""")
+    for _, stage in C.STAGES[1:-1]:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "held", "a.b", "Row", "back`tick", "found"]
+    assert sorted((r.doc_id, r["a.b"], r.Row, r.held["k"], r.found) for r in docs.collect()) == [(i, i, i, i, [i]) for i in range(3)]
