@@ -12,7 +12,7 @@ from ..functions import layout as L
 from ..functions import pixel as P
 from ..functions import registry as R
 from ..operators import archive, compose, convert, layout, raster, tiles
-from ..sources import container
+from ..sources import container, images
 from . import data as D
 
 QUERIES: dict = {}
@@ -569,6 +569,28 @@ def q_webp(spark, sf_dir):
 # --- bytes ---
 
 
+@query(f"WITH {_COLOUR} SELECT asset_id, y, x, r, g, b FROM cx")
+def q_images(spark, sf_dir):
+    """Colour rasters as PNG files, written by tasks and read back as pixels."""
+    container.register(spark)
+
+    def made(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from ..sources import codecs
+
+        image = np.zeros((D.H, D.W, 3), np.uint8)
+        image[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]]
+        return pd.DataFrame({"asset": [str(pdf["asset_id"].iloc[0])], "part": [0], "content": [codecs.png(D.W, D.H, image.tobytes())]})
+
+    path = _scratch(spark)
+    D.colour(spark, sf_dir).groupBy("asset_id").applyInPandas(made, "asset string, part bigint, content binary").write.format("tiles").mode("append").option("suffix", ".png").save(path)
+    found = images.read(spark, path)
+    names = found.select("asset_id", F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("bigint").alias("number"))
+    return images.pixels(found).join(names, "asset_id").select(F.col("number").alias("asset_id"), "y", "x", "r", "g", "b")
+
+
 @query("""WITH d AS (SELECT doc_id // 100 AS asset_id, doc_id % 100 AS ordinal, octet_length(encode(text)) AS n, md5(text) AS m FROM documents WHERE text <> ''),
  t AS (SELECT a.asset_id, i AS ordinal, coalesce(n, 0) AS n, m FROM (SELECT DISTINCT asset_id FROM d) a CROSS JOIN range(100) r(i) LEFT JOIN d ON d.asset_id = a.asset_id AND d.ordinal = i),
  o AS (SELECT *, CAST(24 + 48 + 8 * 101 + sum(n) OVER (PARTITION BY asset_id ORDER BY ordinal) AS BIGINT) AS end_off FROM t)

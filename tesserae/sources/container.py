@@ -445,7 +445,7 @@ class Written(WriterCommitMessage):
 
 
 class TileWriter(DataSourceWriter):
-    """Files from the rows of ``pack``: an asset's parts follow each other and are appended as they come.
+    """Files from the rows of ``pack``: an asset's parts follow each other and are appended as they come (``suffix``: of the names).
 
     Files are written to a folder of the job and moved into place when all
     tasks have ended. What attempts that failed have left goes with that folder.
@@ -454,7 +454,7 @@ class TileWriter(DataSourceWriter):
     def __init__(self, options):
         import uuid
 
-        self.path = options["path"].rstrip("/")
+        self.path, self.suffix = options["path"].rstrip("/"), options.get("suffix", ".tpc")
         self.stage = f"{self.path}/_{uuid.uuid4().hex}"
 
     def write(self, rows):
@@ -471,7 +471,7 @@ class TileWriter(DataSourceWriter):
                     now = row["asset"]
                     part = f"{stage}/{uuid.uuid4().hex}"
                     f = system.open_output_stream(part)
-                    done.append((part, f"{now}.tpc"))
+                    done.append((part, f"{now}{self.suffix}"))
                 f.write(row["content"])
         finally:
             if f:
