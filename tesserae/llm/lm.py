@@ -11,16 +11,22 @@ are of ids that begin a word (and the end), or of others; ids that stand in the
 same documents lie in one class. One layer of masked self-attention, whose
 weights also depend on the distance, reads the ids of a window; a hidden layer
 over what it reads and the present id gives the odds of the next class, and of
-the next leaf in it. The weights are fitted to a bounded sample (FIT_ROWS).
-
-Counts. What is gathered besides covers all documents that may be learned
-from: the counts of words, by which the base score goes; the counts of ids;
-how often each class begins a word after each class that ends one, which the
-odds of classes start from; and how often each sequence of ids that begins a
-word goes on with each id or ends. Where such a beginning is known, its counts
-and attention are mixed; the shares of the mixture, by how often the beginning
-was counted, are estimated on a part of the sample that fits no weights, with
-each word itself left out of the counts.
+the next leaf in it.
+
+Fit. Weights start from some documents (FIT_ROWS); then each part of the table
+goes on from there over every id of all documents that may be learned from, in
+the windows of scoring, and the weights after all these steps are averaged.
+They depend on how the table is split, as the order of steps does.
+
+Counts. All else covers all these documents too: the counts of words, by which
+the base score goes; the counts of ids; which frequent ids stand in the same
+documents; how often each class begins a word after each class that ends one,
+which the odds of classes start from; and how often each sequence of ids that
+begins a word goes on with each id or ends. Where such a beginning is known, its
+counts and attention are mixed; the shares of the mixture, by how often the
+beginning was counted, are estimated on all documents but those that the weights
+start from, by the weights before a step that these ids take part in, with each
+word itself left out of the counts.
 
 Scoring runs windows of CONTEXT ids over a text. Each begins STRIDE ids after
 the one before and scores its last STRIDE ids, so every id is scored once, with
@@ -50,14 +56,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents (about, at most twice as many) that fit the weights, their training steps, and windows of a step.
+#: Documents (about, at most twice as many) that the weights start from, their training steps, and windows of a step.
 FIT_ROWS, STEPS, BATCH, RATE = 1200, 600, 64, 0.012
-#: One in so many of these documents does not fit them, but tells after every CHECKED steps how good they are, and the shares of the mixture.
+#: One in so many of these documents does not fit them, but tells after every CHECKED steps how good they are.
 APART, CHECKED = 5, 50
 CONTEXT, STRIDE, EMBED, WIDTH, HIDDEN = 32, 24, 32, 16, 32
+#: Rate of the steps over all documents, of IDS_AT_ONCE ids each.
+FIT_RATE = 0.003
 #: Classes of ids (the first half begin words) and leaves of a class; both of a size that fits a code of 16 bits.
 CLASSES, LEAVES = 32, 32
 BEGIN, BLANK = CLASSES * LEAVES, CLASSES * LEAVES + 1
+#: Ids of a side with leaves of their own, and places where it is counted what stands together: of these ids, and of the others by class.
+SINGLES, PLACES = CLASSES // 2 * (LEAVES - 1), CLASSES * LEAVES
 #: Weight, in occurrences, of the classes' own shares where it is counted what follows a class.
 SHARED = 20
 #: Words and beginnings of words whose counts are sent to the executors, at most.
@@ -68,6 +78,10 @@ HELD, KEPT, KEPT_BYTES = 100_000, 100_000, 4_000_000
 HELD_BYTES = 64_000_000
 #: Windows that attention reads at once, and ids whose classes are found at once.
 AT_ONCE, IDS_AT_ONCE = 48, 16_384
+#: Documents whose frequent ids are compared at once.
+DOCS_AT_ONCE = 512
+#: Greatest logarithm (base 2) of the ratios that shares are estimated from, and steps a unit of it.
+RANGE, FINE = 40, 8
 #: Logits are held under this, so that nothing overflows.
 MOST = 60.0
 
@@ -280,22 +294,33 @@ class Beginnings:
         return np.stack([share * known, share * other, 1 - share], axis=1).astype(np.float32)
 
 
+def frequent(counts, side):
+    """Ids of a side that have leaves of their own, the most frequent first, and its others."""
+    import numpy as np
+
+    own = np.flatnonzero(side)
+    own = own[np.argsort(-counts[own], kind="stable")]
+    most = CLASSES // 2 * (LEAVES - 1)
+    return own[:most], own[most:]
+
+
 class Model:
     """The tree of ids and the weights of attention."""
 
-    def __init__(self, counts, begins, texts=(), seed: int = 11):
-        """``counts`` of ids (the end is the last), whether each ``begins`` a word, and ids of sample texts."""
+    def __init__(self, counts, begins, texts=(), seed: int = 11, near=(None, None)):
+        """``counts`` of ids (the end is the last), whether each ``begins`` a word, and ids of texts.
+
+        ``near``: for the frequent ids of both sides, instead of texts, how alike the documents are that they stand in.
+        """
         import numpy as np
 
         self.code = np.zeros(len(counts), np.int16)
         self.inside = np.ones(len(counts), np.float32)
         half = CLASSES // 2
         for side in range(2):
-            own = np.flatnonzero(begins == (side == 0))
-            own = own[np.argsort(-counts[own], kind="stable")]
-            single, rest = own[: half * (LEAVES - 1)], own[half * (LEAVES - 1) :]
+            single, rest = frequent(counts, begins == (side == 0))
             if len(single):
-                group = self._grouped(single, texts, half)
+                group = self._grouped(single, texts, half, near[side])
                 for g in range(half):
                     members = single[group == g]
                     self.code[members] = ((side * half + g) * LEAVES) + np.arange(len(members))
@@ -321,22 +346,23 @@ class Model:
         self.weights = {k: np.ascontiguousarray(w, np.float32) for k, w in self.weights.items()}
 
     @staticmethod
-    def _grouped(members, texts, groups: int):
+    def _grouped(members, texts, groups: int, near=None):
         """Equal groups of ids: halved again and again by the main direction of the documents that they stand in."""
         import numpy as np
 
         group = np.arange(len(members)) % groups  # without texts the most frequent are kept apart
-        if not len(texts):
-            return group
-        place = np.full(max(int(members.max()), max((int(t.max()) for t in texts if len(t)), default=0)) + 1, -1)
-        place[members] = np.arange(len(members))
-        seen = np.stack([np.bincount(place[t][place[t] >= 0], minlength=len(members)) for t in texts]).T.astype(np.float64)
-        seen = np.sqrt(seen)
-        seen /= np.linalg.norm(seen, axis=1, keepdims=True) + 1e-9
-        near = seen @ seen.T
+        if near is None:
+            if not len(texts):
+                return group
+            place = np.full(max(int(members.max()), max((int(t.max()) for t in texts if len(t)), default=0)) + 1, -1)
+            place[members] = np.arange(len(members))
+            seen = np.stack([np.bincount(place[t][place[t] >= 0], minlength=len(members)) for t in texts]).T.astype(np.float64)
+            seen = np.sqrt(seen)
+            seen /= np.linalg.norm(seen, axis=1, keepdims=True) + 1e-9
+            near = seen @ seen.T
 
         def halved(own, first, n):
-            if n == 1:
+            if n == 1 or not len(own):
                 group[own] = first
                 return
             part = near[np.ix_(own, own)]
@@ -347,7 +373,10 @@ class Model:
             halved(order[:cut], first, n // 2)
             halved(order[cut:], first + n // 2, n - n // 2)
 
-        halved(np.arange(len(members)), 0, groups)
+        there = np.diag(near) > 0
+        halved(np.flatnonzero(there), 0, groups)
+        room = -(-len(members) // groups) - np.bincount(group[there], minlength=groups)
+        group[~there] = np.repeat(np.arange(groups), room)[: (~there).sum()]  # ids that stand nowhere fill the groups up
         return group
 
     def learn_pairs(self, pairs) -> None:
@@ -441,6 +470,18 @@ class Model:
             codes[row, 0], codes[row, 1 : len(part)], targets[row, : len(part)], weight[row, : len(part)] = BEGIN, part[:-1], part, 1
         return self.gradients(codes, targets, weight)[0]
 
+    def descend(self, grads, first, second, step: int, rate: float) -> None:
+        """One step of Adam; ``first`` and ``second`` are its moments."""
+        import numpy as np
+
+        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        for k, g in grads.items():
+            g = g * min(1.0, 1 / (norm + 1e-9))
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            fixed = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            self.weights[k] = (self.weights[k] - rate * fixed).astype(np.float32)
+
     def fit(self, texts: list, check: list = (), seed: int = 5) -> list[float]:
         """Adam over random windows of the texts' ids; the losses. The weights that suit the ``check`` texts best stay."""
         import numpy as np
@@ -466,14 +507,7 @@ class Model:
                 weight[row, : len(part) - 1] = 1
             loss, grads = self.gradients(codes, targets, weight)
             losses.append(loss)
-            rate = RATE * min(1, step / 20) * (1 - 0.95 * step / STEPS)
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            for k, g in grads.items():
-                g = g * min(1.0, 1 / (norm + 1e-9))
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                fixed = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-                self.weights[k] = (self.weights[k] - rate * fixed).astype(np.float32)
+            self.descend(grads, first, second, step, RATE * min(1, step / 20) * (1 - 0.95 * step / STEPS))
             if len(check) and (step % CHECKED == 0 or step == STEPS):
                 best = min(best, (self.loss(check), dict(self.weights)), key=lambda x: x[0])
         if math.isfinite(best[0]):
@@ -494,14 +528,14 @@ class Model:
         self.near = np.where(away >= 0, np.exp(np.minimum(w["far"][np.maximum(away, 0)], MOST)), 0).astype(np.float32)
         self.odds = self.follow.astype(np.float32) + w["class_bias"]
 
-    def chances(self, codes, sizes):
-        """By code of texts that stand one after the other: its probability by attention, and that of its side.
+    @staticmethod
+    def windows(codes, sizes):
+        """Windows of texts that stand one after the other, their targets, and by code its place among the targets.
 
         ``codes`` are those of the ids with their ends, ``sizes`` the lengths of the texts.
         """
         import numpy as np
 
-        w = self.weights
         windows = -(-sizes // STRIDE)
         blocks = np.cumsum(windows) - windows
         begin = np.cumsum(sizes) - sizes
@@ -517,7 +551,15 @@ class Model:
         lead = np.full((n, CONTEXT - STRIDE), BLANK, np.int16)
         lead[1:] = late_rows[:-1, STRIDE - (CONTEXT - STRIDE) :]
         lead[blocks] = BLANK
-        stream = np.concatenate([lead, late_rows], axis=1)
+        return np.concatenate([lead, late_rows], axis=1), targets, late
+
+    def chances(self, codes, sizes):
+        """By code of texts that stand one after the other: its probability by attention, and that of its side."""
+        import numpy as np
+
+        w = self.weights
+        stream, targets, late = self.windows(codes, sizes)
+        n = len(stream)
         chance, side = np.empty(n * STRIDE, np.float32), np.empty(n * STRIDE, np.float32)
         step = max(1, IDS_AT_ONCE // STRIDE)
         sides, ones = np.ones((CLASSES, 2), np.float32), np.ones(LEAVES, np.float32)
@@ -562,31 +604,127 @@ class Model:
         return chance[late], side[late]
 
 
-def estimate_shares(model: Model, found: Beginnings, ids, sizes, texts) -> None:
-    """Shares of the counts in the mixture, by expectation-maximisation over a sample's words with each word left out.
+    def slopes(self, here, targets, there):
+        """Probabilities of the targets of windows and of their sides, and the gradients of the mean loss, windows as they are scored.
 
-    ``ids`` and ``sizes`` are of the words (and ends) of all texts in order, ``texts`` how many ids each text has.
+        ``there``: which targets there are. ``prepare`` must have run on the weights.
+        """
+        import numpy as np
+
+        w, root = self.weights, math.sqrt(WIDTH)
+        n, lead = len(here), CONTEXT - STRIDE
+        now = here[:, lead:].reshape(-1)
+        a, z = np.empty((n, STRIDE, CONTEXT), np.float32), np.empty((n, STRIDE, WIDTH), np.float32)
+        for at in range(0, n, AT_ONCE):
+            part = here[at : at + AT_ONCE]
+            e = np.take(self.queries, part[:, lead:], axis=0) @ np.take(self.keys, part, axis=0).transpose(0, 2, 1)
+            np.minimum(e, MOST, out=e)
+            np.exp(e, out=e)
+            e *= self.near
+            e *= (part != BLANK)[:, None, :]
+            y = e @ np.take(self.values, part, axis=0)
+            total = np.maximum(y[:, :, -1:], np.float32(1e-30))
+            np.divide(e, total, out=a[at : at + AT_ONCE])
+            np.divide(y[:, :, :-1], total, out=z[at : at + AT_ONCE])
+        flat_z = z.reshape(-1, WIDTH)
+        u = flat_z @ w["read"]
+        u += np.take(self.hidden, now, axis=0)
+        np.maximum(u, 0, out=u)
+        kind, leaf, rows = targets // LEAVES, targets % LEAVES, np.arange(len(targets))
+        share = there.astype(np.float32) / np.float32(max(1, int(there.sum())))
+        y = u @ w["class"]
+        y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES), axis=0)
+        np.minimum(y, MOST, out=y)
+        np.exp(y, out=y)
+        y /= (y @ np.ones(CLASSES, np.float32))[:, None]
+        chance = y[rows, kind]
+        starts = y[:, : CLASSES // 2] @ np.ones(CLASSES // 2, np.float32)
+        y[rows, kind] -= 1
+        y *= share[:, None]
+        d = {"class": u.T @ y, "class_bias": y.sum(axis=0), "leaf": np.zeros_like(w["leaf"]), "leaf_bias": np.zeros_like(w["leaf_bias"])}
+        du = y @ w["class"].T
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        ones = np.ones(LEAVES, np.float32)
+        for c in range(CLASSES):
+            own = order[cuts[c] : cuts[c + 1]]
+            if len(own):
+                mine, at = np.take(u, own, axis=0), np.arange(len(own))
+                t = mine @ w["leaf"][c]
+                t += w["leaf_bias"][c]
+                np.minimum(t, MOST, out=t)
+                np.exp(t, out=t)
+                t /= (t @ ones)[:, None]
+                chance[own] *= t[at, leaf[own]]
+                t[at, leaf[own]] -= 1
+                t *= share[own, None]
+                d["leaf"][c] = mine.T @ t
+                d["leaf_bias"][c] = t.sum(axis=0)
+                du[own] += t @ w["leaf"][c].T
+        du *= u > 0
+        d["read"] = flat_z.T @ du
+        dz = (du @ w["read"].T).reshape(z.shape)
+        dq, far = np.empty((n, STRIDE, WIDTH), np.float32), np.zeros((STRIDE, CONTEXT))
+        both = np.empty((n, CONTEXT, 2 * WIDTH), np.float32)  # of keys and values
+        for at in range(0, n, AT_ONCE):
+            part, own, seen = here[at : at + AT_ONCE], dz[at : at + AT_ONCE], a[at : at + AT_ONCE]
+            ds = own @ np.take(self.values[:, :-1], part, axis=0).transpose(0, 2, 1)
+            ds -= (own * z[at : at + AT_ONCE]).sum(axis=2, keepdims=True)
+            ds *= seen
+            far += ds.sum(axis=0)
+            np.matmul(ds, np.take(self.keys, part, axis=0), out=dq[at : at + AT_ONCE])
+            both[at : at + AT_ONCE, :, :WIDTH] = ds.transpose(0, 2, 1) @ np.take(self.queries, part[:, lead:], axis=0)
+            both[at : at + AT_ONCE, :, WIDTH:] = seen.transpose(0, 2, 1) @ own
+        away = np.arange(lead, CONTEXT)[:, None] - np.arange(CONTEXT)
+        d["far"] = np.bincount(np.maximum(away, 0).reshape(-1), (far * (away >= 0)).reshape(-1), CONTEXT)
+        by_now = summed_by(now, np.concatenate([du, dq.reshape(-1, WIDTH)], axis=1))
+        by_here = summed_by(here.reshape(-1), both.reshape(-1, 2 * WIDTH))
+        by_here[BLANK] = 0
+        parts = {"here": by_now[:, :HIDDEN], "q": by_now[:, HIDDEN:] / np.float32(root), "k": by_here[:, :WIDTH], "v": by_here[:, WIDTH:]}
+        d["up"] = parts["here"].sum(axis=0)
+        d["embed"] = sum(x @ w[k].T for k, x in parts.items())
+        d.update((k, w["embed"].T @ x) for k, x in parts.items())
+        return chance, np.where(kind < CLASSES // 2, starts, 1 - starts), d
+
+
+def summed_by(codes, rows):
+    """Sums of rows by code, for each code there may be."""
+    import numpy as np
+
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    out = np.zeros((BEGIN + 2, rows.shape[1]), np.float32)
+    out[codes[order[cuts]]] = np.add.reduceat(np.take(rows, order, axis=0), cuts, axis=0)
+    return out
+
+
+def ratio_cells(bins, known, other, chance, side, at, first):
+    """Cells of a histogram, by the beginning's bin, of how much likelier the counts make an event than attention does.
+
+    ``at``: the places of events to count; ``first``: the first place of each text, before which nothing stands.
     """
     import numpy as np
 
-    if not len(ids):
-        return
-    chance, side = model.chances(model.code[ids], texts)
-    chance = chance * model.inside[ids]
-    known, other, bins = found.parts(ids, sizes, without=1)
-    first = np.cumsum(texts) - texts
-    keep = np.ones(len(ids) - 1, bool)
-    keep[first[1:] - 1] = False  # a text's last id says nothing of the next text
-    # what the counts and attention give an id, after the id before it
-    now, by_counts = bins[:-1][keep], (known[:-1] + other[:-1] * chance[1:] / np.maximum(side[1:], 1e-9))[keep]
-    by_attention = chance[1:][keep]
-    share = np.full(64, 0.5)
+    at = at & ~np.isin(np.arange(len(at)), first)
+    at = np.flatnonzero(at)
+    ratio = known[at - 1] / np.maximum(chance[at], 1e-30) + other[at - 1] / np.maximum(side[at], 1e-9)
+    fine = np.rint(np.log2(np.maximum(ratio, 2.0**-RANGE)) * FINE).astype(np.int64) + RANGE * FINE
+    return bins[at - 1] * (2 * RANGE * FINE + 1) + np.minimum(fine, 2 * RANGE * FINE)
+
+
+def estimate_shares(histogram):
+    """Shares of the counts in the mixture by bin, by expectation-maximisation over all events of such a histogram."""
+    import numpy as np
+
+    histogram = histogram.reshape(64, -1)
+    ratio = np.exp2((np.arange(histogram.shape[1]) - RANGE * FINE) / FINE)
+    ratio[0] = 0
+    share = np.full((64, 1), 0.5)
     for _ in range(20):
-        one, two = share[now] * by_counts, (1 - share[now]) * by_attention
-        part = np.bincount(now, one / np.maximum(one + two, 1e-30), 64)
-        share = (part + 1) / (np.bincount(now, minlength=64) + 2)
+        part = (histogram * (share * ratio / (share * ratio + 1 - share))).sum(axis=1, keepdims=True)
+        share = (part + 1) / (histogram.sum(axis=1, keepdims=True) + 2)
     share[0] = 0
-    found.share = share
+    return share[:, 0]
 
 
 class Known(dict):
@@ -612,14 +750,12 @@ class Rows(dict):
         return at
 
 
-class Scorer:
-    """Texts to their figures: what is known of the hot words, and of others once they are met."""
-
-    def __init__(self, sub: Subwords, model: Model, found: Beginnings, hot: list[bytes], counts):
-        import numpy as np
+class Reader:
+    """Texts to what is known of their ids: of the hot words, and of others once they are met."""
 
-        self.sub, self.model, self.found, self.hot = sub, model, found, hot
-        self.logs = np.append(np.log10(counts + 0.5), 0.0)
+    def __init__(self, sub: Subwords, hot: list[bytes], figures):
+        """``figures``: arrays by id, of ids of words and how many each word has."""
+        self.sub, self.hot, self.figures = sub, hot, figures
         self.base = self._parts([*hot, b""])
         self._forget()
 
@@ -627,25 +763,43 @@ class Scorer:
         self.rows, self.parts = Rows(self.hot), self.base
 
     def _parts(self, found: list[bytes]):
-        import numpy as np
-
         ids, sizes = self.sub.encode(found)
-        return sizes, self.model.code[ids], np.column_stack([self.found.mixed(ids, sizes), self.model.inside[ids]])
+        return (sizes, *self.figures(ids, sizes))
 
-    def score(self, texts: list[list[bytes]]):
-        """By text: words and end, hot words, their sum of log counts, natural log probability, distinct other words; these, and how often each stands."""
+    def read(self, texts: list[list[bytes]]):
+        """Words and end of each text, rows of all these, how many ids each has, and the places of their ids in the figures."""
         import numpy as np
 
         if len(self.rows) > len(self.hot) + KEPT or self.rows.size > KEPT_BYTES:
             self._forget()
-        known, n_hot = len(self.rows.names), len(self.hot)
+        known = len(self.rows.names)
         n_words = np.array([len(t) + 1 for t in texts], np.int64)
         rows = np.array(list(map(self.rows.__getitem__, with_ends(texts))), np.int64)
         if len(self.rows.names) > known:
             self.parts = tuple(map(np.concatenate, zip(self.parts, self._parts(self.rows.names[known:]))))
-        sizes, codes, parts = self.parts
-        first, each = np.cumsum(n_words) - n_words, sizes[rows]
-        at = ragged((np.cumsum(sizes) - sizes)[rows], each)
+        sizes = self.parts[0]
+        each = sizes[rows]
+        return n_words, rows, each, ragged((np.cumsum(sizes) - sizes)[rows], each)
+
+
+class Scorer(Reader):
+    """Texts to their figures."""
+
+    def __init__(self, sub: Subwords, model: Model, found: Beginnings, hot: list[bytes], counts):
+        import numpy as np
+
+        self.model, self.found = model, found
+        self.logs = np.append(np.log10(counts + 0.5), 0.0)
+        super().__init__(sub, hot, lambda ids, sizes: (
+            model.code[ids], np.column_stack([found.mixed(ids, sizes), model.inside[ids]])))
+
+    def score(self, texts: list[list[bytes]]):
+        """By text: words and end, hot words, their sum of log counts, natural log probability, distinct other words; these, and how often each stands."""
+        import numpy as np
+
+        n_words, rows, each, at = self.read(texts)
+        n_hot, (_, codes, parts) = len(self.hot), self.parts
+        first = np.cumsum(n_words) - n_words
         n_ids = np.add.reduceat(each, first)
         chance, side = self.model.chances(np.take(codes, at), n_ids)
         parts = np.take(parts, at, axis=0)
@@ -695,7 +849,10 @@ def _score_batches(vocabulary, sent):
 
 
 def _pair_batches(sent):
-    """How often each class (CLASSES: the beginning of a text) ends a word before each begins one, of neighbouring hot words."""
+    """How often each class (CLASSES: the beginning of a text) ends a word before each begins one, of neighbouring hot words.
+
+    A plain count that ``_place_batches`` is more general than: it reads all words.
+    """
 
     def run(batches):
         import numpy as np
@@ -722,6 +879,150 @@ def _pair_batches(sent):
     return run
 
 
+def _place_batches(vocabulary, sent):
+    """Of all words: how often each place ends a word before each begins one, and how alike the documents of places are, in 2**-16."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        place, hot = sent.value
+        each = SINGLES
+        reader = Reader(Subwords(*vocabulary.value), hot, lambda ids, sizes: (place[ids],))
+        pairs, near = np.zeros((PLACES + 1) * PLACES, np.int64), np.zeros((2, each, each))
+        for _, texts in common.slices(batches, 0):
+            found = [words(t) for t in texts]
+            n_words, _, sizes, at = reader.read(found)
+            here = np.take(reader.parts[1], at)
+            stop = np.cumsum(sizes)
+            before = np.empty(len(stop), np.int64)
+            before[1:] = here[stop[:-1] - 1]
+            first = np.cumsum(n_words) - n_words
+            before[first] = PLACES
+            pairs += np.bincount(before * PLACES + here[stop - sizes], minlength=len(pairs))
+            n_ids = np.add.reduceat(sizes, first)
+            cuts = np.cumsum(n_ids)
+            for i in range(0, len(texts), DOCS_AT_ONCE):
+                n = n_ids[i : i + DOCS_AT_ONCE]
+                part = here[cuts[i] - n_ids[i] : cuts[i + len(n) - 1]].astype(np.int64)
+                seen = np.bincount(np.repeat(np.arange(len(n)), n) * PLACES + part, minlength=len(n) * PLACES)
+                seen = np.sqrt(seen.reshape(len(n), PLACES)[:, : 2 * each].astype(np.float32))
+                for side in range(2):
+                    own = seen[:, side * each : (side + 1) * each]
+                    near[side] += own.T @ own
+        total = np.concatenate([pairs, np.rint(np.triu(near) * 2.0**16).astype(np.int64).reshape(-1)])
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["place", "n"])
+
+    return run
+
+
+class Fitter:
+    """Fits a model's weights to texts as they come, each id once, and counts what the shares of the mixture are estimated from."""
+
+    def __init__(self, model: Model):
+        import copy
+
+        import numpy as np
+
+        self.model = copy.copy(model)
+        self.model.weights = dict(model.weights)
+        self.first = {k: np.zeros_like(w) for k, w in model.weights.items()}
+        self.second = {k: np.zeros_like(w) for k, w in model.weights.items()}
+        self.total = {k: np.zeros(w.shape) for k, w in model.weights.items()}  # of the weights after each step
+        self.steps = 0
+        self.histogram = np.zeros(64 * (2 * RANGE * FINE + 1), np.int64)
+
+    def learn(self, codes, n_ids, parts, bins, apart) -> None:
+        """``parts``: by id, known and other counts and its share of its leaf; ``apart``: texts whose events are counted."""
+        import numpy as np
+
+        model = self.model
+        stream, targets, late = model.windows(codes, n_ids)
+        there = np.zeros(len(targets), bool)
+        there[late] = True
+        chance, side = np.empty(len(targets), np.float32), np.empty(len(targets), np.float32)
+        parted = np.linspace(0, len(stream), 1 - (-len(stream) * STRIDE // IDS_AT_ONCE)).astype(np.int64).tolist()
+        for begin, end in zip(parted, parted[1:]):
+            at = slice(begin * STRIDE, end * STRIDE)
+            model.prepare()
+            chance[at], side[at], grads = model.slopes(stream[begin:end], targets[at], there[at])
+            self.steps += 1
+            rate = FIT_RATE * min(1, self.steps / 20) * min(1, there[at].sum() / IDS_AT_ONCE)  # steps of few ids are short
+            model.descend(grads, self.first, self.second, self.steps, rate)
+            for k, w in model.weights.items():
+                self.total[k] += w
+        chance, side = chance[late] * parts[:, 2], side[late]
+        cells = ratio_cells(bins, parts[:, 0], parts[:, 1], chance, side, np.repeat(apart, n_ids), np.cumsum(n_ids) - n_ids)
+        self.histogram += np.bincount(cells, minlength=len(self.histogram))
+
+    def result(self):
+        """Whole numbers that may be summed: the histogram, the steps, and the weights' sums in 2**-24."""
+        import numpy as np
+
+        sums = np.concatenate([t.reshape(-1) for t in self.total.values()])
+        return np.concatenate([self.histogram, [self.steps], np.rint(sums * 2.0**24).astype(np.int64)])
+
+    def take(self, total) -> None:
+        """Give the model that was fitted the mean of all weights, from such numbers of all parts of a table."""
+        import numpy as np
+
+        n = len(self.histogram)
+        at, steps = n + 1, float(total[n])
+        for k, w in self.model.weights.items():
+            if steps:
+                self.model.weights[k] = (total[at : at + w.size].reshape(w.shape) / steps / 2.0**24).astype(np.float32)
+            at += w.size
+
+
+def _fit_batches(vocabulary, sent):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        model, found, hot, fitted = sent.value
+
+        def figures(ids, sizes):
+            known, other, bins = found.parts(ids, sizes, without=1)
+            return model.code[ids], np.stack([known, other, model.inside[ids]], axis=1).astype(np.float32), bins.astype(np.int8)
+
+        reader, fitter = Reader(Subwords(*vocabulary.value), hot, figures), Fitter(model)
+        held, size = [], 0
+
+        def learn():
+            codes, n_ids, parts, bins, apart = map(np.concatenate, zip(*held))
+            fitter.learn(codes, n_ids, parts, bins.astype(np.int64), apart)
+            held.clear()
+
+        for batch, texts in common.slices(batches, 0):
+            n_words, _, sizes, at = reader.read([words(t) for t in texts])
+            n_ids = np.add.reduceat(sizes, np.cumsum(n_words) - n_words)
+            _, codes, parts, bins = reader.parts
+            apart = np.array([d not in fitted for d in batch.column(1).to_pylist()], bool)
+            held.append((np.take(codes, at), n_ids, np.take(parts, at, axis=0), np.take(bins, at), apart))
+            size += len(at)
+            if size >= IDS_AT_ONCE:
+                learn()
+                size = 0
+        if held:
+            learn()
+        total = fitter.result()
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["place", "n"])
+
+    return run
+
+
+def _summed(rows: DataFrame, run, size: int):
+    """Sums by place of the (place, n) rows that ``run`` makes; at most ``size`` rows are collected."""
+    import numpy as np
+
+    table = rows.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[table["place"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
 def _most(table: DataFrame, count: str, most: int) -> int:
     """A count that at most ``most`` rows reach, found from a histogram whose size does not depend on the table's."""
     bucket = F.floor(F.log2(F.col(count)) * 64)
@@ -764,30 +1065,40 @@ def learn(learned: DataFrame, counts: DataFrame, vocabulary):
     table = nodes.where(F.col("n") >= enough).toArrow()  # NODES rows at most
     found = Beginnings(*(table[c].to_numpy() for c in ("node", "parent", "n", "ends")))
 
+    # what stands together in the same documents, and what follows what: places are those of frequent ids, then one a band
+    model = Model(by_id, sub.begins)
+    place = (PLACES - CLASSES + model.code // LEAVES).astype(np.int16)
+    singles = [frequent(by_id, sub.begins == (side == 0))[0] for side in range(2)]
+    for side in range(2):
+        place[singles[side]] = side * SINGLES + np.arange(len(singles[side]))
+    sent = spark.sparkContext.broadcast((place, hot))
+    total = _summed(learned.select("text"), _place_batches(vocabulary, sent), (PLACES + 1) * PLACES + 2 * SINGLES**2)
+    near = []
+    for side, some in enumerate(total[(PLACES + 1) * PLACES :].reshape(2, SINGLES, SINGLES) / 2.0**16):
+        some = (some + np.triu(some, 1).T)[: len(singles[side]), : len(singles[side])]
+        length = np.sqrt(np.diag(some)) + 1e-9
+        near.append(some / length[:, None] / length)
+    model = Model(by_id, sub.begins, near=near)
+    kind = np.zeros(PLACES + 1, np.int64)
+    kind[place], kind[PLACES] = model.code // LEAVES, CLASSES
+    at = np.flatnonzero(total[: (PLACES + 1) * PLACES])
+    pairs = np.bincount(kind[at // PLACES] * CLASSES + kind[at % PLACES], total[at], (CLASSES + 1) * CLASSES)
+    model.learn_pairs(pairs.reshape(CLASSES + 1, CLASSES))
+
+    # the first weights are of a sample, the last of all documents
     ends = int(by_id[sub.end])
     draw = F.xxhash64("doc_id", "text", F.lit("lm"))
     chosen = learned.where(F.abs(draw % 1_000_000) < (min(1.0, FIT_ROWS / ends) if ends else 0.0) * 1_000_000)
-    sample = chosen.select(F.coalesce("text", F.lit("")).alias("text"), draw.alias("draw")).orderBy("draw", "text").limit(2 * FIT_ROWS)
-    rows = [[*words(r["text"].encode()), b""] for r in sample.collect()]  # 2 * FIT_ROWS at most
-    ids, sizes = sub.encode(list(chain.from_iterable(rows)))
-    of_text = np.add.reduceat(sizes, np.cumsum([0, *map(len, rows[:-1])])) if rows else np.zeros(0, np.int64)
-    texts = np.split(ids, np.cumsum(of_text)[:-1]) if rows else []
-    model = Model(by_id, sub.begins, texts)
-
-    hot_ids, hot_sizes = sub.encode([*hot, b""])
-    kind = (model.code // LEAVES).astype(np.int64)
-    stop = np.cumsum(hot_sizes) - 1
-    sent = spark.sparkContext.broadcast((hot, np.append(-1, kind[hot_ids[stop - hot_sizes + 1]]), np.append(-1, kind[hot_ids[stop]])))
-    pairs = np.zeros((CLASSES + 1) * CLASSES)
-    counted = learned.select("text").mapInArrow(_pair_batches(sent), "pair bigint, n bigint")
-    for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # one row a pair of classes at most
-        pairs[r["pair"]] = r["n"]
-    model.learn_pairs(pairs.reshape(CLASSES + 1, CLASSES))
-    apart = [t for i, t in enumerate(texts) if i % APART == 0]
-    model.fit([t for i, t in enumerate(texts) if i % APART], apart)
+    sample = chosen.select(F.coalesce("text", F.lit("")).alias("text"), draw.alias("draw")).orderBy("draw", "text").limit(2 * FIT_ROWS).collect()
+    texts = [sub.encode([*words(r["text"].encode()), b""])[0] for r in sample]  # 2 * FIT_ROWS at most
+    model.fit([t for i, t in enumerate(texts) if i % APART], texts[::APART])
+    sent = spark.sparkContext.broadcast((model, found, hot, {r["draw"] for i, r in enumerate(sample) if i % APART}))
+    fitter = Fitter(model)
+    total = _summed(learned.select("text", draw.alias("draw")), _fit_batches(vocabulary, sent), len(fitter.result()))
+    fitter.take(total)
+    model = fitter.model
     model.prepare()
-    ids, sizes = sub.encode(list(chain.from_iterable(rows[::APART])))
-    estimate_shares(model, found, ids, sizes, np.array(list(map(len, apart)), np.int64))
+    found.share = estimate_shares(total[: len(fitter.histogram)])
     return model, found, hot, hot_counts, least
 
 

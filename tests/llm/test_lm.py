@@ -249,3 +249,76 @@ def test_least_counts_keep_within_bounds(spark):
     for most in (0, 5, 36, 37, 60, 106, 107, 500):
         kept = table.where(F.col("c") >= M._most(table, "c", most)).count()
         assert kept <= most and kept >= min(most - 20, 37)
+
+
+def test_what_stands_together_is_counted_in_all_documents(spark, sf_dir):
+    """Neighbours and documents of places, also of words that are not hot, against plain counting."""
+    sub = vocabulary()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    texts = [[sub.encode([w])[0].tolist() for w in [*tokens(r.text), b""]] for r in docs.collect()]
+    place = (np.arange(sub.end + 1) % M.PLACES).astype(np.int16)
+    want, seen = np.zeros((M.PLACES + 1, M.PLACES)), np.zeros((len(texts), M.PLACES))
+    for row, t in enumerate(texts):
+        np.add.at(want, ([M.PLACES, *(place[w[-1]] for w in t[:-1])], [place[w[0]] for w in t]), 1)
+        np.add.at(seen[row], place[[i for w in t for i in w]], 1)
+    hot = [w for w, _ in Counter(w for r in docs.collect() for w in tokens(r.text)).most_common(50)]
+    sent, path = spark.sparkContext.broadcast((place, hot)), spark.sparkContext.broadcast((open(M_PATH, "rb").read(), M_PATTERN))
+    got = M._summed(docs.repartition(3), M._place_batches(path, sent), (M.PLACES + 1) * M.PLACES + 2 * M.SINGLES**2)
+    assert (got[: want.size].reshape(want.shape) == want).all()
+    for side, near in enumerate(got[want.size :].reshape(2, M.SINGLES, M.SINGLES)):
+        own = np.sqrt(seen[:, side * M.SINGLES : (side + 1) * M.SINGLES])
+        assert near / 2.0**16 == pytest.approx(np.triu(own.T @ own), rel=1e-4, abs=1e-3)
+
+
+def test_gradients_of_scored_windows_are_those_of_the_loss():
+    model, texts = small_model()
+    sizes = np.array(list(map(len, texts)))
+    codes = model.code[np.concatenate(texts)]
+    chance, side = model.chances(codes, sizes)
+    stream, targets, late = model.windows(codes, sizes)
+    there = np.zeros(len(targets), bool)
+    there[late] = True
+    got = model.slopes(stream, targets, there)
+    assert got[0][late] == pytest.approx(chance, rel=1e-3) and got[1][late] == pytest.approx(side, rel=1e-3)
+    model.weights = {k: w.astype(np.float64) for k, w in model.weights.items()}
+
+    def loss():
+        model.prepare()
+        return -np.log(model.slopes(stream, targets, there)[0][there].astype(np.float64)).mean()
+
+    for name, grad in got[2].items():
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        old, step = model.weights[name][at], 3e-3
+        model.weights[name][at] = old + step
+        up = loss()
+        model.weights[name][at] = old - step
+        assert (up - loss()) / (2 * step) == pytest.approx(grad[at], rel=2e-2, abs=1e-4)
+        model.weights[name][at] = old
+
+
+def test_every_id_is_fitted_and_tells_the_shares_once(spark, sf_dir):
+    sub = vocabulary()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.col("doc_id").cast("long").alias("draw"))
+    n = [(r.draw, sum(len(sub.encode([w])[0]) for w in [*tokens(r.text), b""])) for r in docs.collect()]
+    model = M.Model(np.ones(sub.end + 1), sub.begins)
+    found = M.Beginnings(*(np.zeros(0, np.int64) for _ in range(4)))
+    fitted = {n[3][0], n[10][0]}
+    sent, path = spark.sparkContext.broadcast((model, found, [b"the"], fitted)), spark.sparkContext.broadcast((open(M_PATH, "rb").read(), M_PATTERN))
+    fitter = M.Fitter(model)
+    total = M._summed(docs.repartition(3), M._fit_batches(path, sent), len(fitter.result()))
+    assert total[: len(fitter.histogram)].sum() == sum(k - 1 for d, k in n if d not in fitted)
+    assert total[len(fitter.histogram)] >= sum(k for _, k in n) / M.IDS_AT_ONCE
+    fitter.take(total)
+    assert all(not np.array_equal(w, model.weights[k]) for k, w in fitter.model.weights.items())
+
+
+def test_weights_are_fitted_to_all_documents(spark, monkeypatch):
+    """What the word before the last one tells, in documents outside the first sample; words and their neighbours are counted alike."""
+    monkeypatch.setattr(M, "FIT_ROWS", 0)
+    texts = ["on it in . at it by . " * 30, "on it by . at it in . " * 30]
+    scores = []
+    for learned in texts:
+        rows = [(i, learned) for i in range(6000)] + [(6000, texts[0])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        scores.append({r.doc_id: r.score for r in M.score(docs, F.col("doc_id") < 6000).where("doc_id = 6000").collect()}[6000])
+    assert scores[0] > scores[1] + 5
