@@ -605,7 +605,7 @@ class Model:
 
 
     def slopes(self, here, targets, there):
-        """Probabilities of the targets of windows and of their sides, and the gradients of the mean loss, windows as they are scored.
+        """Probabilities of the targets of successive windows and of their sides, and the gradients of the mean loss, windows as they are scored.
 
         ``there``: which targets there are. ``prepare`` must have run on the weights.
         """
@@ -645,22 +645,24 @@ class Model:
         du = y @ w["class"].T
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-        ones = np.ones(LEAVES, np.float32)
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                mine, at = np.take(u, own, axis=0), np.arange(len(own))
-                t = mine @ w["leaf"][c]
-                t += w["leaf_bias"][c]
-                np.minimum(t, MOST, out=t)
-                np.exp(t, out=t)
-                t /= (t @ ones)[:, None]
-                chance[own] *= t[at, leaf[own]]
-                t[at, leaf[own]] -= 1
-                t *= share[own, None]
-                d["leaf"][c] = mine.T @ t
-                d["leaf_bias"][c] = t.sum(axis=0)
-                du[own] += t @ w["leaf"][c].T
+        runs = [(c, slice(*cuts[c : c + 2])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        mine, t = np.take(u, order, axis=0), np.empty((len(order), LEAVES), np.float32)
+        for c, own in runs:
+            np.matmul(mine[own], w["leaf"][c], out=t[own])
+            t[own] += w["leaf_bias"][c]
+        np.minimum(t, MOST, out=t)
+        np.exp(t, out=t)
+        t /= (t @ np.ones(LEAVES, np.float32))[:, None]
+        leaf = leaf[order]
+        chance[order] *= t[rows, leaf]
+        t[rows, leaf] -= 1
+        t *= share[order, None]
+        back = np.empty_like(mine)
+        for c, own in runs:
+            np.matmul(mine[own].T, t[own], out=d["leaf"][c])
+            d["leaf_bias"][c] = t[own].sum(axis=0)
+            np.matmul(t[own], w["leaf"][c].T, out=back[own])
+        du[order] += back
         du *= u > 0
         d["read"] = flat_z.T @ du
         dz = (du @ w["read"].T).reshape(z.shape)
@@ -677,10 +679,13 @@ class Model:
             both[at : at + AT_ONCE, :, WIDTH:] = seen.transpose(0, 2, 1) @ own
         away = np.arange(lead, CONTEXT)[:, None] - np.arange(CONTEXT)
         d["far"] = np.bincount(np.maximum(away, 0).reshape(-1), (far * (away >= 0)).reshape(-1), CONTEXT)
-        by_now = summed_by(now, np.concatenate([du, dq.reshape(-1, WIDTH)], axis=1))
-        by_here = summed_by(here.reshape(-1), both.reshape(-1, 2 * WIDTH))
-        by_here[BLANK] = 0
-        parts = {"here": by_now[:, :HIDDEN], "q": by_now[:, HIDDEN:] / np.float32(root), "k": by_here[:, :WIDTH], "v": by_here[:, WIDTH:]}
+        both[:-1, STRIDE:] += both[1:, :lead]  # a window begins with what the one before ends with, or blank, where nothing is read
+        rows = np.concatenate([du.reshape(n, STRIDE, HIDDEN), dq, both[:, lead:]], axis=2)
+        by_code = summed_by(now, rows.reshape(n * STRIDE, -1))
+        np.add.at(by_code[:, HIDDEN + WIDTH :], here[0, :lead], both[0, :lead])
+        parts = dict(zip(("here", "q", "k", "v"), np.split(by_code, [HIDDEN, HIDDEN + WIDTH, HIDDEN + 2 * WIDTH], axis=1)))
+        parts["q"] = parts["q"] / np.float32(root)
+        parts["v"][BLANK] = 0
         d["up"] = parts["here"].sum(axis=0)
         d["embed"] = sum(x @ w[k].T for k, x in parts.items())
         d.update((k, w["embed"].T @ x) for k, x in parts.items())
