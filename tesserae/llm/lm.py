@@ -47,8 +47,8 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -133,6 +133,21 @@ def _count_batches(batches):
         yield out(found)
 
 
+#: What a worker holds between tasks: a broadcast's value, and what was made of it.
+_KEPT: list = [None, None]
+
+
+def kept(of, make):
+    """What ``make`` makes of a broadcast's value, once a worker; held until something is made of another.
+
+    Functions of tasks call it by its name in this module; a global that they read themselves would be sent along, empty, with each task.
+    """
+    if _KEPT[0] is not of:
+        _KEPT[:] = None, None
+        _KEPT[:] = of, make()
+    return _KEPT[1]
+
+
 class Subwords:
     """Ids of words in a public vocabulary; the end is the id after the last."""
 
@@ -181,6 +196,12 @@ class Subwords:
         return ids, sizes
 
 
+@lru_cache(maxsize=1)
+def subwords(ranks: bytes, pattern: str) -> Subwords:
+    """The vocabulary, made once a worker."""
+    return Subwords(ranks, pattern)
+
+
 def nodes_of(ids, sizes):
     """By id: a hash of the word's ids up to it (never zero)."""
     import numpy as np
@@ -205,7 +226,7 @@ def _node_batches(sent):
         import numpy as np
         import pyarrow as pa
 
-        sub = Subwords(*sent.value)
+        sub = subwords(*sent.value)
         total = np.zeros(sub.end + 1, np.int64)
         names = ["node", "parent", "n", "ends"]
 
@@ -522,11 +543,19 @@ class Model:
         self.queries = (w["embed"] @ w["q"] / math.sqrt(WIDTH)).astype(np.float32)
         self.keys = w["embed"] @ w["k"]
         self.values = np.concatenate([w["embed"] @ w["v"], np.ones((BEGIN + 2, 1), np.float32)], axis=1)
+        self.values_and_ones = self.values.copy()
         self.values[BLANK] = 0
         self.hidden = w["embed"] @ w["here"] + w["up"]
         away = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)
         self.near = np.where(away >= 0, np.exp(np.minimum(w["far"][np.maximum(away, 0)], MOST)), 0).astype(np.float32)
-        self.odds = self.follow.astype(np.float32) + w["class_bias"]
+        # odds of classes and of leaves side by side: products with what the target's class needs, and, by class before and target's class, what is added
+        self.tree = np.concatenate([np.broadcast_to(w["class"], w["leaf"].shape), w["leaf"]], axis=2)
+        self.odds = np.empty((CLASSES + 1, CLASSES, CLASSES + LEAVES), np.float32)
+        self.odds[:, :, :CLASSES] = (self.follow + w["class_bias"])[:, None]
+        self.odds[:, :, CLASSES:] = w["leaf_bias"]
+        self.odds = self.odds.reshape(-1, CLASSES + LEAVES)
+        self.sides = np.zeros((CLASSES + LEAVES, 3), np.float32)  # sums over classes, leaves, and classes that begin words
+        self.sides[:CLASSES, 0] = self.sides[CLASSES:, 1] = self.sides[: CLASSES // 2, 2] = 1
 
     @staticmethod
     def windows(codes, sizes):
@@ -557,52 +586,56 @@ class Model:
         """By code of texts that stand one after the other: its probability by attention, and that of its side."""
         import numpy as np
 
-        w = self.weights
         stream, targets, late = self.windows(codes, sizes)
         n = len(stream)
         chance, side = np.empty(n * STRIDE, np.float32), np.empty(n * STRIDE, np.float32)
         step = max(1, IDS_AT_ONCE // STRIDE)
-        sides, ones = np.ones((CLASSES, 2), np.float32), np.ones(LEAVES, np.float32)
-        sides[CLASSES // 2 :, 1] = 0
         for cut in range(0, n, step):
             here = stream[cut : cut + step]
-            u = np.empty((len(here), STRIDE, HIDDEN), np.float32)
+            z = np.empty((len(here), STRIDE, WIDTH), np.float32)
             for at in range(0, len(here), AT_ONCE):
                 part = here[at : at + AT_ONCE]
                 a = np.take(self.queries, part[:, CONTEXT - STRIDE :], axis=0) @ np.take(self.keys, part, axis=0).transpose(0, 2, 1)
                 np.minimum(a, MOST, out=a)
                 np.exp(a, out=a)
                 a *= self.near
-                z = a @ np.take(self.values, part, axis=0)
-                z = z[:, :, :-1] / z[:, :, -1:]
-                np.matmul(z.reshape(-1, WIDTH), w["read"], out=u[at : at + AT_ONCE].reshape(-1, HIDDEN))
-            now = here[:, CONTEXT - STRIDE :].reshape(-1)
-            u = u.reshape(-1, HIDDEN)
-            u += np.take(self.hidden, now, axis=0)
-            np.maximum(u, 0, out=u)
-            goal = targets[cut * STRIDE : cut * STRIDE + len(u)]
-            kind = goal // LEAVES
-            y = u @ w["class"]
-            y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES), axis=0)
-            np.minimum(y, MOST, out=y)
-            np.exp(y, out=y)
-            sums = y @ sides  # faster than sums along rows
-            first = y[np.arange(len(y)), kind] / sums[:, 0]
-            starts = sums[:, 1] / sums[:, 0]
-            order = np.argsort(kind, kind="stable")
-            cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-            for c in range(CLASSES):
-                own = order[cuts[c] : cuts[c + 1]]
-                if len(own):
-                    t = np.take(u, own, axis=0) @ w["leaf"][c]
-                    t += w["leaf_bias"][c]
-                    np.minimum(t, MOST, out=t)
-                    np.exp(t, out=t)
-                    first[own] *= t[np.arange(len(own)), goal[own] % LEAVES] / (t @ ones)
-            chance[cut * STRIDE : cut * STRIDE + len(u)] = first
-            side[cut * STRIDE : cut * STRIDE + len(u)] = np.where(kind < CLASSES // 2, starts, 1 - starts)
+                y = a @ np.take(self.values, part, axis=0)
+                np.divide(y[:, :, :-1], y[:, :, -1:], out=z[at : at + AT_ONCE])
+            own = slice(cut * STRIDE, (cut + len(here)) * STRIDE)
+            order, *_, chance[own], side[own] = self.tree_odds(z.reshape(-1, WIDTH), here[:, CONTEXT - STRIDE :].reshape(-1), targets[own])
         return chance[late], side[late]
 
+    def tree_odds(self, z, now, targets):
+        """The tree at places whose ids read ``z`` and are ``now``, in order of the target's class, in which a class is one product.
+
+        Order, runs of classes, what was read, the codes, the hidden layer, odds of classes and of the class's leaves, their
+        sums, and where the targets stand among the odds; in the old order the targets' probabilities and their sides'.
+        """
+        import numpy as np
+
+        kind = targets // LEAVES
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1, dtype=kind.dtype)).tolist()
+        runs = [(c, slice(*cuts[c : c + 2])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        z, now, targets = np.take(z, order, axis=0), np.take(now, order), np.take(targets, order)
+        u = z @ self.weights["read"]
+        u += np.take(self.hidden, now, axis=0)
+        np.maximum(u, 0, out=u)
+        y = np.empty((len(u), CLASSES + LEAVES), np.float32)
+        for c, own in runs:
+            np.matmul(u[own], self.tree[c], out=y[own])
+        kind = (targets // LEAVES).astype(np.int64)
+        y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES) * CLASSES + kind, axis=0)
+        np.minimum(y, MOST, out=y)
+        np.exp(y, out=y)
+        sums = y @ self.sides  # faster than sums along rows
+        rows = np.arange(0, y.size, CLASSES + LEAVES)
+        at = np.stack([rows + kind, rows + (CLASSES + targets % LEAVES)])
+        got, flat = np.empty((2, len(y)), np.float32), y.reshape(-1)
+        got[0, order] = np.take(flat, at[0]) * np.take(flat, at[1]) / (sums[:, 0] * sums[:, 1])
+        starts = sums[:, 2] / sums[:, 0]
+        got[1, order] = np.where(kind < CLASSES // 2, starts, 1 - starts)
+        return order, runs, z, now, u, y, sums, at, got[0], got[1]
 
     def slopes(self, here, targets, there):
         """Probabilities of the targets of successive windows and of their sides, and the gradients of the mean loss, windows as they are scored.
@@ -611,96 +644,81 @@ class Model:
         """
         import numpy as np
 
-        w, root = self.weights, math.sqrt(WIDTH)
-        n, lead = len(here), CONTEXT - STRIDE
-        now = here[:, lead:].reshape(-1)
+        w, n, lead = self.weights, len(here), CONTEXT - STRIDE
+        now, blank = here[:, lead:].reshape(-1), here == BLANK
+        odd = blank.any(axis=1)
         a, z = np.empty((n, STRIDE, CONTEXT), np.float32), np.empty((n, STRIDE, WIDTH), np.float32)
         for at in range(0, n, AT_ONCE):
-            part = here[at : at + AT_ONCE]
+            part, some = here[at : at + AT_ONCE], np.flatnonzero(odd[at : at + AT_ONCE])
             e = np.take(self.queries, part[:, lead:], axis=0) @ np.take(self.keys, part, axis=0).transpose(0, 2, 1)
             np.minimum(e, MOST, out=e)
             np.exp(e, out=e)
             e *= self.near
-            e *= (part != BLANK)[:, None, :]
+            e[some] *= ~blank[at + some][:, None, :]
             y = e @ np.take(self.values, part, axis=0)
             total = np.maximum(y[:, :, -1:], np.float32(1e-30))
             np.divide(e, total, out=a[at : at + AT_ONCE])
             np.divide(y[:, :, :-1], total, out=z[at : at + AT_ONCE])
-        flat_z = z.reshape(-1, WIDTH)
-        u = flat_z @ w["read"]
-        u += np.take(self.hidden, now, axis=0)
-        np.maximum(u, 0, out=u)
-        kind, leaf, rows = targets // LEAVES, targets % LEAVES, np.arange(len(targets))
-        share = there.astype(np.float32) / np.float32(max(1, int(there.sum())))
-        y = u @ w["class"]
-        y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES), axis=0)
-        np.minimum(y, MOST, out=y)
-        np.exp(y, out=y)
-        y /= (y @ np.ones(CLASSES, np.float32))[:, None]
-        chance = y[rows, kind]
-        starts = y[:, : CLASSES // 2] @ np.ones(CLASSES // 2, np.float32)
-        y[rows, kind] -= 1
-        y *= share[:, None]
-        d = {"class": u.T @ y, "class_bias": y.sum(axis=0), "leaf": np.zeros_like(w["leaf"]), "leaf_bias": np.zeros_like(w["leaf_bias"])}
-        du = y @ w["class"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-        runs = [(c, slice(*cuts[c : c + 2])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
-        mine, t = np.take(u, order, axis=0), np.empty((len(order), LEAVES), np.float32)
-        for c, own in runs:
-            np.matmul(mine[own], w["leaf"][c], out=t[own])
-            t[own] += w["leaf_bias"][c]
-        np.minimum(t, MOST, out=t)
-        np.exp(t, out=t)
-        t /= (t @ np.ones(LEAVES, np.float32))[:, None]
-        leaf = leaf[order]
-        chance[order] *= t[rows, leaf]
-        t[rows, leaf] -= 1
-        t *= share[order, None]
-        back = np.empty_like(mine)
+        order, runs, mine, codes, u, y, sums, at, chance, side = self.tree_odds(z.reshape(-1, WIDTH), now, targets)
+        share = np.take(there.astype(np.float32) / np.float32(max(1, int(there.sum()))), order)
+        y.reshape(-1, 2, LEAVES)[:] *= (share[:, None] / sums[:, :2])[:, :, None]
+        y.reshape(-1)[at] -= share
+        d = {k: np.zeros(w[k].shape, np.float32) for k in ("class", "class_bias", "leaf", "leaf_bias")}
+        du, ones = np.empty_like(u), np.ones(len(u), np.float32)
         for c, own in runs:
-            np.matmul(mine[own].T, t[own], out=d["leaf"][c])
-            d["leaf_bias"][c] = t[own].sum(axis=0)
-            np.matmul(t[own], w["leaf"][c].T, out=back[own])
-        du[order] += back
+            both, bias = u[own].T @ y[own], ones[own] @ y[own]
+            d["class"] += both[:, :CLASSES]
+            d["class_bias"] += bias[:CLASSES]
+            d["leaf"][c], d["leaf_bias"][c] = both[:, CLASSES:], bias[CLASSES:]
+            np.matmul(y[own], self.tree[c].T, out=du[own])
         du *= u > 0
-        d["read"] = flat_z.T @ du
-        dz = (du @ w["read"].T).reshape(z.shape)
-        dq, far = np.empty((n, STRIDE, WIDTH), np.float32), np.zeros((STRIDE, CONTEXT))
-        both = np.empty((n, CONTEXT, 2 * WIDTH), np.float32)  # of keys and values
+        d["read"] = mine.T @ du
+        dz = np.empty((n, STRIDE, WIDTH + 1), np.float32)  # with what is taken off all slopes of a place's attention, as values end in a one
+        dz.reshape(-1, WIDTH + 1)[order, :-1] = du @ w["read"].T
+        dz[:, :, -1] = -np.einsum("nsw,nsw->ns", dz[:, :, :-1], z)
+        rows, far = np.empty((n, CONTEXT, 3 * WIDTH), np.float32), np.zeros((STRIDE, CONTEXT))  # of queries, keys and values
         for at in range(0, n, AT_ONCE):
-            part, own, seen = here[at : at + AT_ONCE], dz[at : at + AT_ONCE], a[at : at + AT_ONCE]
-            ds = own @ np.take(self.values[:, :-1], part, axis=0).transpose(0, 2, 1)
-            ds -= (own * z[at : at + AT_ONCE]).sum(axis=2, keepdims=True)
+            part, own, seen, out = here[at : at + AT_ONCE], dz[at : at + AT_ONCE], a[at : at + AT_ONCE], rows[at : at + AT_ONCE]
+            ds = own @ np.take(self.values_and_ones, part, axis=0).transpose(0, 2, 1)
             ds *= seen
             far += ds.sum(axis=0)
-            np.matmul(ds, np.take(self.keys, part, axis=0), out=dq[at : at + AT_ONCE])
-            both[at : at + AT_ONCE, :, :WIDTH] = ds.transpose(0, 2, 1) @ np.take(self.queries, part[:, lead:], axis=0)
-            both[at : at + AT_ONCE, :, WIDTH:] = seen.transpose(0, 2, 1) @ own
+            np.matmul(ds, np.take(self.keys, part, axis=0), out=out[:, lead:, :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), np.take(self.queries, part[:, lead:], axis=0), out=out[:, :, WIDTH : 2 * WIDTH])
+            np.matmul(seen.transpose(0, 2, 1), own[:, :, :-1], out=out[:, :, 2 * WIDTH :])
+        # a window begins with what the one before ends with, or blank, where nothing is read
+        rows[:-1, STRIDE:, WIDTH:] += rows[1:, :lead, WIDTH:]
+        by_code = np.zeros((BEGIN + 2, HIDDEN + 3 * WIDTH), np.float32)
+        add_by(by_code[:, :HIDDEN], codes, du)
+        add_by(by_code[:, HIDDEN:], now, rows.reshape(n * CONTEXT, -1), (np.arange(n)[:, None] * CONTEXT + np.arange(lead, CONTEXT)).reshape(-1))
+        np.add.at(by_code[:, HIDDEN + WIDTH :], here[0, :lead], rows[0, :lead, WIDTH:])
         away = np.arange(lead, CONTEXT)[:, None] - np.arange(CONTEXT)
         d["far"] = np.bincount(np.maximum(away, 0).reshape(-1), (far * (away >= 0)).reshape(-1), CONTEXT)
-        both[:-1, STRIDE:] += both[1:, :lead]  # a window begins with what the one before ends with, or blank, where nothing is read
-        rows = np.concatenate([du.reshape(n, STRIDE, HIDDEN), dq, both[:, lead:]], axis=2)
-        by_code = summed_by(now, rows.reshape(n * STRIDE, -1))
-        np.add.at(by_code[:, HIDDEN + WIDTH :], here[0, :lead], both[0, :lead])
         parts = dict(zip(("here", "q", "k", "v"), np.split(by_code, [HIDDEN, HIDDEN + WIDTH, HIDDEN + 2 * WIDTH], axis=1)))
-        parts["q"] = parts["q"] / np.float32(root)
+        parts["q"] = parts["q"] / np.float32(math.sqrt(WIDTH))
         parts["v"][BLANK] = 0
         d["up"] = parts["here"].sum(axis=0)
         d["embed"] = sum(x @ w[k].T for k, x in parts.items())
         d.update((k, w["embed"].T @ x) for k, x in parts.items())
-        return chance, np.where(kind < CLASSES // 2, starts, 1 - starts), d
+        return chance, side, d
 
 
-def summed_by(codes, rows):
-    """Sums of rows by code, for each code there may be."""
+def add_by(out, codes, rows, at=None):
+    """Add to ``out``, by code, the rows, or those of them ``at`` places. Rows of a code are summed by fours first, which is faster than ``reduceat`` alone."""
     import numpy as np
 
     order = np.argsort(codes, kind="stable")
-    cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-    out = np.zeros((BEGIN + 2, rows.shape[1]), np.float32)
-    out[codes[order[cuts]]] = np.add.reduceat(np.take(rows, order, axis=0), cuts, axis=0)
-    return out
+    sizes = np.bincount(codes, minlength=len(out))
+    order = order if at is None else np.take(at, order)
+    fours = sizes // 4
+    first = np.cumsum(sizes) - sizes
+    whole = ragged(first, fours * 4)
+    some = np.take(rows, np.take(order, whole), axis=0).reshape(-1, 4, rows.shape[1])
+    there = np.flatnonzero(fours)
+    if len(there):
+        out[there] += np.add.reduceat(some.sum(axis=1), (np.cumsum(fours) - fours)[there], axis=0)
+    for k in range(3):  # and the up to three that are left
+        there = np.flatnonzero(sizes % 4 > k)
+        out[there] += np.take(rows, order[(first + fours * 4)[there] + k], axis=0)
 
 
 def ratio_cells(bins, known, other, chance, side, at, first):
@@ -827,20 +845,14 @@ class Scorer(Reader):
                 total(logs, begin), np.bincount(rare >> 32, minlength=len(texts)), names, times)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _score_batches(vocabulary, sent):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        name, *rest = sent.value
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(Subwords(*vocabulary.value), *rest)
+        scorer = kept(sent.value, lambda: Scorer(subwords(*vocabulary.value), *sent.value))
         for batch, texts in common.slices(batches, 1):
-            n_words, n_hot, sums, logs, n_rare, rare, times = _SCORERS[name].score([words(t) for t in texts])
+            n_words, n_hot, sums, logs, n_rare, rare, times = scorer.score([words(t) for t in texts])
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -893,7 +905,7 @@ def _place_batches(vocabulary, sent):
 
         place, hot = sent.value
         each = SINGLES
-        reader = Reader(Subwords(*vocabulary.value), hot, lambda ids, sizes: (place[ids],))
+        reader = kept(sent.value, lambda: Reader(subwords(*vocabulary.value), hot, lambda ids, sizes: (place[ids],)))
         pairs, near = np.zeros((PLACES + 1) * PLACES, np.int64), np.zeros((2, each, each))
         for _, texts in common.slices(batches, 0):
             found = [words(t) for t in texts]
@@ -991,7 +1003,7 @@ def _fit_batches(vocabulary, sent):
             known, other, bins = found.parts(ids, sizes, without=1)
             return model.code[ids], np.stack([known, other, model.inside[ids]], axis=1).astype(np.float32), bins.astype(np.int8)
 
-        reader, fitter = Reader(Subwords(*vocabulary.value), hot, figures), Fitter(model)
+        reader, fitter = kept(sent.value, lambda: Reader(subwords(*vocabulary.value), hot, figures)), Fitter(model)
         held, size = [], 0
 
         def learn():
@@ -1061,7 +1073,7 @@ def learn(learned: DataFrame, counts: DataFrame, vocabulary):
 
     parts = counts.mapInArrow(_node_batches(vocabulary), "node bigint, parent bigint, n bigint, ends bigint")
     parts = common.materialize(parts.groupBy("node", "parent").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "beginnings")
-    sub = Subwords(*vocabulary.value)
+    sub = subwords(*vocabulary.value)
     by_id = np.zeros(sub.end + 1)
     at, n = _arrays(parts.where("parent IS NULL").collect(), "node", "n")  # one row an id of the vocabulary at most
     by_id[at] = n
@@ -1128,7 +1140,7 @@ def score(docs: DataFrame, learned_from) -> DataFrame:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
     model, found, hot, hot_counts, least = learn(learned, counts, vocabulary)
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, model, found, hot, hot_counts))
+    sent = spark.sparkContext.broadcast((model, found, hot, hot_counts))
     schema = "doc_id bigint, n_tokens bigint, hot_known bigint, hot_sum double, score double, rare array<struct<word:binary,k:bigint>>"
     scored = rows.select("doc_id", "text").mapInArrow(_score_batches(vocabulary, sent), schema)
     scored = common.materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -322,3 +322,44 @@ def test_weights_are_fitted_to_all_documents(spark, monkeypatch):
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         scores.append({r.doc_id: r.score for r in M.score(docs, F.col("doc_id") < 6000).where("doc_id = 6000").collect()}[6000])
     assert scores[0] > scores[1] + 5
+
+
+def test_rows_are_summed_by_code():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 4, 5, 700):
+        codes, rows, at = rng.integers(0, 40, n), rng.standard_normal((2 * n, 5)), rng.permutation(2 * n)[:n]
+        want = np.ones((50, 5))
+        np.add.at(want, codes, rows[at])
+        got = np.ones((50, 5))
+        M.add_by(got, codes, rows, at)
+        assert got == pytest.approx(want)
+
+
+class Sent:
+    """Stands for a broadcast."""
+
+    def __init__(self, *value):
+        self.value = value
+
+
+def test_a_worker_reads_the_hot_words_once(sf_dir, monkeypatch):
+    """Tasks of one worker share what was read of the hot words, and results do not depend on it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf_dir}/documents.parquet").slice(0, 20)
+    batch = pa.RecordBatch.from_arrays([table["text"].combine_chunks(), table["doc_id"].combine_chunks()], names=["text", "draw"])
+    back = pa.RecordBatch.from_arrays(batch.columns[::-1], names=["doc_id", "text"])
+    path, sub, hot = Sent(open(M_PATH, "rb").read(), M_PATTERN), vocabulary(), [b"the", b"and"]
+    model = M.Model(np.ones(sub.end + 1), sub.begins)
+    model.prepare()
+    found, place = M.Beginnings(*(np.zeros(0, np.int64) for _ in range(4))), (np.arange(sub.end + 1) % M.PLACES).astype(np.int16)
+    read, parts = [], M.Reader._parts
+    monkeypatch.setattr(M.Reader, "_parts", lambda self, some: read.append(some) or parts(self, some))
+    for run, rows in (
+        (M._place_batches(path, Sent(place, hot)), batch), (M._fit_batches(path, Sent(model, found, hot, set())), batch),
+        (M._score_batches(path, Sent(model, found, hot, np.ones(2))), back),
+    ):
+        read.clear()
+        first, second = ([x.to_pydict() for x in run(iter([rows]))] for _ in range(2))
+        assert first == second and [x for x in read if x[:2] == hot] == [[*hot, b""]]
