@@ -548,12 +548,13 @@ class Model:
         self.hidden = w["embed"] @ w["here"] + w["up"]
         away = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)
         self.near = np.where(away >= 0, np.exp(np.minimum(w["far"][np.maximum(away, 0)], MOST)), 0).astype(np.float32)
-        # odds of classes and of leaves side by side: products with what the target's class needs, and, by class before and target's class, what is added
+        self.odds = self.follow.astype(np.float32) + w["class_bias"]
+        # for slopes, odds of classes and of leaves side by side: products with what the target's class needs, and, by class before and target's class, what is added
         self.tree = np.concatenate([np.broadcast_to(w["class"], w["leaf"].shape), w["leaf"]], axis=2)
-        self.odds = np.empty((CLASSES + 1, CLASSES, CLASSES + LEAVES), np.float32)
-        self.odds[:, :, :CLASSES] = (self.follow + w["class_bias"])[:, None]
-        self.odds[:, :, CLASSES:] = w["leaf_bias"]
-        self.odds = self.odds.reshape(-1, CLASSES + LEAVES)
+        self.more = np.empty((CLASSES + 1, CLASSES, CLASSES + LEAVES), np.float32)
+        self.more[:, :, :CLASSES] = self.odds[:, None]
+        self.more[:, :, CLASSES:] = w["leaf_bias"]
+        self.more = self.more.reshape(-1, CLASSES + LEAVES)
         self.sides = np.zeros((CLASSES + LEAVES, 3), np.float32)  # sums over classes, leaves, and classes that begin words
         self.sides[:CLASSES, 0] = self.sides[CLASSES:, 1] = self.sides[: CLASSES // 2, 2] = 1
 
@@ -586,23 +587,50 @@ class Model:
         """By code of texts that stand one after the other: its probability by attention, and that of its side."""
         import numpy as np
 
+        w = self.weights
         stream, targets, late = self.windows(codes, sizes)
         n = len(stream)
         chance, side = np.empty(n * STRIDE, np.float32), np.empty(n * STRIDE, np.float32)
         step = max(1, IDS_AT_ONCE // STRIDE)
+        sides, ones = np.ones((CLASSES, 2), np.float32), np.ones(LEAVES, np.float32)
+        sides[CLASSES // 2 :, 1] = 0
         for cut in range(0, n, step):
             here = stream[cut : cut + step]
-            z = np.empty((len(here), STRIDE, WIDTH), np.float32)
+            u = np.empty((len(here), STRIDE, HIDDEN), np.float32)
             for at in range(0, len(here), AT_ONCE):
                 part = here[at : at + AT_ONCE]
                 a = np.take(self.queries, part[:, CONTEXT - STRIDE :], axis=0) @ np.take(self.keys, part, axis=0).transpose(0, 2, 1)
                 np.minimum(a, MOST, out=a)
                 np.exp(a, out=a)
                 a *= self.near
-                y = a @ np.take(self.values, part, axis=0)
-                np.divide(y[:, :, :-1], y[:, :, -1:], out=z[at : at + AT_ONCE])
-            own = slice(cut * STRIDE, (cut + len(here)) * STRIDE)
-            order, *_, chance[own], side[own] = self.tree_odds(z.reshape(-1, WIDTH), here[:, CONTEXT - STRIDE :].reshape(-1), targets[own])
+                z = a @ np.take(self.values, part, axis=0)
+                z = z[:, :, :-1] / z[:, :, -1:]
+                np.matmul(z.reshape(-1, WIDTH), w["read"], out=u[at : at + AT_ONCE].reshape(-1, HIDDEN))
+            now = here[:, CONTEXT - STRIDE :].reshape(-1)
+            u = u.reshape(-1, HIDDEN)
+            u += np.take(self.hidden, now, axis=0)
+            np.maximum(u, 0, out=u)
+            goal = targets[cut * STRIDE : cut * STRIDE + len(u)]
+            kind = goal // LEAVES
+            y = u @ w["class"]
+            y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES), axis=0)
+            np.minimum(y, MOST, out=y)
+            np.exp(y, out=y)
+            sums = y @ sides  # faster than sums along rows
+            first = y[np.arange(len(y)), kind] / sums[:, 0]
+            starts = sums[:, 1] / sums[:, 0]
+            order = np.argsort(kind, kind="stable")
+            cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+            for c in range(CLASSES):
+                own = order[cuts[c] : cuts[c + 1]]
+                if len(own):
+                    t = np.take(u, own, axis=0) @ w["leaf"][c]
+                    t += w["leaf_bias"][c]
+                    np.minimum(t, MOST, out=t)
+                    np.exp(t, out=t)
+                    first[own] *= t[np.arange(len(own)), goal[own] % LEAVES] / (t @ ones)
+            chance[cut * STRIDE : cut * STRIDE + len(u)] = first
+            side[cut * STRIDE : cut * STRIDE + len(u)] = np.where(kind < CLASSES // 2, starts, 1 - starts)
         return chance[late], side[late]
 
     def tree_odds(self, z, now, targets):
@@ -625,7 +653,7 @@ class Model:
         for c, own in runs:
             np.matmul(u[own], self.tree[c], out=y[own])
         kind = (targets // LEAVES).astype(np.int64)
-        y += np.take(self.odds, np.minimum(now // LEAVES, CLASSES) * CLASSES + kind, axis=0)
+        y += np.take(self.more, np.minimum(now // LEAVES, CLASSES) * CLASSES + kind, axis=0)
         np.minimum(y, MOST, out=y)
         np.exp(y, out=y)
         sums = y @ self.sides  # faster than sums along rows
