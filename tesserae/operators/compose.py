@@ -1,7 +1,10 @@
 """Editing sets of containers as relations; blobs are carried over as they are.
 
 Each edit takes and gives assets, groups and tiles (asset_id, group, level,
-face, row, col, blob). A rule that an asset breaks is raised where the plan
+face, row, col, blob). In place of tiles, the levels of a layout do as well
+(``layout.level_table``): edited levels keep their ``base``, so that the tiles
+enumerated from them hold the ordinals that their blobs have in the source, and
+only a few rows an asset are joined. A rule that an asset breaks is raised where the plan
 meets it, or given as a column by the ``*_faults`` functions.
 """
 
