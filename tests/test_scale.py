@@ -2,6 +2,7 @@
 
 import pytest
 
+from tesserae.operators import layout
 from tesserae.plans import catalog
 
 
@@ -13,3 +14,14 @@ def plan(frame):
 def test_levels_are_edited_before_tiles_are_enumerated(spark, sf_dir, name):
     found = plan(catalog.QUERIES[name](spark, sf_dir))
     assert found.index("Generate explode") < found.index("Join")
+
+
+def test_tiles_are_dealt_out_over_tasks_in_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(layout, "PIECE", 100)
+    levels = spark.createDataFrame([(0, 0, 0, 6, 64, False, 2048, 2560, 32, 40, 7680, 5), (1, 0, 0, 1, 64, False, 8000, 64, 125, 1, 125, 0)],
+                                   "asset_id long, `group` int, level int, face_count int, tile_size int, untiled boolean, w long, h long, cols long, rows long, tiles long, base long")
+    found = layout.enumerate_tiles(levels)
+    dealt = [n for n in found.rdd.glom().map(len).collect() if n]
+    assert sum(dealt) == 7680 + 125 and len(dealt) >= 8 and max(dealt) < 7680 / 3
+    rows = found.where("asset_id = 0").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.face, r.row, r.col) for r in rows] == [(5 + i, i // 1280, i % 1280 // 32, i % 32) for i in range(7680)]
