@@ -76,7 +76,7 @@ def spans(ranges: DataFrame, gap: int = 0) -> DataFrame:
 
 
 def band(tiles: DataFrame, groups: DataFrame, semantic: int) -> DataFrame:
-    """Tiles of the groups of a semantic, as the descriptors say; assets without such a group have none."""
+    """Tiles (or levels of a layout) of the groups of a semantic, as the descriptors say; assets without such a group have none."""
     return tiles.join(groups.where(F.col("semantic") == semantic).select("asset_id", "group"), ["asset_id", "group"], "left_semi")
 
 
