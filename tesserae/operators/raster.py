@@ -15,17 +15,37 @@ from pyspark.sql import functions as F
 
 from ..functions import pixel as P
 from ..functions.layout import _div
+from .layout import dealt
 
 PIXEL = ["asset_id", "face", "y", "x"]
 
 
-def halve_mean(raster: DataFrame, nodata: int = 0) -> DataFrame:
-    """Means of 2 by 2 counts that are not nodata, cut to integers; nodata where all are."""
+#: Halvings whose pixels are dealt out once: blocks of so many times two pixels a side.
+HALVINGS = 8
+_BLOCK = ["asset_id", "face", "block_y", "block_x"]
+
+
+def _blocks(raster: DataFrame, halvings: int) -> DataFrame:
+    """A count raster dealt out over tasks by blocks, which so many halvings make one pixel each.
+
+    Not by faces: where they are a constant, groupings would be shuffled again. Halving then needs no further shuffle, and no task counts pixels of more than its blocks, however large its part of the input.
+    """
+    side = F.lit(1 << halvings).cast("bigint")
+    at = {f"block_{c}": _div(F.col(c).cast("bigint"), side) for c in "yx"}
+    return raster.select(*PIXEL, "v").withColumns(at).repartition(dealt(raster.sparkSession), *(c for c in _BLOCK if c != "face"))
+
+
+def _mean(blocks: DataFrame, nodata: int) -> DataFrame:
     value = F.nullif("v", F.lit(nodata))
-    return raster.groupBy("asset_id", "face", P.half(F.col("y")).alias("y"), P.half(F.col("x")).alias("x")).agg(
+    return blocks.groupBy(*_BLOCK, P.half(F.col("y")).alias("y"), P.half(F.col("x")).alias("x")).agg(
         F.coalesce(_div(F.sum(value), F.count(value)).cast("int"), F.lit(nodata)).alias("v"))
 
 
+def halve_mean(raster: DataFrame, nodata: int = 0) -> DataFrame:
+    """Means of 2 by 2 counts that are not nodata, cut to integers; nodata where all are."""
+    return _mean(_blocks(raster, 1), nodata).select(*PIXEL, "v")
+
+
 def halve_nearest(raster: DataFrame) -> DataFrame:
     """The top left of each 2 by 2 pixels."""
     kept = raster.where((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0))
@@ -39,10 +59,17 @@ def pyramid(raster: DataFrame, levels: int, nodata: int | None = 0, durable=None
     out and read it back, which keeps the plan of deep pyramids short.
     """
     level, out = raster, raster.withColumn("level", F.lit(levels - 1))
+    left = 0
     for n in range(levels - 2, -1, -1):
-        level = halve_nearest(level) if nodata is None else halve_mean(level, nodata)
+        if nodata is None:
+            level = halve_nearest(level)
+        else:
+            if not left:
+                left = 1 if durable else min(HALVINGS, n + 1)
+                level = _blocks(level, left)
+            level, left = _mean(level, nodata), left - 1
         level = durable(level) if durable else level
-        out = out.unionByName(level.withColumn("level", F.lit(n)))
+        out = out.unionByName(level.drop("block_y", "block_x").withColumn("level", F.lit(n)))
     return out
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tesserae.operators import layout
+from tesserae.operators import layout, raster
 from tesserae.plans import catalog
 
 
@@ -25,3 +25,19 @@ def test_tiles_are_dealt_out_over_tasks_in_bounded_pieces(spark, monkeypatch):
     assert sum(dealt) == 7680 + 125 and len(dealt) >= 8 and max(dealt) < 7680 / 3
     rows = found.where("asset_id = 0").orderBy("ordinal").collect()
     assert [(r.ordinal, r.face, r.row, r.col) for r in rows] == [(5 + i, i // 1280, i % 1280 // 32, i % 32) for i in range(7680)]
+
+
+@pytest.mark.parametrize("name", ["q_pyramid_mean", "q_halve_mean", "q_convert_gray8"])
+def test_pixels_are_halved_in_the_tasks_they_are_dealt_out_to(spark, sf_dir, name):
+    found = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in found.splitlines() if "Exchange" in line and "_groupingexpression" in line]
+
+
+def test_pyramids_of_any_depth_are_the_same_however_pixels_are_dealt_out(spark, monkeypatch):
+    counts = spark.range(2 * 70 * 37).selectExpr("id div 2590 as asset_id", "0 as face", "cast(id % 2590 div 70 as int) as y", "cast(id % 70 as int) as x", "cast(id * 31 % 97 as int) as v")
+    found = []
+    for halvings in (1, 3, 8):
+        monkeypatch.setattr(raster, "HALVINGS", halvings)
+        found.append(sorted(map(tuple, raster.pyramid(counts, 8).collect())))
+    found.append(sorted(map(tuple, raster.pyramid(counts, 8, durable=lambda x: x.localCheckpoint()).collect())))
+    assert all(f == found[0] for f in found) and len(found[0]) > 2590 * 2
