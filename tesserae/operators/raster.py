@@ -109,6 +109,35 @@ def remap_nearest(raster: DataFrame, sizes: DataFrame) -> DataFrame:
 
 #: Rows of a panorama that are sampled as one group.
 BAND = 64
+#: Pixels of the arrays that are sampled or resampled at once, or one group's.
+AT_ONCE = 2_000_000
+
+
+def _whole(frames, keys: list[str]):
+    """Frames of sorted rows, cut anew so that none ends within rows of one key; with each the place of its rows among its keys."""
+    import numpy as np
+    import pandas as pd
+
+    def placed(parts):
+        frame = pd.concat(parts, ignore_index=True)
+        ids = frame[keys].to_numpy()
+        return frame, np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))])
+
+    held = []
+    for frame in frames:
+        if frame.empty:
+            continue
+        ids = frame[keys].to_numpy()
+        others = np.flatnonzero((ids != ids[-1]).any(axis=1))
+        cut = others[-1] + 1 if len(others) else 0
+        if held and (cut or (held[-1][keys].iloc[-1].to_numpy() != ids[0]).any()):
+            yield placed([*held, frame[:cut]])
+            held = []
+        elif cut:
+            yield placed([frame[:cut]])
+        held.append(frame[cut:])
+    if held:
+        yield placed(held)
 
 
 def remap_bilinear(raster: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -127,33 +156,47 @@ def remap_bilinear(raster: DataFrame, sizes: DataFrame, bands: tuple[str, ...] =
         (F.col("sx") - F.floor("sx").cast("float")).alias("fx"), (F.col("sy") - F.floor("sy").cast("float")).alias("fy"))
     own = F.floor(F.col("y") / BAND).cast("int")
     both = F.when((F.col("y") % BAND == 0) & (F.col("y") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    source = raster.select(F.col("asset_id").cast("bigint").alias("asset_id"), F.explode(both).alias("band"), "y", "x", *bands)
+    own_pixels = raster.select(
+        F.col("asset_id").cast("bigint").alias("asset_id"), F.explode(both).alias("band"), F.lit(-1).alias("face"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        *(F.lit(0).alias(c) for c in ("upper", "lower", "left", "right", "w")), *(F.lit(0.0).cast("float").alias(c) for c in ("fx", "fy")), *(F.col(c).cast("int").alias(c) for c in bands))
+    wanted = at.select(*(c for c in own_pixels.columns if c not in bands), *(F.lit(0).alias(c) for c in bands))
     schema = "asset_id bigint, face int, y int, x int, " + ", ".join(f"{c} int" for c in bands)
+    keys, most = ["asset_id", "band"], AT_ONCE
 
-    def sample(key, wanted, pixels):
+    def sampled(frame, group):
         import numpy as np
         import pandas as pd
 
-        if wanted.empty or pixels.empty:
-            return pd.DataFrame(columns=["asset_id", "face", "y", "x", *bands]).astype("int64")
-        first = key[1] * BAND
-        image = np.zeros((BAND + 1, int(wanted["w"].iloc[0]), len(bands)), np.float32)
-        image[pixels["y"].to_numpy() - first, pixels["x"].to_numpy()] = pixels[list(bands)].to_numpy(np.float32)
+        first = frame["band"].to_numpy() * BAND
+        pixel = frame["face"].to_numpy() < 0
+        image = np.zeros((int(group[-1]) + 1, BAND + 1, int(frame["w"].max()), len(bands)), np.float32)
+        held = np.zeros(len(image), bool)  # groups with pixels
+        held[group[pixel]] = True
+        own, y = frame[pixel], frame["y"].to_numpy()
+        fits = own["x"].to_numpy() < image.shape[2]
+        image[group[pixel][fits], (y - first)[pixel][fits], own["x"].to_numpy()[fits]] = own[list(bands)].to_numpy(np.float32)[fits]
+        asked = ~pixel & held[group]
+        wanted, g, first = frame[asked], group[asked], first[asked]
         up, down, left, right = (wanted[c].to_numpy() for c in ("upper", "lower", "left", "right"))
         fx, fy = (wanted[c].to_numpy(np.float32)[:, None] for c in ("fx", "fy"))
         one = np.float32(1)
-        top = image[up - first, left] * (one - fx) + image[up - first, right] * fx
-        below = image[down - first, left] * (one - fx) + image[down - first, right] * fx
+        top = image[g, up - first, left] * (one - fx) + image[g, up - first, right] * fx
+        below = image[g, down - first, left] * (one - fx) + image[g, down - first, right] * fx
         mixed = (top * (one - fy) + below * fy).astype(np.float64)
         mixed = np.clip(np.floor(mixed + 0.5), 0, 255).astype(np.int32)
-        return pd.DataFrame({c: wanted[c] for c in ("asset_id", "face", "y", "x")} | {c: mixed[:, i] for i, c in enumerate(bands)})
+        return pd.DataFrame({c: wanted[c].to_numpy() for c in ("asset_id", "face", "y", "x")} | {c: mixed[:, i] for i, c in enumerate(bands)})
 
-    keys = ["asset_id", "band"]
-    return at.groupBy(*keys).cogroup(source.groupBy(*keys)).applyInPandas(sample, schema).select(*PIXEL, *bands)
+    def sample(frames):
+        import numpy as np
 
+        for frame, group in _whole(frames, keys):
+            step = max(1, most // ((BAND + 1) * max(1, int(frame["w"].max()))))
+            for n in range(0, int(group[-1]) + 1, step):
+                low, high = np.searchsorted(group, [n, n + step])
+                yield sampled(frame[low:high], group[low:high] - n)
 
-#: Image rows (or columns) that are resampled as one group.
-STRIP = 64
+    both_sides = own_pixels.union(wanted).repartition(dealt(raster.sparkSession), *keys).sortWithinPartitions(*keys)
+    return both_sides.mapInPandas(sample, schema).select(*PIXEL, *bands)
 
 
 def lanczos_weights(size: int, to: int):
@@ -182,34 +225,40 @@ def lanczos_taps(size: int, to: int):
 def resize(raster: DataFrame, w: int, h: int, to_w: int, to_h: int, bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """A colour raster of w by h pixels resampled by Lanczos; the same size is returned as it is.
 
-    First rows, then columns: a group is STRIP rows or columns, so none holds
-    more than STRIP times one side of an image.
+    First rows, then columns: each is resampled whole, many of them at once.
     """
     if (w, h) == (to_w, to_h):
         return raster
+    most = AT_ONCE
 
     def along(frame: DataFrame, axis: str, other: str, size: int, to: int, last: bool) -> DataFrame:
         kind = "int" if last else "double"
         schema = f"asset_id bigint, face int, {other} int, {axis} int, " + ", ".join(f"{c} {kind}" for c in bands)
+        keys = ["asset_id", "face", other]
 
-        def one(pdf):
+        def run(frames):
             import numpy as np
             import pandas as pd
 
-            lines, line = np.unique(pdf[other].to_numpy(), return_inverse=True)
-            values = np.zeros((len(lines), size, len(bands)))
-            values[line, pdf[axis].to_numpy()] = pdf[list(bands)].to_numpy(dtype=float)
             places, weights = lanczos_taps(size, to)
-            got = np.zeros((len(lines), to, len(bands)))
-            for k in range(places.shape[1]):
-                got += values[:, places[:, k]] * weights[:, k, None]
-            if last:
-                got = np.clip(np.floor(got + 0.5), 0, 255).astype(np.int32)
-            head = {"asset_id": pdf["asset_id"].iloc[0], "face": pdf["face"].iloc[0], other: np.repeat(lines, to), axis: np.tile(np.arange(to, dtype=np.int32), len(lines))}
-            return pd.DataFrame(head | {c: got[:, :, i].reshape(-1) for i, c in enumerate(bands)})
-
-        strips = frame.groupBy("asset_id", "face", F.floor(F.col(other) / STRIP).alias("strip"))
-        return strips.applyInPandas(one, schema)
+            step = max(1, most // max(size, to))
+            for pixels, line in _whole(frames, keys):
+                for n in range(0, int(line[-1]) + 1, step):
+                    low, high = np.searchsorted(line, [n, n + step])
+                    part, at = pixels[low:high], line[low:high] - n
+                    lines = int(at[-1]) + 1
+                    values = np.zeros((lines, size, len(bands)))
+                    values[at, part[axis].to_numpy()] = part[list(bands)].to_numpy(dtype=float)
+                    got = np.zeros((lines, to, len(bands)))
+                    for k in range(places.shape[1]):
+                        got += values[:, places[:, k]] * weights[:, k, None]
+                    if last:
+                        got = np.clip(np.floor(got + 0.5), 0, 255).astype(np.int32)
+                    first = np.searchsorted(at, np.arange(lines))
+                    head = {c: np.repeat(part[c].to_numpy()[first], to) for c in keys} | {axis: np.tile(np.arange(to, dtype=np.int32), lines)}
+                    yield pd.DataFrame(head | {c: got[:, :, i].reshape(-1) for i, c in enumerate(bands)})
+
+        return frame.repartition(dealt(raster.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
     pixels = raster.select(F.col("asset_id").cast("bigint").alias("asset_id"), F.col("face").cast("int").alias("face"), "y", "x", *bands)
     wide = along(pixels, "x", "y", w, to_w, False)
